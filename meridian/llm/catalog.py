@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, sharding
+from . import language, mixing, sharding, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_hilbert_shards": sharding.op1_hilbert_shards,
         "op4_source_mix": mixing.op4_source_mix,
+        "op7_exact_topk": topk.op7_exact_topk,
+        "op10_language_id": language.op10_language_id,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_source_mix": mixing.OP4_SQL}
+    return {"op4_source_mix": mixing.OP4_SQL, "op7_exact_topk": topk.OP7_SQL}
