@@ -6,17 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, mixing, sharding, topk
+from . import decontamination, language, mixing, sharding, suffix_dedup, topk, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_hilbert_shards": sharding.op1_hilbert_shards,
+        "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
         "op4_source_mix": mixing.op4_source_mix,
+        "op5_toxicity": toxicity.op5_toxicity,
         "op7_exact_topk": topk.op7_exact_topk,
+        "op8_decontamination": decontamination.op8_decontamination,
         "op10_language_id": language.op10_language_id,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_source_mix": mixing.OP4_SQL, "op7_exact_topk": topk.OP7_SQL}
+    return {"op3_suffix_dedup": suffix_dedup.OP3_SQL, "op4_source_mix": mixing.OP4_SQL, "op7_exact_topk": topk.OP7_SQL}
