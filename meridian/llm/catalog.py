@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language, mixing, sharding, suffix_dedup, topk, toxicity
+from . import decontamination, language, mixing, sharding, substring_dedup, suffix_dedup, topk, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,9 +17,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_toxicity": toxicity.op5_toxicity,
         "op7_exact_topk": topk.op7_exact_topk,
         "op8_decontamination": decontamination.op8_decontamination,
+        "op9_substring_dedup": substring_dedup.op9_substring_dedup,
         "op10_language_id": language.op10_language_id,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_suffix_dedup": suffix_dedup.OP3_SQL, "op4_source_mix": mixing.OP4_SQL, "op7_exact_topk": topk.OP7_SQL}
+    return {"op3_suffix_dedup": suffix_dedup.OP3_SQL, "op4_source_mix": mixing.OP4_SQL, "op7_exact_topk": topk.OP7_SQL, "op9_substring_dedup": substring_dedup.OP9_SQL}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -41,8 +42,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    del df
+    release_shuffles(spark)
+    return spark.read.schema(schema).parquet(path)
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle files of finished plans now.
+
+    It follows the driver's garbage collection, which may not happen for a long
+    time while disks fill up with files that no plan can read any more.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def shuffle_parts(spark: SparkSession) -> int:

@@ -24,7 +24,7 @@ from .repeats import Rule, covered, unpack, with_repeats
 
 LENGTH = 100
 #: Bytes of the grams that choose the sampled suffixes.
-GRAM = 32
+GRAM = 48
 
 
 def duplicate_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
