@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language, minhash, mixing, sharding, substring_dedup, suffix_dedup, topk, toxicity
+from . import decontamination, language, minhash, mixing, pii, sharding, substring_dedup, suffix_dedup, topk, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
         "op4_source_mix": mixing.op4_source_mix,
         "op5_toxicity": toxicity.op5_toxicity,
+        "op6_pii_pseudonyms": pii.op6_pii_pseudonyms,
         "op7_exact_topk": topk.op7_exact_topk,
         "op8_decontamination": decontamination.op8_decontamination,
         "op9_substring_dedup": substring_dedup.op9_substring_dedup,

@@ -165,7 +165,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 MIN_SCORE = 0.3
 
 
-def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def known_language(docs: DataFrame) -> DataFrame:
     """Pipeline stage: documents whose language is undetermined go."""
     filters = learn(docs)
     kept = identify(docs.select(F.struct(*docs.columns).alias("row"), "text"), filters)
