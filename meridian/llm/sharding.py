@@ -91,18 +91,22 @@ def hilbert_shards(docs: DataFrame, n_shards: int = 40, bits: int = BITS, carry:
     cells = 1 << bits
     new = ["size", "text_crc32", "law", "shard", "slot", "grown_shard", "hilbert"]
     names = [c for c in (docs.columns if carry is None else carry) if c not in new]
+    text = F.col("text")
     keyed = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"),
         F.col("source").cast("string").alias("src"),
         F.col("lang").cast("string").alias("lng"),
         F.col("doc_id").alias("id"),
-        (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"),
-        F.crc32(F.col("text").cast("binary")).alias("crc"),
-        F.xxhash64("text").alias("th"),
+        (F.coalesce(F.octet_length(text), F.lit(0)) + 16).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).alias("crc"),
+        F.xxhash64(text).alias("th"),
     )
+    # Texts are read once for what all later steps need of them; only rows that carry them are read again.
+    slim = written(keyed if carry is not None else keyed.drop("row"), "meta")
+    keyed = slim if carry is not None else keyed
     key = [F.col("th"), F.col("size"), F.coalesce("crc", F.lit(-1)).alias("crc_")]
     shared = (
-        keyed.groupBy(*key)
+        slim.groupBy(*key)
         .agg(F.min("src").alias("g_src"), F.min("lng").alias("g_lng"), F.count(F.lit(1)).alias("g_n"))
         .where("g_n > 1")
         .select(F.col("th").alias("g_th"), F.col("size").alias("g_size"), F.col("crc_").alias("g_crc"), "g_src", "g_lng", F.lit(True).alias("g"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("g_salt"))
@@ -114,9 +118,9 @@ def hilbert_shards(docs: DataFrame, n_shards: int = 40, bits: int = BITS, carry:
         "left",
     ).select("row", "id", "size", "crc", "th", F.when(F.col("g"), F.col("g_src")).otherwise(F.col("src")).alias("src"), F.when(F.col("g"), F.col("g_lng")).otherwise(F.col("lng")).alias("lng"))
 
-    marks = keyed.agg(F.percentile_approx("size", [i / cells for i in range(1, cells)], 10000).alias("p")).first()["p"] or []
+    marks = slim.agg(F.percentile_approx("size", [i / cells for i in range(1, cells)], 10000).alias("p")).first()["p"] or []
     size_cell = reduce(lambda acc, m: acc + F.when(F.col("size") > m, 1).otherwise(0), sorted(set(marks)), F.lit(0))
-    src, lng = _quantised(keyed, "src", cells), _quantised(keyed, "lng", cells)
+    src, lng = _quantised(slim, "src", cells), _quantised(slim, "lng", cells)
     ordered = (
         placed.join(F.broadcast(src), F.col("src").eqNullSafe(F.col("src_v")), "left")
         .join(F.broadcast(lng), F.col("lng").eqNullSafe(F.col("lng_v")), "left")
