@@ -7,9 +7,11 @@ at once every language whose filter contains it.  For a text, the hits of each
 language are counted over all its n-grams, corrected for that filter's measured
 false-positive rate, and the largest share decides.
 
-A filter holds the n-grams that are frequent in its language: learnt from
-counts over all learning documents, cut at ``min_share`` of the language's
-n-grams, at most ``per_language`` of them.  Documents are learnt from whole.
+A filter holds the n-grams that are frequent in its language: counted over its
+learning documents, cut at ``min_share`` of the language's n-grams, at most
+``per_language`` of them.  ``MAX_LEARN`` bounds the documents that a language is
+learnt from (a hash of the text decides); those are read whole, and all documents
+are judged over their whole text.
 
 Defined results: texts that are null or have no letter get ``und`` and score 0;
 ties go to the language that learnt more documents, then to the smaller code; with nothing to learn from, every text gets ``und``;
@@ -29,16 +31,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 
 #: n-gram lengths in characters of a lower-cased text whose words are joined by one space.
-SIZES = (1, 2, 3, 4)
+SIZES = (2, 3, 4)
 SLOTS = 1 << 19
 HASHES = 3
 #: An n-gram is kept for a language if it is at least this share of the language's n-grams of its length.
 MIN_SHARE = 2e-4
 PER_LANGUAGE = 40_000
 MAX_LANGUAGES = 63
+#: Documents to learn a language from, about; all where there are fewer.
+MAX_LEARN = 5_000
 _WORD = re.compile(r"[^\W\d_]+")
 _PRIMES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
@@ -73,7 +77,7 @@ def slots_of(grams: np.ndarray, j: int) -> np.ndarray:
 
 def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per task: (lang, n, gram, times) of its documents."""
-    for b in batches:
+    for b in (b.slice(at, 128) for b in batches for at in range(0, b.num_rows, 128)):
         sums: dict[str, list[tuple[int, np.ndarray]]] = {}
         docs: Counter = Counter()
         for lang, text in zip(b["lang"].to_pylist(), b["text"].to_pylist(), strict=True):
@@ -93,11 +97,12 @@ class Filters:
 
     def __init__(self, langs: list[str], grams: dict[str, np.ndarray]):
         self.langs = langs
-        self.masks = [np.zeros(SLOTS, dtype=np.uint64) for _ in range(HASHES)]
+        self.kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if len(langs) <= 8 * t().itemsize)
+        self.masks = [np.zeros(SLOTS, dtype=self.kind) for _ in range(HASHES)]
         for bit, lang in enumerate(langs):
             for j, mask in enumerate(self.masks):
-                mask[slots_of(grams[lang], j)] |= np.uint64(1 << bit)
-        self.false = np.array([np.prod([float(((m >> np.uint64(bit)) & np.uint64(1)).mean()) for m in self.masks]) for bit in range(len(langs))])
+                mask[slots_of(grams[lang], j)] |= self.kind(1 << bit)
+        self.false = np.array([np.prod([float((m & self.kind(1 << bit) != 0).mean()) for m in self.masks]) for bit in range(len(langs))])
 
     def lookup(self, grams: np.ndarray) -> np.ndarray:
         """The bitmask of languages that contain each n-gram."""
@@ -111,7 +116,7 @@ class Filters:
         if not parts or not self.langs:
             return "und", 0.0
         found = self.lookup(np.concatenate([g for _, g in parts]))
-        hits = np.array([np.count_nonzero(found & np.uint64(1 << bit)) for bit in range(len(self.langs))]) / len(found)
+        hits = np.array([np.count_nonzero(found & self.kind(1 << bit)) for bit in range(len(self.langs))]) / len(found)
         share = np.clip((hits - self.false) / np.maximum(1 - self.false, 1e-9), 0, 1)
         best = int(share.argmax())
         rest = float(np.delete(share, best).max()) if len(share) > 1 else 0.0
@@ -119,14 +124,20 @@ class Filters:
         return self.langs[best], (top / (top + rest) if top > 0 else 0.0)
 
 
-def learn(docs: DataFrame, min_share: float = MIN_SHARE, per_language: int = PER_LANGUAGE) -> Filters:
+def learn(docs: DataFrame, min_share: float = MIN_SHARE, per_language: int = PER_LANGUAGE, max_learn: int = MAX_LEARN) -> Filters:
     """Filters from ``text`` and ``lang`` of all rows with a non-null language."""
-    counts = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), "text").mapInArrow(count_grams, "lang string, n int, gram long, times long").groupBy("lang", "n", "gram").agg(F.sum("times").alias("times"))
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), "text")
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(sizes) > MAX_LANGUAGES:
+        raise ValueError(f"{len(sizes)} languages; a mask holds {MAX_LANGUAGES}")
+    part = F.lit(False)
+    for lang, n in sizes.items():
+        part = part | ((F.col("lang") == lang) & (F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(min(1.0, max_learn / n) * (1 << 30))))
+    counts = known.where(part).mapInArrow(count_grams, "lang string, n int, gram long, times long").groupBy("lang", "n", "gram").agg(F.sum("times").alias("times"))
+    counts = written(counts, "grams")
     totals = counts.groupBy("lang", "n").agg(F.sum("times").alias("total"))
     sums = {(r["lang"], r["n"]): r["total"] for r in totals.collect()}
-    langs = [lang for lang, _ in sorted(((lang, t) for (lang, n), t in sums.items() if n == 0), key=lambda x: (-x[1], x[0]))]
-    if len(langs) > MAX_LANGUAGES:
-        raise ValueError(f"{len(langs)} languages; a mask holds {MAX_LANGUAGES}")
+    langs = [lang for lang in sorted(sizes, key=lambda x: (-sizes[x], x)) if (lang, 0) in sums]
     grams = {lang: np.zeros(0, np.uint64) for lang in langs}
     # At most 1 / min_share n-grams of a length reach that share: the result is bounded.
     total = F.broadcast(totals.where("n > 0"))
