@@ -6,8 +6,10 @@ total, so 1 means that all of an item's terms were met.  Postings are sorted by
 item and cut into blocks with their largest impact.
 
 Search: every training text is read whole, as passages of ``2 * PART`` tokens that
-overlap by half, so that any part lies in one.  A passage is a query of its
-distinct terms: WAND moves to the first item whose terms' largest impacts can reach
+overlap by half, so that any part lies in one.  Passages are screened a batch at a
+time by an upper bound: for each item, the impacts of its rarer terms that occur,
+plus all of its frequent ones (which are never looked up, as MaxScore does).  A
+passage that is left is a query of its distinct terms: WAND moves to the first item whose terms' largest impacts can reach
 ``THRESHOLD``, block maxima skip it if they can't, and only then it is scored.
 All items above the threshold are verified: at least ``OVERLAP`` of the five-word
 shingles of its question and of its answer must stand in the text.  (A question
@@ -31,11 +33,13 @@ from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .repeats import texts_of, words_of
 
 K1, B = 1.2, 0.75
 PART = 64
@@ -44,21 +48,25 @@ THRESHOLD = 0.5
 SHINGLE = 5
 OVERLAP = 0.75
 INDEX_BYTES = 16 << 20
-_TOKEN = re.compile(r"\w+")
+#: Terms of more than this share of the items are frequent.
+FREQUENT = 0.04
+#: Tokens are runs of ASCII letters and digits and of all other characters beyond ASCII; A-Z count as a-z.
+_TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
+_LOOKUP = np.frombuffer(_TABLE, dtype=np.uint8)
 
 
-def tokens(text: str | None) -> list[str]:
-    return _TOKEN.findall(text.lower()) if text else []
+def tokens(text: str | None) -> list[bytes]:
+    return text.encode().translate(_TABLE).split() if text else []
 
 
-def shingles(words: list[str]) -> set[tuple[str, ...]]:
+def shingles(words: list[bytes]) -> set[tuple[bytes, ...]]:
     """Runs of five words; a shorter text is one run."""
     if len(words) < SHINGLE:
         return {tuple(words)} if words else set()
     return {tuple(words[i : i + SHINGLE]) for i in range(len(words) - SHINGLE + 1)}
 
 
-def split_item(text: str) -> tuple[list[str], list[str]]:
+def split_item(text: str) -> tuple[list[bytes], list[bytes]]:
     """Question and answer of an item; an item of under ten words is all question."""
     words = tokens(text)
     if len(words) < 2 * SHINGLE:
@@ -74,7 +82,7 @@ class Index:
         self.items = sorted(set(items))
         self.sides = [tuple(shingles(s) for s in split_item(text)) for _, text in self.items]
         self.of: list[int] = []
-        parts: list[list[str]] = []
+        parts: list[list[bytes]] = []
         for i, (_, text) in enumerate(self.items):
             words = tokens(text)
             for at in range(0, len(words), PART):
@@ -83,7 +91,7 @@ class Index:
                 self.of.append(i)
         mean = sum(map(len, parts)) / max(len(parts), 1)
         df = Counter(t for p in parts for t in set(p))
-        raw: dict[str, list[tuple[int, float]]] = defaultdict(list)
+        raw: dict[bytes, list[tuple[int, float]]] = defaultdict(list)
         for e, p in enumerate(parts):
             norm = K1 * (1 - B + B * len(p) / mean)
             weights = {t: math.log(1 + (len(parts) - df[t] + 0.5) / (df[t] + 0.5)) * f * (K1 + 1) / (f + norm) for t, f in Counter(p).items()}
@@ -94,9 +102,59 @@ class Index:
         self.impacts = {t: [w for _, w in ps] for t, ps in raw.items()}
         self.most = {t: max(ws) for t, ws in self.impacts.items()}
         self.blocks = {t: [max(ws[k : k + BLOCK]) for k in range(0, len(ws), BLOCK)] for t, ws in self.impacts.items()}
-        #: With each entry, the entries' own rarest impacts decide whether a passage can reach the threshold at all.
-
-    def search(self, terms: list[str], threshold: float = THRESHOLD) -> list[tuple[int, float]]:
+        self._screen()
+
+    def _screen(self) -> None:
+        """Rarer terms by hash with their postings, and what each entry needs of them."""
+        n = len(self.of)
+        need = np.full(n, THRESHOLD)
+        rare = []
+        for t, es in self.entries.items():
+            if len(es) > max(4, FREQUENT * n):
+                np.subtract.at(need, es, self.impacts[t])
+            else:
+                rare.append(t)
+        self.need = need - 1e-9
+        codes = words_of(*texts_of(pa.array(rare, pa.binary())))[0] if rare else np.zeros(0, np.uint64)
+        order = np.argsort(codes)
+        self.codes = codes[order]
+        rare = [rare[i] for i in order]
+        self.sizes = np.array([len(self.entries[t]) for t in rare], dtype=np.int64)
+        self.first = np.cumsum(self.sizes) - self.sizes
+        self.posted = np.array([e for t in rare for e in self.entries[t]], dtype=np.int64)
+        self.weight = np.array([w for t in rare for w in self.impacts[t]])
+        #: An entry of frequent terms only can't be ruled out this way.
+        self.always = bool((self.need <= 0).any())
+
+    def screened(self, texts: pa.Array) -> dict[int, list[int]]:
+        """For each text that may match, its passages that may (by number)."""
+        data, bounds = texts_of(texts)
+        hashes, _, _, words = words_of(_LOOKUP[data], bounds)
+        if not len(hashes) or not len(self.of):
+            return {}
+        count = np.maximum(0, -(-np.diff(words) // PART))
+        base = np.cumsum(count) - count
+        if self.always:
+            return {d: list(range(count[d])) for d in np.flatnonzero(count)}
+        at = np.minimum(np.searchsorted(self.codes, hashes), len(self.codes) - 1)
+        known = np.flatnonzero(self.codes[at] == hashes)
+        doc = np.searchsorted(words, known, "right") - 1
+        segment = base[doc] + (known - words[doc]) // PART
+        pairs = np.unique(segment * len(self.codes) + at[known])
+        segment, term = np.divmod(pairs, len(self.codes))
+        reps = self.sizes[term]
+        spot = np.repeat(self.first[term] - (np.cumsum(reps) - reps), reps) + np.arange(int(reps.sum()))
+        keys, where = np.unique(np.repeat(segment, reps) * len(self.of) + self.posted[spot], return_inverse=True)
+        sums = np.bincount(where, self.weight[spot], len(keys))
+        after = np.minimum(np.searchsorted(keys, keys + len(self.of)), max(len(keys) - 1, 0))
+        both = sums + np.where(keys[after] == keys + len(self.of), sums[after], 0) if len(keys) else sums
+        hit = np.unique(keys[both >= self.need[keys % len(self.of)]] // len(self.of))
+        found: dict[int, list[int]] = defaultdict(list)
+        for g, d in zip(hit, np.searchsorted(base + count, hit, "right"), strict=True):
+            found[int(d)].append(int(g - base[d]))
+        return found
+
+    def search(self, terms: list[bytes], threshold: float = THRESHOLD) -> list[tuple[int, float]]:
         """All (entry, score) with a score of at least ``threshold``: block-max WAND."""
         cursors = [[self.entries[t][0], 0, t] for t in terms]
         out = []
@@ -136,24 +194,16 @@ class Index:
             cursors = [c for c in cursors if c[0] >= 0]
         return out
 
-    def matches(self, text: str | None) -> list[tuple[int, float, float, float]]:
+    def matches(self, text: str | None, passages: list[int] | None = None) -> list[tuple[int, float, float, float]]:
         """(item_id, bm25, question overlap, answer overlap) of the verified items of a text."""
         words = tokens(text)
         most = self.most
-        known = [(i, w, most[w]) for i, w in enumerate(words) if w in most]
         best: dict[int, float] = {}
-        lo = hi = 0
-        for start in range(0, max(1, len(words) - PART) if words else 0, PART):
-            end = start + 2 * PART
-            while lo < len(known) and known[lo][0] < start:
-                lo += 1
-            hi = max(hi, lo)
-            while hi < len(known) and known[hi][0] < end:
-                hi += 1
-            terms = {w: m for _, w, m in known[lo:hi]}
-            if sum(terms.values()) < THRESHOLD:
+        for p in range(-(-len(words) // PART)) if passages is None else passages:
+            terms = {w for w in words[p * PART : (p + 2) * PART] if w in most}
+            if sum(most[w] for w in terms) < THRESHOLD:
                 continue
-            for e, s in self.search(list(terms)):
+            for e, s in self.search(sorted(terms)):
                 i = self.of[e]
                 best[i] = max(best.get(i, 0.0), s)
         if not best:
@@ -173,6 +223,18 @@ class Index:
         return out
 
 
+    def batch(self, texts: pa.Array) -> list[list[tuple[int, float, float, float]]]:
+        """``matches`` of every text."""
+        out: list[list[tuple[int, float, float, float]]] = []
+        for at in range(0, len(texts), 256):
+            part = texts.slice(at, 256)
+            own: list[list[tuple[int, float, float, float]]] = [[] for _ in range(len(part))]
+            for d, passages in self.screened(part).items():
+                own[d] = self.matches(part[d].as_py(), passages)
+            out += own
+        return out
+
+
 SCHEMA = "item_id long, bm25 double, question_overlap double, answer_overlap double"
 
 
@@ -194,7 +256,7 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
 
         def run(batches, sent=sent):
             for b in batches:
-                hits = [sent.value.matches(t) for t in b["text"].to_pylist()]
+                hits = sent.value.batch(b["text"])
                 at = [k for k, h in enumerate(hits) for _ in h]
                 rows = [x for h in hits for x in h]
                 yield pa.RecordBatch.from_arrays([b["doc_id"].take(pa.array(at, pa.int64())), *[pa.array([r[c] for r in rows], kind) for c, kind in enumerate((pa.int64(), *[pa.float64()] * 3))]], names=["doc_id", "item_id", "bm25", "question_overlap", "answer_overlap"])
@@ -217,7 +279,7 @@ def clean_only(docs: DataFrame, items: DataFrame) -> DataFrame:
 
         def run(batches, sent=sent):
             for b in batches:
-                yield b.filter(pa.array([not sent.value.matches(t) for t in b["text"].to_pylist()], pa.bool_()))
+                yield b.filter(pa.array([not h for h in sent.value.batch(b["text"])], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs
