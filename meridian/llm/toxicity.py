@@ -161,6 +161,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_learn: int = MAX_LEARN) -> Mod
     if not sizes.get(0) or not sizes.get(1):
         return model
     counts = rows.mapInArrow(count_features, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counts = written(counts, "features")
     sums = counts.agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t")).first()
     n0, n1 = float(sums["c"]), float(sums["t"])
     prior = 0.5 + (F.col("clean") + F.col("toxic")) * (PRIOR / (n0 + n1))
