@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,3 +69,33 @@ def shuffle_parts(spark: SparkSession) -> int:
 def word_count(text: Column) -> Column:
     """Words of a text; null counts as no text."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD_REGEX)), F.lit(0)).cast("long")
+
+
+def trim() -> None:
+    """Give memory that a Python worker has freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+class IdFilter:
+    """A bitmap of fixed size (2 MB) that holds every id of a set, and maybe others.
+
+    Rows whose id it doesn't hold need no shuffle to learn that they have no partner.
+    """
+
+    BITS = 24
+
+    def __init__(self, ids: DataFrame, column: str):
+        x, mask = F.col(column), F.lit((1 << self.BITS) - 1)
+        at = x.bitwiseXOR(F.shiftrightunsigned(x, self.BITS)).bitwiseAND(mask)
+        words = ids.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toArrow()
+        bits = np.zeros(1 << (self.BITS - 6), dtype=np.int64)
+        bits[np.asarray(words["word"])] = np.asarray(words["bits"])
+        self.sent = ids.sparkSession.sparkContext.broadcast(bits)
+
+    def holds(self, ids: np.ndarray) -> np.ndarray:
+        at = (ids ^ (ids.view(np.uint64) >> np.uint64(self.BITS)).view(np.int64)) & ((1 << self.BITS) - 1)
+        return (self.sent.value[at >> 6].view(np.uint64) >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1

@@ -34,11 +34,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SEPARATORS, shuffle_parts, written
+from .common import SEPARATORS, IdFilter, shuffle_parts, trim, written
 
 U = np.uint64
 #: Tokens hashed at a time; a position fits into 20 bits.
 CHUNK = 1 << 18
+#: Buckets for each input partition: one is sorted in memory.
+BUCKETS = 3
 _PLACE = U((1 << 20) - 1)
 _BASES = (0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -211,7 +213,7 @@ def runs(docs: DataFrame, rule: Rule) -> DataFrame:
     """One record for each run of windows of ``docs`` (doc, text)."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             raw, bounds = rule.tokens(b["text"])
             ids = np.asarray(b["doc"])
             for at, end, numbers, within, base in chunks(bounds, rule.length):
@@ -247,6 +249,7 @@ def gathered(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray]:
     held = list(batches)
     if not held:
         return []
+    trim()
     return [np.concatenate([np.asarray(b.column(c)) for b in held]) for c in range(held[0].num_columns)]
 
 
@@ -293,10 +296,10 @@ def window_hashes(rule: Rule) -> Callable:
     """Per document with candidates: (lead, rest, doc, start) of their windows."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             raw, bounds = rule.tokens(unpacked(b["packed"]))
             spans = b["spans"]
-            offsets = np.asarray(spans.offsets) if hasattr(spans, "offsets") else None
+            offsets = np.asarray(spans.offsets)
             offsets = offsets - offsets[0]
             flat = spans.flatten()
             starts, counts = np.asarray(flat.field(0)), np.asarray(flat.field(1))
@@ -356,17 +359,27 @@ def compare_windows(rule: Rule) -> Callable:
 FLAGS = "doc long, start long, windows long, kind int, bucket long, rest long"
 
 
-def packed_texts(docs: DataFrame) -> DataFrame:
-    """(doc, text) with the text compressed, for the shuffles that must carry it."""
+def packed_texts(docs: DataFrame, only: IdFilter | None = None) -> DataFrame:
+    """(doc, packed): texts compressed for the shuffles that must carry them, of the ids that ``only`` holds."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
+            if only is not None:
+                b = b.filter(pa.array(only.holds(np.asarray(b["doc"]))))
             blobs = [None if t is None else len(t).to_bytes(8, "little") + pa.compress(t, codec="zstd", asbytes=True) for t in b["text"].cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([b["doc"], pa.array(blobs, pa.binary())], names=["doc", "packed"])
 
     return docs.mapInArrow(emit, "doc long, packed binary")
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Batches of at most so many rows."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+        trim()
+
+
 def unpack(blob: bytes | None) -> bytes | None:
     return None if blob is None else pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
 
@@ -381,11 +394,11 @@ def repeated_windows(docs: DataFrame, rule: Rule) -> DataFrame:
     Earlier: in a smaller doc or, if the rule says so, in the same doc before.
     """
     spark = docs.sparkSession
-    n = max(shuffle_parts(spark), docs.rdd.getNumPartitions())
+    n = max(shuffle_parts(spark), BUCKETS * docs.rdd.getNumPartitions())
     keys = ["lead", "gram", "context", "doc", "place"]
     pieces = written(runs(docs, rule).repartitionByRange(n, *keys).mapInArrow(compare_runs(rule), PIECES), "runs")
     spans = pieces.where("kind = 2").groupBy("doc").agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
-    windows = spans.join(packed_texts(docs), "doc").select("doc", "packed", "spans").mapInArrow(window_hashes(rule), "lead long, rest long, doc long, start long")
+    windows = spans.join(packed_texts(docs, IdFilter(spans, "doc")), "doc").select("doc", "packed", "spans").mapInArrow(window_hashes(rule), "lead long, rest long, doc long, start long")
     flags = written(windows.repartitionByRange(n, "lead", "rest", "doc", "start").mapInArrow(compare_windows(rule), FLAGS), "windows")
     # Two boundary rows for each bucket: compare each bucket's first window with the one before.
     edges = sorted(flags.where("kind >= 4").collect(), key=lambda r: (r["bucket"], r["kind"]))
@@ -408,10 +421,37 @@ def repeated_windows(docs: DataFrame, rule: Rule) -> DataFrame:
     return found
 
 
-def with_repeats(docs: DataFrame, rule: Rule) -> DataFrame:
-    """(doc, packed, spans): every text with the windows to remove (null: none)."""
-    spans = repeated_windows(docs, rule).groupBy("doc").agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
-    return packed_texts(docs).join(spans, "doc", "left").select("doc", "packed", "spans")
+def without_repeats(docs: DataFrame, rule: Rule, finish: Callable, schema: str) -> DataFrame:
+    """``finish(bytes, spans)`` of every row of ``docs`` (doc, text), as rows (doc_id, *result).
+
+    Spans are the windows to remove, None where there are none.  Only texts that
+    may have some are shuffled.
+    """
+    spans = written(repeated_windows(docs.where("doc is not null"), rule).groupBy("doc").agg(F.collect_list(F.struct("start", "windows")).alias("spans")), "spans")
+    some = IdFilter(spans, "doc")
+    names = [x.split()[0] for x in schema.split(",")]
+
+    def rows(ids: pa.Array, texts: list, spans: list) -> pa.RecordBatch:
+        out = [finish(t, s) for t, s in zip(texts, spans, strict=True)]
+        columns = [pa.array(c, kind.type) for c, kind in zip(zip(*out, strict=True), fields, strict=True)] if out else [pa.array([], f.type) for f in fields]
+        return pa.RecordBatch.from_arrays([ids, *columns], names=["doc_id", *names])
+
+    kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+    fields = [pa.field(x.split()[0], kinds[x.split()[1]]) for x in schema.split(",")]
+
+    def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            ids = b["doc"]
+            none = pa.array(~some.holds(np.asarray(ids.fill_null(0).cast(pa.int64())).copy()) | np.asarray(ids.is_null()))
+            b = b.filter(none)
+            yield rows(b["doc"], [t or b"" for t in b["text"].cast(pa.binary()).to_pylist()], [None] * b.num_rows)
+
+    def touched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            yield rows(b["doc"], [unpack(x) or b"" for x in b["packed"].to_pylist()], b["spans"].to_pylist())
+
+    joined = packed_texts(docs.where("doc is not null"), some).join(spans, "doc", "left").select("doc", "packed", "spans")
+    return docs.mapInArrow(untouched, f"doc_id long, {schema}").unionByName(joined.mapInArrow(touched, f"doc_id long, {schema}"))
 
 
 def covered(n: int, spans: list | None, length: int) -> np.ndarray:

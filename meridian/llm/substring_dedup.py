@@ -24,13 +24,12 @@ import hashlib
 from array import array
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import SEPARATORS, table
-from .repeats import Rule, covered, packed_texts, texts_of, unpack, with_repeats, words_of
+from .repeats import Rule, covered, texts_of, without_repeats, words_of
 
 LENGTH = 50
 #: Words of the grams that choose the sampled suffixes.
@@ -166,31 +165,24 @@ def remove_known_passages(docs: DataFrame, reference: DataFrame, length: int = L
     return state.mapInArrow(finish, f"doc_id {dict(docs.dtypes)['doc_id']}, n_words long, n_removed long, kept string")
 
 
-def duplicate_words(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256, kept (the remaining words) of every row."""
+def duplicate_words(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: bool = True) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 and, if asked, kept (the remaining words) of every row."""
     rule = Rule("words", length, min(gram, max(1, length // 2)), within_doc=False)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc"), "text")
 
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for blob, spans in zip(b["packed"].to_pylist(), b["spans"].to_pylist(), strict=True):
-                words = split(unpack(blob))
-                gone = covered(len(words), spans, length)
-                kept = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g] if spans else words)
-                out.append((len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace")))
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([b["doc"], *[pa.array([r[c] for r in out], k) for c, k in enumerate(kinds)]], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
+    def finish(text: bytes, spans: list | None) -> tuple:
+        words = split(text)
+        gone = covered(len(words), spans, length)
+        kept = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g] if spans else words)
+        return len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(), *([kept.decode()] if keep else [])
 
-    named = with_repeats(rows.where("doc is not null"), rule)
-    if docs.schema["doc_id"].nullable:
-        named = named.unionByName(packed_texts(rows.where("doc is null")).withColumn("spans", F.lit(None).cast(named.schema["spans"].dataType)))
-    return named.mapInArrow(finish, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    schema = "n_words long, n_removed long, kept_sha256 string" + (", kept string" if keep else "")
+    return without_repeats(rows, rule, finish, schema)
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the words of 50-word windows that start in an earlier document."""
-    return duplicate_words(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return duplicate_words(table(spark, sf_dir, "documents"), keep=False)
 
 
 OP9_SQL = """

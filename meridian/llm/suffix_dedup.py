@@ -12,49 +12,38 @@ columns are not read.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .repeats import Rule, covered, unpack, with_repeats
+from .repeats import Rule, covered, without_repeats
 
 LENGTH = 100
 #: Bytes of the grams that choose the sampled suffixes.
 GRAM = 48
 
 
-def duplicate_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes) of every row."""
+def duplicate_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: bool = True) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked, kept (the remaining bytes) of every row."""
     rule = Rule("bytes", length, min(gram, max(8, length // 2)), within_doc=True)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc"), "text")
 
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for blob, spans in zip(b["packed"].to_pylist(), b["spans"].to_pylist(), strict=True):
-                data = np.frombuffer(unpack(blob) or b"", dtype=np.uint8)
-                gone = covered(len(data), spans, length)
-                kept = data[~gone].tobytes()
-                edges = int(np.count_nonzero(gone[1:] & ~gone[:-1]) + (len(gone) > 0 and gone[0]))
-                out.append((len(data), int(gone.sum()), edges, hashlib.sha256(kept).hexdigest(), kept))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-            yield pa.RecordBatch.from_arrays([b["doc"], *[pa.array([r[c] for r in out], k) for c, k in enumerate(kinds)]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+    def finish(text: bytes, spans: list | None) -> tuple:
+        data = np.frombuffer(text, dtype=np.uint8)
+        gone = covered(len(data), spans, length)
+        kept = data[~gone].tobytes()
+        edges = int(np.count_nonzero(gone[1:] & ~gone[:-1]) + (len(gone) > 0 and gone[0]))
+        return len(data), int(gone.sum()), edges, hashlib.sha256(kept).hexdigest(), *([kept] if keep else [])
 
-    named = with_repeats(rows.where("doc is not null"), rule)
-    if docs.schema["doc_id"].nullable:
-        from .repeats import packed_texts
-
-        named = named.unionByName(packed_texts(rows.where("doc is null")).withColumn("spans", F.lit(None).cast(named.schema["spans"].dataType)))
-    return named.mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    schema = "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if keep else "")
+    return without_repeats(rows, rule, finish, schema)
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the bytes of 100-byte strings that also start earlier."""
-    return duplicate_bytes(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return duplicate_bytes(table(spark, sf_dir, "documents"), keep=False)
 
 
 OP3_SQL = """
