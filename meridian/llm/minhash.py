@@ -10,8 +10,9 @@
     Pairs are verified, first by their signatures, then on the full sets.
 5.  Connected components by alternating large-star and small-star.
 6.  Buckets that still hold several components are compared across components by
-    their signatures (large ones in blocks), so that no link is lost; pairs that
-    pass are verified on the full sets, and components are contracted again.
+    their signatures (large ones in blocks), so that no link is lost; rows with such
+    a pair come together with their texts, pairs are verified on the full sets
+    until their components are joined, and components are contracted again.
 
 Links are confirmed on full sets only: 100 * intersection >= 75 * union.
 
@@ -30,8 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
-from .repeats import Prefixes, chunks, mix, packed_texts, texts_of, unpack, words_of
+from .common import IdFilter, table, written
+from .repeats import Prefixes, chunks, mix, packed_texts, slices, texts_of, unpack, words_of
 
 SHINGLE = 5
 BANDS, ROWS = 40, 4
@@ -90,7 +91,8 @@ def signatures(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
                 low = np.minimum.reduceat(part * _A[i] + _B[i], at)
                 out[i, own] = np.minimum(out[i, own], low)
         d = stop
-    return out.T
+    # Sixteen mixed bits of a minimum do for comparing them.
+    return ((out.T * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(np.uint16)
 
 
 def identity(one: np.ndarray) -> tuple[int, int]:
@@ -104,9 +106,8 @@ FEATURES = "doc long, n long, s1 long, s2 long, signature binary"
 
 
 def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for at in range(0, b.num_rows, 512):
-            part = b.slice(at, 512)
+    for part in slices(batches):
+        if part.num_rows:
             sets, bounds = shingle_sets(part["text"])
             sizes = np.diff(bounds)
             sig = signatures(sets, bounds)
@@ -118,15 +119,16 @@ def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def band_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, doc) for each band of each row."""
+    """(key, band, doc) for each band of each row."""
     for b in batches:
         if not b.num_rows:
             continue
-        sig = np.frombuffer(b"".join(b["signature"].to_pylist()), dtype=np.uint32).reshape(b.num_rows, BANDS, ROWS).astype(np.uint64)
+        sig = np.frombuffer(b"".join(b["signature"].to_pylist()), dtype=np.uint16).reshape(b.num_rows, BANDS, ROWS).astype(np.uint64)
         key = np.full((b.num_rows, BANDS), np.uint64(0)) + np.arange(1, BANDS + 1, dtype=np.uint64)
         for r in range(ROWS):
             key = mix(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, r])
-        yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(np.asarray(b["doc"]), BANDS))], names=["key", "doc"])
+        band = np.tile(np.arange(BANDS, dtype=np.int32), b.num_rows)
+        yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(band), pa.array(np.repeat(np.asarray(b["doc"]), BANDS))], names=["key", "band", "doc"])
 
 
 def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -137,7 +139,7 @@ def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose signatures agree often enough."""
     for b in batches:
         if b.num_rows:
-            x, y = (np.frombuffer(b"".join(b[c].to_pylist()), dtype=np.uint32).reshape(b.num_rows, -1) for c in ("x", "y"))
+            x, y = (np.frombuffer(b"".join(b[c].to_pylist()), dtype=np.uint16).reshape(b.num_rows, -1) for c in ("x", "y"))
             keep = pa.array(estimate(x, y) >= LEAST_ESTIMATE)
             yield pa.RecordBatch.from_arrays([b["a"].filter(keep), b["b"].filter(keep)], names=["a", "b"])
 
@@ -163,14 +165,17 @@ def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b["a"].filter(mask), b["b"].filter(mask)], names=["a", "b"])
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, sign: bool = True) -> DataFrame:
+def texts_for(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc, packed) of the ids (doc), one row each."""
+    return written(packed_texts(docs, IdFilter(ids, "doc")).join(ids, "doc", "left_semi").dropDuplicates(["doc"]), "texts")
+
+
+def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) that are links: by signature, then on the full sets."""
-    if sign:
-        sig = classes.select("doc", "signature")
-        pairs = pairs.join(sig.select(F.col("doc").alias("a"), F.col("signature").alias("x")), "a").join(sig.select(F.col("doc").alias("b"), F.col("signature").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(likely, "a long, b long")
+    sig = classes.select("doc", "signature")
+    pairs = pairs.join(sig.select(F.col("doc").alias("a"), F.col("signature").alias("x")), "a").join(sig.select(F.col("doc").alias("b"), F.col("signature").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(likely, "a long, b long")
     pairs = written(pairs, "pairs")
-    involved = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
-    texts = written(packed_texts(docs).join(involved, "doc", "left_semi").dropDuplicates(["doc"]), "texts")
+    texts = texts_for(docs, pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct())
     whole = pairs.join(texts.select(F.col("doc").alias("b"), F.col("packed").alias("y")), "b").join(texts.select(F.col("doc").alias("a"), F.col("packed").alias("x")), "a")
     return written(whole.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), "links")
 
@@ -212,53 +217,105 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("u").alias("doc")).agg(F.min("v").alias("component"))
 
 
-def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components within a bucket (rows sorted by bucket) whose signatures agree."""
+def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of one (key, i, j) after the other; the batches are sorted by them."""
     held: list[pa.RecordBatch] = []
-
-    def close(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(rows)
-        n = t.num_rows
-        doc, comp = np.asarray(t["doc"]), np.asarray(t["component"])
-        side = np.asarray(t["side"])
-        sig = np.frombuffer(b"".join(t["signature"].to_pylist()), dtype=np.uint32).reshape(n, -1)
-        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-        for i in left:
-            other = right[(comp[right] != comp[i]) & ((side[right] != side[i]) | (doc[right] > doc[i]) if side[i] == 2 else (comp[right] != comp[i]))]
-            for at in range(0, len(other), 2048):
-                some = other[at : at + 2048]
-                # Most rows are ruled out by a part of the signature.
-                some = some[estimate(sig[some, :40], sig[i, :40]) >= 0.35]
-                some = some[estimate(sig[some], sig[i]) >= LEAST_ESTIMATE]
-                if len(some):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(doc[some], doc[i])), pa.array(np.maximum(doc[some], doc[i]))], names=["a", "b"])
-
     current = None
     for b in batches:
-        keys = list(zip(*(b[c].to_pylist() for c in ("key", "i", "j")), strict=True))
-        at = 0
-        for k in range(b.num_rows):
-            if keys[k] != current:
-                if k > at:
-                    held.append(b.slice(at, k - at))
-                if held:
-                    yield from close(held)
-                held, at, current = [], k, keys[k]
-        if b.num_rows > at:
-            held.append(b.slice(at))
+        keys = [np.asarray(b[c]) for c in ("key", "i", "j")]
+        cuts = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1 if b.num_rows else []
+        for at, end in zip([0, *cuts], [*cuts, b.num_rows], strict=True):
+            if end > at:
+                name = tuple(int(k[at]) for k in keys)
+                if name != current and held:
+                    yield pa.Table.from_batches(held)
+                    held = []
+                current = name
+                held.append(b.slice(at, end - at))
     if held:
-        yield from close(held)
+        yield pa.Table.from_batches(held)
+
 
+def open_pairs(t: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+    """For a bucket: each row with the rows of other components that it may be linked to.
 
-def missed_pairs(keys: DataFrame, classes: DataFrame, comps: DataFrame) -> DataFrame:
-    """Likely pairs of different components that share a bucket."""
-    labelled = written(keys.join(comps, "doc", "left").select("key", "doc", F.coalesce("component", "doc").alias("component")), "labelled")
+    A pair counts in the first band that it shares, so that other buckets needn't look at it.
+    """
+    comp, side, band = np.asarray(t["component"]), np.asarray(t["side"]), t["band"][0].as_py()
+    sig = np.frombuffer(b"".join(t["signature"].to_pylist()), dtype=np.uint16).reshape(t.num_rows, -1)
+    right = np.flatnonzero(side != 0)
+    for i in np.flatnonzero(side != 1):
+        some = right[(comp[right] != comp[i]) & ((right > i) if side[i] == 2 else True)]
+        for step in (40, sig.shape[1]):
+            some = some[estimate(sig[some, :step], sig[i, :step]) >= (LEAST_ESTIMATE if step > 40 else 0.35)]
+        if band and len(some):
+            before = (sig[some, : band * ROWS] == sig[i, : band * ROWS]).reshape(len(some), band, ROWS).all(2).any(1)
+            some = some[~before]
+        if len(some):
+            yield int(i), some
+
+
+def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of each bucket whose sets must be compared: (key, i, j, doc)."""
+    for t in groups(batches):
+        mark = np.zeros(t.num_rows, dtype=bool)
+        for i, some in open_pairs(t):
+            mark[i] = True
+            mark[some] = True
+        if mark.any():
+            keep = t.filter(pa.array(mark)).combine_chunks().to_batches()
+            yield from (x.select(["key", "band", "i", "j", "side", "doc", "component", "signature"]) for x in keep)
+
+
+def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links between components of a bucket, verified on full sets; those that join nothing new are left out."""
+    for t in groups(batches):
+        comp = t["component"].to_pylist()
+        root: dict[int, int] = {c: c for c in comp}
+
+        def top(c: int, root=root) -> int:
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        texts, full, out = t["packed"], {}, []
+
+        def words(k: int, full=full, texts=texts) -> np.ndarray:
+            if k not in full:
+                full[k] = shingle_sets(pa.array([unpack(texts[k].as_py())], pa.binary()))[0]
+            return full[k]
+
+        doc = t["doc"].to_pylist()
+        for i, some in open_pairs(t):
+            for k in some.tolist():
+                if top(comp[i]) == top(comp[k]):
+                    continue
+                s, u = words(i), words(k)
+                if SIMILAR[1] * min(len(s), len(u)) < SIMILAR[0] * max(len(s), len(u)):
+                    continue
+                both = len(np.intersect1d(s, u, assume_unique=True))
+                if SIMILAR[1] * both >= SIMILAR[0] * (len(s) + len(u) - both):
+                    out.append((doc[i], doc[k]))
+                    root[top(comp[i])] = top(comp[k])
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
+
+
+def missed_links(keys: DataFrame, classes: DataFrame, comps: DataFrame, docs: DataFrame) -> DataFrame:
+    """Verified links (a, b) between different components that share a bucket."""
+    labelled = written(keys.join(comps, "doc", "left").select("key", "band", "doc", F.coalesce("component", "doc").alias("component")), "labelled")
     open_ = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     rows = labelled.join(open_, "key").join(classes.select("doc", "signature"), "doc")
     mine = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")
     placed = rows.withColumn("mine", mine).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select("key", "doc", "component", "signature", F.least("mine", "o").alias("i"), F.greatest("mine", "o").alias("j"), F.when(F.col("mine") == F.col("o"), 2).when(F.col("mine") < F.col("o"), 0).otherwise(1).alias("side"))
-    return placed.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(across, "a long, b long").distinct()
+    placed = placed.select("key", "band", F.least("mine", "o").alias("i"), F.greatest("mine", "o").alias("j"), F.when(F.col("mine") == F.col("o"), 2).when(F.col("mine") < F.col("o"), 0).otherwise(1).alias("side"), "doc", "component", "signature")
+    schema = "key long, band int, i int, j int, side int, doc long, component long, signature binary"
+    order = ["key", "i", "j", "doc"]
+    need = written(placed.repartition("key", "i", "j").sortWithinPartitions(*order).mapInArrow(wanted, schema), "wanted")
+    texts = texts_for(docs, need.select("doc").distinct())
+    whole = need.join(texts, "doc").select(*need.columns, "packed").repartition("key", "i", "j").sortWithinPartitions(*order)
+    return written(whole.mapInArrow(settled, "a long, b long"), "missed").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -267,13 +324,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     known = written(rows.mapInArrow(features, FEATURES), "features")
     sets = known.where("doc is not null and n > 0")
     classes = written(sets.groupBy("s1", "s2", "n").agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("copies"), F.min("signature").alias("signature")), "classes")
-    keys = classes.select("doc", "signature").mapInArrow(band_keys, "key long, doc long")
+    keys = classes.select("doc", "signature").mapInArrow(band_keys, "key long, band int, doc long")
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     keys = written(keys.join(shared, "key"), "keys")
     texts = rows.where("doc is not null")
     links = confirmed(star_pairs(keys), classes, texts)
     comps = written(components(links), "components")
-    more = confirmed(missed_pairs(keys, classes, comps), classes, texts, sign=False)
+    more = missed_links(keys, classes, comps, texts)
     if not more.isEmpty():
         comps = written(components(links.union(more)), "components")
     # Equal sets take their class's component; a class joins in SALTS places, so that a huge one spreads.
