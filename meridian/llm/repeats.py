@@ -7,12 +7,11 @@ suffix that starts at its smallest ``k``-token hash (leftmost on ties).  Equal w
 choose the same place, so they meet in the order of the sampled suffixes.
 Neighbouring windows mostly share their suffix; such a run is one record:
 
-    lead, gram    leading tokens of the suffix, and the hash of its first k tokens
+    lead          leading tokens of the suffix (24 bits), then the hash of its first k tokens (40 bits)
     context       hash of all tokens of the run's windows
     doc, place    where the run starts, and how many windows it has
 
-Records are range-partitioned by sampled splitters on (lead, gram, context, doc,
-place).  Each bucket sorts its records with a multikey quicksort and compares
+Records are range-partitioned by sampled splitters on (lead, context, doc, place).  Each bucket sorts its records with a multikey quicksort and compares
 neighbours: records of one context are equal window by window, so all but the
 first are repeats; a suffix with several contexts leaves its first records as
 candidates, whose windows are then compared one by one in the same way, again in
@@ -20,7 +19,7 @@ range-partitioned sorted buckets.  A group as large as a third of all rows sprea
 over many buckets, since doc and place belong to the order; what a bucket can't
 know about its first group is settled by comparing across bucket boundaries.
 
-Hashes have 64 bits for each of gram and context, and two of 64 bits for a window.
+Equal runs agree in lead and context, 128 bits; equal windows in two hashes of 64 bits.
 """
 
 from __future__ import annotations
@@ -163,20 +162,20 @@ class Rule:
         return _BYTES[raw] if self.unit == "bytes" else raw
 
     def lead(self, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Leading tokens as an integer in their order: eight bytes, or the first word's hash."""
+        """Leading tokens in their order: three bytes, or 24 bits of the first word's hash."""
         if self.unit == "words":
-            return raw[at].view(np.int64)
+            return raw[at] >> U(40)
         out = np.zeros(len(at), dtype=np.uint64)
-        for j in range(8):
+        for j in range(3):
             out = (out << U(8)) | raw[at + j].astype(np.uint64)
-        return (out ^ U(1 << 63)).view(np.int64)
+        return out
 
 
 def sampled_runs(rule: Rule, raw: np.ndarray, within: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(lead, gram, context, text number, start, windows) of the runs of one piece."""
+    """(lead, context, text number, start, windows) of the runs of one piece."""
     length, k = rule.length, rule.gram
     n, span = len(raw), length - k + 1
-    empty = tuple(np.zeros(0, dtype=np.int64) for _ in range(6))
+    empty = tuple(np.zeros(0, dtype=np.int64) for _ in range(5))
     sizes = np.diff(within)
     long = np.flatnonzero(sizes >= length)
     if not len(long):
@@ -201,10 +200,11 @@ def sampled_runs(rule: Rule, raw: np.ndarray, within: np.ndarray) -> tuple[np.nd
     counts = np.diff(np.append(first, len(windows)))
     start, anchor = windows[first], anchors[first]
     context = hashes.of(start, start + counts - 1 + length, start)
-    return rule.lead(raw, anchor), grams[anchor].view(np.int64), context.view(np.int64), np.searchsorted(within, start, "right") - 1, start, counts
+    lead = (rule.lead(raw, anchor) << U(40)) | (grams[anchor] >> U(24))
+    return (lead ^ U(1 << 63)).view(np.int64), context.view(np.int64), np.searchsorted(within, start, "right") - 1, start, counts
 
 
-RUNS = "lead long, gram long, context long, doc long, place long"
+RUNS = "lead long, context long, doc long, place long"
 #: A place holds the start of a run and its windows less one.
 _BITS = 10
 
@@ -217,10 +217,10 @@ def runs(docs: DataFrame, rule: Rule) -> DataFrame:
             raw, bounds = rule.tokens(b["text"])
             ids = np.asarray(b["doc"])
             for at, end, numbers, within, base in chunks(bounds, rule.length):
-                lead, gram, context, number, start, count = sampled_runs(rule, raw[at:end], within)
+                lead, context, number, start, count = sampled_runs(rule, raw[at:end], within)
                 if len(lead):
                     place = ((start - within[number] + base[number]) << _BITS) | (count - 1)
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (lead, gram, context, ids[numbers[number]], place)], names=["lead", "gram", "context", "doc", "place"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (lead, context, ids[numbers[number]], place)], names=["lead", "context", "doc", "place"])
 
     return docs.mapInArrow(emit, RUNS)
 
@@ -270,8 +270,8 @@ def compare_runs(rule: Rule) -> Callable:
         if not cols:
             return
         order = multikey_order(cols)
-        lead, gram, context, doc, place = (c[order] for c in cols)
-        group, equal = starts_of(lead, gram), starts_of(lead, gram, context)
+        lead, context, doc, place = (c[order] for c in cols)
+        group, equal = starts_of(lead), starts_of(lead, context)
         first = np.maximum.accumulate(np.where(equal, np.arange(len(doc)), 0))
         later = doc != doc[first]
         repeat = later | (place != place[first]) if rule.within_doc else later
@@ -395,7 +395,7 @@ def repeated_windows(docs: DataFrame, rule: Rule) -> DataFrame:
     """
     spark = docs.sparkSession
     n = max(shuffle_parts(spark), BUCKETS * docs.rdd.getNumPartitions())
-    keys = ["lead", "gram", "context", "doc", "place"]
+    keys = ["lead", "context", "doc", "place"]
     pieces = written(runs(docs, rule).repartitionByRange(n, *keys).mapInArrow(compare_runs(rule), PIECES), "runs")
     spans = pieces.where("kind = 2").groupBy("doc").agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
     windows = spans.join(packed_texts(docs, IdFilter(spans, "doc")), "doc").select("doc", "packed", "spans").mapInArrow(window_hashes(rule), "lead long, rest long, doc long, start long")
