@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -63,6 +64,8 @@ class ZoneIndex:
     cells: DataFrame
     cell: int = CELL
     data_version: str = "unknown"
+    #: The broadcast copy that the Arrow strategy made.
+    sent: Any = field(default=None, repr=False)
 
     @classmethod
     def compile(cls, rings: DataFrame, cell: int = CELL, data_version: str = "unknown") -> ZoneIndex:
@@ -96,3 +99,6 @@ class ZoneIndex:
     def __exit__(self, *exc) -> None:
         for name in _TABLES:
             getattr(self, name).unpersist()
+        if self.sent is not None:
+            self.sent.unpersist()
+            self.sent = None

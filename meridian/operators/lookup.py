@@ -142,7 +142,9 @@ class BroadcastIndex:
 
 
 def _arrow(rows: DataFrame, index: ZoneIndex, mode: str) -> DataFrame:
-    sent = rows.sparkSession.sparkContext.broadcast(BroadcastIndex(index))
+    if index.sent is None:
+        index.sent = rows.sparkSession.sparkContext.broadcast(BroadcastIndex(index))
+    sent = index.sent
 
     @F.pandas_udf("int")
     def zone(x: pd.Series, y: pd.Series) -> pd.Series:

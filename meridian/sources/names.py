@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def read_zone_names(spark: SparkSession, path: str) -> DataFrame:
     """zone_id, tz_name of a names file; blank lines don't count."""
-    lines = spark.read.text(path, wholetext=True).select(F.filter(F.transform(F.split("value", "\r?\n"), F.trim), lambda v: v != "").alias("names"))
+    lines = spark.read.text(path, wholetext=True).select(F.filter(F.transform(F.split("value", "\r?\n"), lambda v: F.trim(v)), lambda v: v != "").alias("names"))
     return lines.select(F.posexplode("names").alias("zone_id", "tz_name"))
 
 
