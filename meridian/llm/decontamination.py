@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .repeats import texts_of, words_of
+from .repeats import slices, texts_of, words_of
 
 K1, B = 1.2, 0.75
 PART = 64
@@ -255,7 +255,7 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
         sent = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches, sent=sent):
-            for b in batches:
+            for b in slices(batches):
                 hits = sent.value.batch(b["text"])
                 at = [k for k, h in enumerate(hits) for _ in h]
                 rows = [x for h in hits for x in h]
@@ -278,7 +278,7 @@ def clean_only(docs: DataFrame, items: DataFrame) -> DataFrame:
         sent = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches, sent=sent):
-            for b in batches:
+            for b in slices(batches):
                 yield b.filter(pa.array([not h for h in sent.value.batch(b["text"])], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)

@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, written
+from .repeats import slices
 
 #: n-gram lengths in characters of a lower-cased text whose words are joined by one space.
 SIZES = (2, 3, 4)
@@ -53,9 +54,22 @@ def letters(text: str) -> str:
     return " " + " ".join(found) + " " if found else ""
 
 
-def codes(text: str) -> list[tuple[int, np.ndarray]]:
-    """For each n, the n-grams of ``letters(text)`` as 64-bit codes."""
-    chars = np.frombuffer(letters(text).encode("utf-32-le"), dtype="<u4").astype(np.uint64)
+#: Characters looked up at a time.
+PIECE = 1 << 17
+
+
+def pieces(text: str) -> Iterator[list[tuple[int, np.ndarray]]]:
+    """``codes`` of a text, a bounded part at a time; parts overlap so that every n-gram lies in one."""
+    plain = letters(text)
+    for at in range(0, len(plain), PIECE):
+        got = codes(plain[at : at + PIECE + max(SIZES) - 1])
+        if got:
+            yield got
+
+
+def codes(plain: str) -> list[tuple[int, np.ndarray]]:
+    """For each n, the n-grams of a text as 64-bit codes."""
+    chars = np.frombuffer(plain.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
     out, acc = [], None
     for n in range(1, max(SIZES) + 1):
         if len(chars) < n + 1:
@@ -77,11 +91,11 @@ def slots_of(grams: np.ndarray, j: int) -> np.ndarray:
 
 def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per task: (lang, n, gram, times) of its documents."""
-    for b in (b.slice(at, 128) for b in batches for at in range(0, b.num_rows, 128)):
+    for b in slices(batches, 128, 1 << 20):
         sums: dict[str, list[tuple[int, np.ndarray]]] = {}
         docs: Counter = Counter()
         for lang, text in zip(b["lang"].to_pylist(), b["text"].to_pylist(), strict=True):
-            sums.setdefault(lang, []).extend(codes(text or ""))
+            sums.setdefault(lang, []).extend(g for part in pieces(text or "") for g in part)
             docs[lang] += 1
         for lang, parts in sums.items():
             for n in SIZES:
@@ -112,11 +126,14 @@ class Filters:
         return found
 
     def decide(self, text: str | None) -> tuple[str, float]:
-        parts = codes(text) if text else []
-        if not parts or not self.langs:
+        total, counts = 0, np.zeros(len(self.langs))
+        for part in pieces(text) if text and self.langs else ():
+            found = self.lookup(np.concatenate([g for _, g in part]))
+            total += len(found)
+            counts += [np.count_nonzero(found & self.kind(1 << bit)) for bit in range(len(self.langs))]
+        if not total:
             return "und", 0.0
-        found = self.lookup(np.concatenate([g for _, g in parts]))
-        hits = np.array([np.count_nonzero(found & self.kind(1 << bit)) for bit in range(len(self.langs))]) / len(found)
+        hits = counts / total
         share = np.clip((hits - self.false) / np.maximum(1 - self.false, 1e-9), 0, 1)
         best = int(share.argmax())
         rest = float(np.delete(share, best).max()) if len(share) > 1 else 0.0

@@ -29,6 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -372,11 +373,19 @@ def packed_texts(docs: DataFrame, only: IdFilter | None = None) -> DataFrame:
     return docs.mapInArrow(emit, "doc long, packed binary")
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Batches of at most so many rows."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches of at most so many rows and, but for one long row, bytes of text."""
     for b in batches:
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
+        held = np.zeros(b.num_rows, dtype=np.int64)
+        for c in b.columns:
+            if pa.types.is_string(c.type) or pa.types.is_binary(c.type) or pa.types.is_large_string(c.type) or pa.types.is_large_binary(c.type):
+                held += np.asarray(pc.binary_length(c).fill_null(0))
+        upto, at = np.cumsum(held), 0
+        while at < b.num_rows:
+            end = int(np.searchsorted(upto, (upto[at - 1] if at else 0) + size, "right"))
+            end = min(max(end, at + 1), at + rows)
+            yield b.slice(at, end - at)
+            at = end
         trim()
 
 

@@ -410,3 +410,22 @@ def test_languages_of_held_out_texts(spark, docs, texts, empty):
     assert none.langs == [] and none.decide("text") == ("und", 0.0)
     assert language.Filters([], {}).decide(None) == ("und", 0.0)
     assert set(language.known_language(docs).columns) == set(docs.columns)
+
+
+def test_texts_longer_than_a_piece():
+    rng = random.Random(11)
+    many = [f"w{rng.randrange(5000)}" for _ in range(600_000)]
+    text = " ".join(many)
+    sets, bounds = minhash.shingle_sets(pa.array([text, "a b c", None, "A b C"]))
+    assert list(np.diff(bounds)) == [len({tuple(many[i : i + 5]) for i in range(len(many) - 4)}), 1, 0, 1]
+    assert sets[-1] == sets[-2]
+    assert sum(len(g) for part in language.pieces(text) for n, g in part if n == 2) >= len(text) * 0.3
+    assert [b.num_rows for b in minhash.slices([pa.record_batch([pa.array(["x" * 6_000_000, "y" * 6_000_000, "z", "z"])], names=["text"])])] == [1, 3]
+
+
+def test_long_repeated_bytes(spark):
+    rng = random.Random(12)
+    big = "".join(rng.choice("abcdefgh") for _ in range(600_000))
+    df = spark.createDataFrame([(1, big), (2, "!" + big[1000:]), (3, big[:500_000] + "?" + big[500_000:])], "doc_id long, text string")
+    out = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup.duplicate_bytes(df, keep=False).collect()}
+    assert out == {1: (600_000, 0, 0), 2: (599_001, 599_000, 1), 3: (600_001, 600_000, 2)}
