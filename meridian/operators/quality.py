@@ -41,6 +41,11 @@ def wrong_references(index: ZoneIndex) -> DataFrame:
     return both.where((F.col("xs").isNotNull() == F.col("ref_poly_id").isNotNull()) | (F.col("ref_poly_id").isNotNull() & differ)).select("hole_id", "poly_id", "ref_poly_id")
 
 
+def dedup_ratio(holes: DataFrame) -> DataFrame:
+    """How many holes there are, and the share of them kept as a reference to a boundary (null: no holes)."""
+    return holes.agg(F.count(F.lit(1)).alias("holes"), F.avg(F.col("ref_poly_id").isNotNull().cast("double")).alias("ratio"))
+
+
 def uncovered_vertices(index: ZoneIndex) -> DataFrame:
     """Polygons with a vertex in a cell that lists neither them nor their zone alone."""
     pts = index.polygons.select("poly_id", "zone_id", F.explode(F.arrays_zip("xs", "ys")).alias("p")).select("poly_id", "zone_id", cell_of(F.col("p.xs"), F.col("p.ys"), index.cell).alias("cell_id")).distinct()

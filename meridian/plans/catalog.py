@@ -243,6 +243,15 @@ def _ways() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | N
     q["bbox_cells"] = (lambda s, d: covered_cells(index_of(s).polygons, CELL).groupBy("poly_id").agg(F.count(F.lit(1)).alias("cells")), f"WITH {_world()} SELECT CAST(poly_id AS INTEGER) AS poly_id, (least((xmax + 1800000000) // {CELL}, 35) - least((xmin + 1800000000) // {CELL}, 35) + 1) * (least((ymax + 900000000) // {CELL}, 17) - least((ymin + 900000000) // {CELL}, 17) + 1) AS cells FROM polys")
     q["geometry_pairs"] = (lambda s, d: geometry(index_of(s), "Land/Host").select("poly_id", F.size("rings").alias("rings"), F.size(F.flatten("rings")).alias("vertices"), F.col("rings")[0][0]["lng"].alias("lng")), "SELECT * FROM (VALUES (1::INTEGER, 2::INTEGER, 8::INTEGER, 10.0::DOUBLE), (2, 1, 4, 14.0)) t(poly_id, rings, vertices, lng)")
     q["geometry_lists"] = (lambda s, d: geometry(index_of(s), "Land/Islands", pairs=False).select("poly_id", F.size("rings").alias("rings"), F.col("rings")[0]["lngs"][0].alias("lng"), F.col("rings")[0]["lats"][0].alias("lat")), None)
+    # Whole cents, so that sums don't depend on their order.
+    q["revenue_per_tz"] = (
+        lambda s, d: lookup(points(s, d, "orders", "o_orderkey", "o_totalprice"), index_of(s)).groupBy("tz_name").agg(F.sum(F.floor(F.col("o_totalprice") * 100)).alias("cents")),
+        f"{_full('orders', 'o_orderkey', ', o_totalprice')} SELECT tz_name, CAST(sum(CAST(floor(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS cents FROM full_ LEFT JOIN zones USING (zone_id) GROUP BY 1",
+    )
+    q["dedup_ratio"] = (
+        lambda s, d: quality.dedup_ratio(index_of(s).holes),
+        f"SELECT count(*) AS holes, avg(CASE WHEN ref_poly_id IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END) AS ratio FROM ({q['hole_refs'][1]})",
+    )
     q["csv_annotate"] = (_csv, None)
     q["stream_lookup"] = (_stream, f"{_full()} SELECT k, tz_name FROM full_ LEFT JOIN zones USING (zone_id)")
     return q

@@ -130,6 +130,12 @@ def test_integrity(spark, tiled):
     assert [r.problem for r in quality.bad_rings(rings).collect()] == ["under three vertices"]
 
 
+def test_dedup_ratio(spark):
+    holes = spark.createDataFrame([(0, 1), (1, None), (2, 3), (2, 3)], "hole_id int, ref_poly_id int")
+    assert quality.dedup_ratio(holes).first() == (4, 0.75)
+    assert quality.dedup_ratio(holes.where("false")).first() == (0, None)
+
+
 def test_save_load_and_format_guard(spark, tmp_path):
     index = ZoneIndex.compile(catalog.rings_of(spark, world.overlapping()), catalog.CELL, "2026c")
     index.save(str(tmp_path / "i"))
