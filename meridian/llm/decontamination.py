@@ -32,6 +32,7 @@ import re
 from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -50,13 +51,33 @@ OVERLAP = 0.75
 INDEX_BYTES = 16 << 20
 #: Terms of more than this share of the items are frequent.
 FREQUENT = 0.04
-#: Tokens are runs of ASCII letters and digits and of all other characters beyond ASCII; A-Z count as a-z.
-_TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
-_LOOKUP = np.frombuffer(_TABLE, dtype=np.uint8)
+#: A token is a run of word characters (``\w``: letters and digits of any script, and _) of the case-folded text.
+_TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c == 95 else 32 for c in range(128)) + bytes(range(128, 256))
+#: Characters folded at a time.
+PIECE = 1 << 20
+
+
+@lru_cache(maxsize=1)
+def word_characters() -> np.ndarray:
+    """Of all code points, whether they are word characters."""
+    return np.array([chr(c).isalnum() or c == 95 for c in range(0x110000)])
+
+
+def folded(text: str | None) -> bytes:
+    """The text case-folded, in UTF-8, with a space for every character outside words."""
+    if not text:
+        return b""
+    if text.isascii():
+        return text.encode().translate(_TABLE)
+    out = []
+    for at in range(0, len(text), PIECE):
+        chars = np.frombuffer(text[at : at + PIECE].casefold().encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        out.append(np.where(word_characters()[chars], chars, np.uint32(32)).tobytes().decode("utf-32-le").encode())
+    return b"".join(out)
 
 
 def tokens(text: str | None) -> list[bytes]:
-    return text.encode().translate(_TABLE).split() if text else []
+    return folded(text).split()
 
 
 def shingles(words: list[bytes]) -> set[tuple[bytes, ...]]:
@@ -128,8 +149,7 @@ class Index:
 
     def screened(self, texts: pa.Array) -> dict[int, list[int]]:
         """For each text that may match, its passages that may (by number)."""
-        data, bounds = texts_of(texts)
-        hashes, _, _, words = words_of(_LOOKUP[data], bounds)
+        hashes, _, _, words = words_of(*texts_of(pa.array([folded(t) for t in texts.to_pylist()], pa.large_binary())))
         if not len(hashes) or not len(self.of):
             return {}
         count = np.maximum(0, -(-np.diff(words) // PART))

@@ -392,6 +392,18 @@ def test_screening_loses_nothing():
     assert index.batch(pa.array(texts)) == [index.matches(t) for t in texts]
 
 
+def test_copies_in_other_case_and_typography_match():
+    item = "¿Qué canción del corazón suena aquí, años después de la niñez? Das Straßenfest - \"laut und fröhlich\" - endet übermorgen früh, öffnet ähnlich"
+    index = decontamination.Index([(1, item), (2, "nothing of this kind is in any of those texts here today")])
+    loud = "Vorab " + item.upper() + " Ende"
+    curly = item.replace(" - ", "\u2014").replace('"', "\u201d").replace(" ", "\u00a0")
+    for text in (item, loud, curly):
+        assert [(i, q, a) for i, _, q, a in index.batch(pa.array([text]))[0]] == [(1, 1.0, 1.0)]
+    assert decontamination.tokens("CIÓN house—red snake_case «Ünder»\u00a0x ΟΔΟΣ") == [w.encode() for w in ("ción", "house", "red", "snake_case", "ünder", "x", "οδοσ")]
+    long = "É—a " * 600_000
+    assert decontamination.tokens(long) == ["é".encode(), b"a"] * 600_000
+
+
 # 10. language
 
 
