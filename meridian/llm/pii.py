@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import datetime
 import hashlib
+import math
 import re
 import string
 from collections.abc import Callable, Iterator
@@ -34,6 +35,8 @@ from .common import table
 
 KEY = b"meridian-pseudonyms-1"
 ROUNDS = 10
+#: Characters of a value permuted as one number.
+PIECE = 1024
 KINDS = ("email", "card", "iban", "phone", "ip", "date", "key")
 
 _FIND = re.compile(
@@ -48,20 +51,28 @@ _FIND = re.compile(
 )
 
 
+def digest(data: bytes, width: int, key: bytes) -> bytes:
+    """A keyed hash of any number of bytes."""
+    if width <= 64:
+        return hashlib.blake2b(data, key=key, digest_size=width).digest()
+    seed = hashlib.blake2b(data, key=key).digest()
+    return b"".join(hashlib.blake2b(seed + k.to_bytes(8, "big"), key=key).digest() for k in range(-(-width // 64)))[:width]
+
+
 def permuted(value: int, size: int, label: bytes, key: bytes = KEY) -> int:
     """A keyed permutation of range(size): a Feistel network over a * b >= size, walked back into range."""
     if size < 2:
         return value
-    a = int(size**0.5)
-    while a * a < size:
-        a += 1
-    b = a
+    a = b = math.isqrt(size - 1) + 1
     head = label + size.to_bytes((size.bit_length() + 7) // 8, "big")
+    # Halves beyond 24 bytes get a digest of 8 bytes more than they have.
+    width = (a.bit_length() + 7) // 8
+    width = 24 if width <= 24 else width + 8
 
     def once(v: int) -> int:
         left, right = divmod(v, b)
         for r in range(ROUNDS):
-            f = int.from_bytes(hashlib.blake2b(head + bytes([r]) + right.to_bytes(24, "big"), key=key, digest_size=24).digest(), "big")
+            f = int.from_bytes(digest(head + bytes([r]) + right.to_bytes(width, "big"), width, key), "big")
             left, right = right, (left + f) % a
         return left * b + right
 
@@ -73,6 +84,13 @@ def permuted(value: int, size: int, label: bytes, key: bytes = KEY) -> int:
 
 def mapped(text: str, label: bytes, keep: Callable[[str], bool] | None = None) -> str:
     """Letters and digits of ``text`` permuted as one number in their mixed radix, walked until ``keep`` holds."""
+    if keep is None and len(text) > PIECE:
+        # Big numbers cost their square: pieces, each keyed by all that stands before it, are a permutation too.
+        before, made = hashlib.blake2b(label), []
+        for at in range(0, len(text), PIECE):
+            made.append(mapped(text[at : at + PIECE], label + before.digest()))
+            before.update(text[at : at + PIECE].encode())
+        return "".join(made)
     pools = [next((p for p in (string.digits, string.ascii_lowercase, string.ascii_uppercase) if c in p), "") for c in text]
     size = 1
     for p in pools:

@@ -327,6 +327,21 @@ def test_invalid_values_stay(docs, texts, empty):
     assert {r.doc_id: r.text for r in out}[3] is None
 
 
+def test_long_values_are_permuted():
+    for n in (38, 40, 60, 100, 217, 500, 5000):
+        made = set()
+        for local in ("a" * n, "b" + "a" * (n - 1), "ab1" * (n // 3) + "x" * (n % 3)):
+            new, spans = pii.pseudonymised(f"to {local}@example.com now")
+            assert [k for k, _, _ in spans] == ["email"]
+            got = re.fullmatch("to (.*)@example.com now", new).group(1)
+            assert [c.isdigit() for c in got] == [c.isdigit() for c in local] and got.isalnum() and got.islower() and got != local
+            made.add(got)
+        assert len(made) == 3
+        value = "sk-" + "a1" * (n // 2)
+        new, spans = pii.pseudonymised(f"key {value}.")
+        assert [k for k, _, _ in spans] == ["key"] and len(new) == len(f"key {value}.") and value not in new
+
+
 # 7. top k
 
 
