@@ -14,7 +14,8 @@ a capital prefix and 16 or more of A-Z0-9).
 
 Defined results: a null text stays null; texts without values return unchanged;
 where kinds overlap the earlier and longer value counts; values that fail
-validation stay; repeated rows agree; an empty table gives no rows; other
+validation stay, unless another kind or a part that ends at a group is valid from
+the same start; repeated rows agree; an empty table gives no rows; other
 columns are not read.
 """
 
@@ -39,16 +40,17 @@ ROUNDS = 10
 PIECE = 1024
 KINDS = ("email", "card", "iban", "phone", "ip", "date", "key")
 
-_FIND = re.compile(
-    r"""(?P<email>(?<![\w.+%-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})
-      |(?P<iban>\b[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?\b)
-      |(?P<key>\b(?:AKIA|ASIA|AIza|ghp_|sk-)[A-Za-z0-9]{16,}\b)
-      |(?P<date>(?<![\d.])(?:\d{4}-\d{2}-\d{2}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4})(?![\d-]))
-      |(?P<ip>(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d))
-      |(?P<card>(?<![\d.])\d(?:[ -]?\d){12,18}(?![\d]))
-      |(?P<phone>(?<![\w.])\+?\d{0,3}[ .-]?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\w.])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d.-]))""",
-    re.VERBOSE,
-)
+_KINDS = {
+    "email": r"(?<![\w.+%-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "iban": r"\b[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?\b",
+    "key": r"\b(?:AKIA|ASIA|AIza|ghp_|sk-)[A-Za-z0-9]{16,}\b",
+    "date": r"(?<![\d.])(?:\d{4}-\d{2}-\d{2}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4})(?![\d-])",
+    "ip": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)",
+    "card": r"(?<![\d.])\d(?:[ -]?\d){12,18}(?![\d])",
+    "phone": r"(?<![\w.])\+?\d{0,3}[ .-]?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\w.])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d.-])",
+}
+_FIND = re.compile("|".join(f"(?P<{k}>{p})" for k, p in _KINDS.items()))
+_EACH = {k: re.compile(p) for k, p in _KINDS.items()}
 
 
 def digest(data: bytes, width: int, key: bytes) -> bytes:
@@ -200,20 +202,52 @@ def pseudonym(kind: str, value: str) -> str | None:
     return None
 
 
+def other_value(text: str, at: int, failed: str | None = None) -> tuple[str, int, str] | None:
+    """(kind, end, pseudonym) of the value of another kind than ``failed`` that starts at ``at``."""
+    for kind, pattern in _EACH.items():
+        if kind != failed and (m := pattern.match(text, at)) and (new := pseudonym(kind, m.group())) is not None:
+            return kind, m.end(), new
+    return None
+
+
+def longer_at(text: str, kind: str, at: int, end: int) -> bool:
+    """Whether a value that starts at ``at`` goes on beyond ``end``."""
+    found = other_value(text, at, kind)
+    own = _EACH[kind].match(text, at)
+    return bool(found and found[1] > end or own and own.end() > end and pseudonym(kind, own.group()) is not None)
+
+
+def shorter_value(text: str, kind: str, start: int, end: int) -> tuple[str, int, str] | None:
+    """(kind, end, pseudonym) of the longest valid value at ``start`` that ends at a group before ``end``.
+
+    A part that would cut a value starting at a later group is passed over.
+    """
+    gaps = [g.start() for g in re.finditer(r"[ .-]+", text[start:end])]
+    for gap in reversed(gaps):
+        m = _EACH[kind].fullmatch(text, start, start + gap)
+        if not m or (new := pseudonym(kind, m.group())) is None:
+            continue
+        if not any(longer_at(text, kind, start + g + 1, m.end()) for g in gaps if g + 1 < gap):
+            return kind, m.end(), new
+    return None
+
+
 def pseudonymised(text: str) -> tuple[str, list[tuple[str, int, int]]]:
     """The text with pseudonyms, and (kind, start, end) of each value in the input."""
     spans: list[tuple[str, int, int]] = []
     out, done, at = [], 0, 0
     while m := _FIND.search(text, at):
         kind, value = m.lastgroup, m.group()
-        new = pseudonym(kind, value)
+        end, new = m.end(), pseudonym(kind, value)
+        if new is None and (found := other_value(text, m.start(), kind) or shorter_value(text, kind, m.start(), end)):
+            kind, end, new = found
         if new is None:
             # Not valid as this kind: look on behind its first character run.
             at = m.start() + max(1, len(re.match(r"\+?\d+|\w+|.", value, re.DOTALL).group()))
             continue
         out += [text[done : m.start()], new]
-        spans.append((kind, m.start(), m.end()))
-        done = at = m.end()
+        spans.append((kind, m.start(), end))
+        done = at = end
     return ("".join(out) + text[done:] if spans else text), spans
 
 

@@ -327,6 +327,28 @@ def test_invalid_values_stay(docs, texts, empty):
     assert {r.doc_id: r.text for r in out}[3] is None
 
 
+def test_adjacent_values_are_all_found():
+    card, iban = "4111 1111 1111 1111", "BE68 5390 0754 7034"
+    cases = {
+        "4111111111111111 123": [("card", "4111111111111111")],
+        card + " 12/25": [("card", card)],
+        "12/25 " + card: [("card", card)],
+        "123 " + card + " 123": [("card", card)],
+        card + " 2024-01-02": [("card", card), ("date", "2024-01-02")],
+        card + " 415-555-2671": [("card", card), ("phone", "415-555-2671")],
+        "415-555-2671 415-555-2672": [("phone", "415-555-2671"), ("phone", "415-555-2672")],
+        "415-555-2671 2024-01-02": [("phone", "415-555-2671"), ("date", "2024-01-02")],
+        "415-555-2671 " + card: [("phone", "415-555-2671"), ("card", card)],
+        iban + " 2024-01-02": [("iban", iban), ("date", "2024-01-02")],
+        iban + " PLEASE": [("iban", iban)],
+        "+1 415-555-2671 2024-01-02": [("phone", "+1 415-555-2671"), ("date", "2024-01-02")],
+    }
+    for text, want in cases.items():
+        new, spans = pii.pseudonymised(text)
+        assert [(k, text[a:b]) for k, a, b in spans] == want
+        assert all(new[a:b] != text[a:b] for _, a, b in spans)
+
+
 def test_long_values_are_permuted():
     for n in (38, 40, 60, 100, 217, 500, 5000):
         made = set()
