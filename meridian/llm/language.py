@@ -125,21 +125,36 @@ class Filters:
             found = found & self.masks[j][slots_of(grams, j)]
         return found
 
-    def decide(self, text: str | None) -> tuple[str, float]:
+    def shares(self, text: str | None) -> tuple[int, np.ndarray]:
+        """How many n-grams a text has, and each language's corrected share of hits."""
         total, counts = 0, np.zeros(len(self.langs))
         for part in pieces(text) if text and self.langs else ():
             found = self.lookup(np.concatenate([g for _, g in part]))
             total += len(found)
             counts += [np.count_nonzero(found & self.kind(1 << bit)) for bit in range(len(self.langs))]
+        hits = counts / max(total, 1)
+        return total, np.clip((hits - self.false) / np.maximum(1 - self.false, 1e-9), 0, 1)
+
+    def decide(self, text: str | None) -> tuple[str, float]:
+        total, share = self.shares(text)
         if not total:
             return "und", 0.0
-        hits = counts / total
-        share = np.clip((hits - self.false) / np.maximum(1 - self.false, 1e-9), 0, 1)
         best = int(share.argmax())
         rest = float(np.delete(share, best).max()) if len(share) > 1 else 0.0
         top = float(share[best])
         return self.langs[best], (top / (top + rest) if top > 0 else 0.0)
 
+    def known(self, text: str | None, levels: dict[str, float]) -> bool:
+        """Whether a text's share of hits in its best language is not far below that language's level.
+
+        Two standard errors of a share over so few n-grams are allowed for.
+        """
+        total, share = self.shares(text)
+        if not total:
+            return False
+        best = int(share.argmax())
+        return float(share[best]) > 0 and float(share[best]) + 1 / total**0.5 >= KNOWN * levels.get(self.langs[best], 0.0)
+
 
 def learn(docs: DataFrame, min_share: float = MIN_SHARE, per_language: int = PER_LANGUAGE, max_learn: int = MAX_LEARN) -> Filters:
     """Filters from ``text`` and ``lang`` of all rows with a non-null language."""
@@ -189,12 +204,38 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs.select("doc_id", "text"), filters).select("doc_id", held.alias("held_out"), "found.lang_pred", "found.score")
 
 
-#: Texts whose best language has less than this share of corrected hits over the two best are rejected.
-MIN_SCORE = 0.3
+#: A text of a known language has at least this part of the median share of hits of the language's learning documents.
+KNOWN = 0.5
+#: Documents a language whose shares are measured for that median, about.
+MAX_LEVEL = 500
+
+
+def levels_of(docs: DataFrame, filters: Filters, most: int = MAX_LEVEL) -> dict[str, float]:
+    """The median share of hits that learning documents have in their own language."""
+    sent = docs.sparkSession.sparkContext.broadcast(filters)
+    place = {lang: k for k, lang in enumerate(filters.langs)}
+
+    @F.pandas_udf("double")
+    def share(texts: pd.Series, langs: pd.Series) -> pd.Series:
+        return pd.Series([float(found[place[lang]]) if total else None for (total, found), lang in zip(map(sent.value.shares, texts), langs, strict=True)], dtype="float64")
+
+    known = docs.where(F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), "text").where(F.col("lang").isin(filters.langs))
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    part = F.lit(False)
+    for lang, n in sizes.items():
+        part = part | ((F.col("lang") == lang) & (F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(min(1.0, most / n) * (1 << 30))))
+    measured = known.where(part).select("lang", share("text", "lang").alias("share")).where("share is not null and not isnan(share)")
+    return {r["lang"]: r["level"] for r in measured.groupBy("lang").agg(F.percentile_approx("share", 0.5).alias("level")).collect()}
 
 
 def known_language(docs: DataFrame) -> DataFrame:
-    """Pipeline stage: documents whose language is undetermined go."""
+    """Pipeline stage: documents go that have no letter, or too few n-grams of any language learnt."""
     filters = learn(docs)
-    kept = identify(docs.select(F.struct(*docs.columns).alias("row"), "text"), filters)
-    return kept.where((F.col("found.lang_pred") != "und") & (F.col("found.score") >= MIN_SCORE)).select("row.*")
+    levels = levels_of(docs, filters)
+    sent = docs.sparkSession.sparkContext.broadcast(filters)
+
+    @F.pandas_udf("boolean")
+    def known(texts: pd.Series) -> pd.Series:
+        return pd.Series([sent.value.known(t, levels) for t in texts], dtype=bool)
+
+    return docs.select(F.struct(*docs.columns).alias("row"), known(F.col("text")).alias("known")).where("known").select("row.*")

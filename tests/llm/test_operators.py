@@ -461,6 +461,18 @@ def test_languages_of_held_out_texts(spark, docs, texts, empty):
     assert set(language.known_language(docs).columns) == set(docs.columns)
 
 
+def test_texts_of_unlearnt_languages_go(spark):
+    rng = random.Random(21)
+    stems = {"aa": ["zor", "mik", "tal", "ben"], "bb": ["quen", "vesh", "rul", "dop"], "cc": ["ñol", "peß", "dâm", "gex"]}
+    text = lambda k, n: " ".join("".join(rng.choice(stems[k]) for _ in range(2)) for _ in range(n))
+    known = [(i, text("ab"[i % 2] * 2, rng.randrange(1, 60)), "ab"[i % 2] * 2) for i in range(200)]
+    mixed = [(200, text("aa", 20) + " " + text("bb", 20), None)]
+    other = [(300 + i, text("cc", 30), None) for i in range(10)]
+    noise = [(400 + i, " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(40)), None) for i in range(10)]
+    df = spark.createDataFrame(known + mixed + other + noise + [(500, "123 !", "aa"), (501, None, "aa")], "doc_id long, text string, lang string")
+    assert {r.doc_id for r in language.known_language(df).collect()} == set(range(201))
+
+
 def test_texts_longer_than_a_piece():
     rng = random.Random(11)
     many = [f"w{rng.randrange(5000)}" for _ in range(600_000)]
