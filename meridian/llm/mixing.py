@@ -38,17 +38,19 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, max_
     every = Window.partitionBy(F.lit(0))
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights))) + 1).cast("int"))
-    before = Window.orderBy("ratio", F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    by_ratio = Window.orderBy("ratio", F.col("source").asc_nulls_last())
+    before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
     leveled = (
         sizes.withColumn("weight", weight)
         .withColumn("cap", F.col("source_size") * F.lit(float(max_epochs)))
         .withColumn("ratio", F.col("source_size") / F.col("weight"))
         .withColumn("budget", F.sum("source_size").over(every) * F.lit(float(share)))
         .withColumn("all_weight", F.sum("weight").over(every))
+        .withColumn("place", F.row_number().over(by_ratio))
         .withColumn("level", (F.col("budget") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / (F.col("all_weight") - F.coalesce(F.sum("weight").over(before), F.lit(0.0))))
     )
-    # Levels rise until the first source that holds its part; that level counts.
-    fits = F.when(F.col("cap") >= F.col("level") * F.col("weight"), F.struct("ratio", "level"))
+    # The level at the first source, in that order, that holds its part counts.
+    fits = F.when(F.col("cap") >= F.col("level") * F.col("weight"), F.struct("place", "level"))
     chosen = leveled.withColumn("chosen", F.min(fits).over(every)["level"])
     return chosen.select("source", "source_size", F.coalesce(F.least("cap", F.col("chosen") * F.col("weight")), F.col("cap")).alias("target"))
 

@@ -247,6 +247,13 @@ def test_mix_meets_targets(docs, texts, empty):
     assert mixing.mix_sources(empty).count() == 0
 
 
+@pytest.mark.parametrize("sizes", [[120] * 6, [500, 200], [500, 200, 100], [500, 200, 100, 500], [50, 20, 10, 500]])
+def test_targets_of_tied_sources(spark, sizes):
+    named = {f"s{k}": n for k, n in enumerate(sizes)}
+    out = mixing.source_targets(spark.createDataFrame(list(named.items()), "source string, source_size long")).collect()
+    assert {r.source: r.target for r in out} == pytest.approx(brute_targets(named))
+
+
 def test_mixed_rows_keep_columns(docs):
     assert mixing.mixed_rows(docs).columns == docs.columns
 
