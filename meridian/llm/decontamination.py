@@ -17,11 +17,12 @@ ends at the first question mark with five words on either side, else at the
 middle; items of under ten words are verified whole.)
 
 The index is broadcast in parts of at most ``INDEX_BYTES`` of item text, one pass
-over the texts for each part.
+over the texts for each part; term statistics are those of all items.
 
 Defined results: null texts and texts without tokens match nothing, neither do
 items without tokens; a text is reported once for each item; repeated rows of
-documents give repeated rows, repeated items (same id and text) count once; empty
+documents give repeated rows, repeated items (same id and text) count once; items without an id count as
+others, reported with a null id; empty
 tables give no rows.
 """
 
@@ -96,26 +97,46 @@ def split_item(text: str) -> tuple[list[bytes], list[bytes]]:
     return words[:cut], words[cut:]
 
 
+def pieces_of(words: list[bytes]) -> list[list[bytes]]:
+    """An item's parts."""
+    return [words[at : at + PART] if at == 0 or len(words) - at >= PART // 2 else words[-PART:] for at in range(0, len(words), PART)]
+
+
+class Statistics:
+    """Document frequencies, number and total length of the parts of all items."""
+
+    def __init__(self) -> None:
+        self.df: Counter = Counter()
+        self.n = self.length = 0
+
+    def add(self, items: list[tuple[int | None, str]]) -> Statistics:
+        for _, text in set(items):
+            for piece in pieces_of(tokens(text)):
+                self.df.update(set(piece))
+                self.n += 1
+                self.length += len(piece)
+        return self
+
+
 class Index:
-    """Postings with block maxima, and what verification needs."""
+    """Postings with block maxima, and what verification needs; weights are by ``stats``, of these items if not given."""
 
-    def __init__(self, items: list[tuple[int, str]]):
-        self.items = sorted(set(items))
+    def __init__(self, items: list[tuple[int | None, str]], stats: Statistics | None = None):
+        stats = stats or Statistics().add(items)
+        self.items = sorted(set(items), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
         self.sides = [tuple(shingles(s) for s in split_item(text)) for _, text in self.items]
         self.of: list[int] = []
         parts: list[list[bytes]] = []
         for i, (_, text) in enumerate(self.items):
-            words = tokens(text)
-            for at in range(0, len(words), PART):
-                piece = words[at : at + PART] if at == 0 or len(words) - at >= PART // 2 else words[-PART:]
+            for piece in pieces_of(tokens(text)):
                 parts.append(piece)
                 self.of.append(i)
-        mean = sum(map(len, parts)) / max(len(parts), 1)
-        df = Counter(t for p in parts for t in set(p))
+        mean = stats.length / max(stats.n, 1)
+        df = stats.df
         raw: dict[bytes, list[tuple[int, float]]] = defaultdict(list)
         for e, p in enumerate(parts):
             norm = K1 * (1 - B + B * len(p) / mean)
-            weights = {t: math.log(1 + (len(parts) - df[t] + 0.5) / (df[t] + 0.5)) * f * (K1 + 1) / (f + norm) for t, f in Counter(p).items()}
+            weights = {t: math.log(1 + (stats.n - df[t] + 0.5) / (df[t] + 0.5)) * f * (K1 + 1) / (f + norm) for t, f in Counter(p).items()}
             total = sum(weights.values())
             for t, w in weights.items():
                 raw[t].append((e, w / total))
@@ -259,13 +280,23 @@ SCHEMA = "item_id long, bm25 double, question_overlap double, answer_overlap dou
 
 
 def index_parts(items: DataFrame, limit: int = INDEX_BYTES) -> Iterator[Index]:
-    """Indexes of all items, each of about ``limit`` bytes of text at most."""
-    items = items.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
+    """Indexes of all items, each of about ``limit`` bytes of text at most, weighed by all items."""
+    items = items.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
     total = items.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
     parts = max(1, -(-total // limit))
+
+    def part(p: int) -> list[tuple[int | None, str]]:
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p) if parts > 1 else items
+        return [(r["item_id"], r["text"]) for r in rows.collect()]
+
+    if parts == 1:
+        yield Index(part(0))
+        return
+    stats = Statistics()
+    for p in range(parts):
+        stats.add(part(p))
     for p in range(parts):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == p) if parts > 1 else items
-        yield Index([(r["item_id"], r["text"]) for r in rows.collect()])
+        yield Index(part(p), stats)
 
 
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -436,6 +436,25 @@ def test_screening_loses_nothing():
     assert index.batch(pa.array(texts)) == [index.matches(t) for t in texts]
 
 
+def test_parts_of_the_index_weigh_alike(spark):
+    rng = random.Random(17)
+    vocab = [f"b{min(int(rng.expovariate(0.05)), 200)}" for _ in range(300)]
+    items = [(i if i % 5 else None, " ".join(rng.choice(vocab) for _ in range(rng.randrange(8, 120)))) for i in range(40)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    whole = decontamination.Index(items)
+    (one,) = decontamination.index_parts(bench)
+    many = list(decontamination.index_parts(bench, 2000))
+    order = lambda found: sorted(found, key=str)
+    assert len(many) > 3 and sum(len(x.items) for x in many) == len(items)
+    for _, text in items:
+        want = order(whole.matches("before " + text + " after"))
+        assert want and order(one.matches("before " + text + " after")) == want
+        got = order(m for x in many for m in x.matches("before " + text + " after"))
+        assert [m[0] for m in got] == [m[0] for m in want] and [m[1] for m in got] == pytest.approx([m[1] for m in want])
+    df = spark.createDataFrame([(1, "before " + items[0][1] + " after"), (2, "clean text")], "doc_id long, text string")
+    assert items[0][0] is None and [r.doc_id for r in decontamination.clean_only(df, bench).collect()] == [2]
+
+
 def test_copies_in_other_case_and_typography_match():
     item = "¿Qué canción del corazón suena aquí, años después de la niñez? Das Straßenfest - \"laut und fröhlich\" - endet übermorgen früh, öffnet ähnlich"
     index = decontamination.Index([(1, item), (2, "nothing of this kind is in any of those texts here today")])
