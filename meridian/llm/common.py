@@ -24,34 +24,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share (``spark.checkpoint.dir``).
 
-    Only where the session names none, as in local tests, a temporary folder is
-    made and set as the checkpoint folder.
+    Only where the session names none and runs on one machine, as in tests, a
+    temporary folder is made and set as the checkpoint folder.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        found = spark.sparkContext.getCheckpointDir()
-        if found:
-            return found
-        path = "file://" + tempfile.mkdtemp(prefix="meridian-")
-        spark.sparkContext.setCheckpointDir(path)
-        return spark.sparkContext.getCheckpointDir() or path
-    return path
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if path:
+        return path
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("on a cluster, spark.checkpoint.dir must name a folder that all executors share")
+    path = "file://" + tempfile.mkdtemp(prefix="meridian-")
+    spark.sparkContext.setCheckpointDir(path)
+    return spark.sparkContext.getCheckpointDir() or path
+
+
+def written(df: DataFrame, name: str, held: list[str] | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
-    The result has no lineage to recompute and survives lost executors.
+    The result has no lineage to recompute and survives lost executors.  Its folder
+    is added to ``held``, for ``dropped``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
     del df
+    if held is not None:
+        held.append(path)
     release_shuffles(spark)
     return spark.read.schema(schema).parquet(path)
 
 
+def dropped(spark: SparkSession, held: list[str]) -> None:
+    """Delete intermediate tables that nothing reads any more."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in held:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+    held.clear()
+
+
 def release_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner remove the shuffle files of finished plans now.
 
@@ -81,21 +93,25 @@ def trim() -> None:
 
 
 class IdFilter:
-    """A bitmap of fixed size (2 MB) that holds every id of a set, and maybe others.
+    """A bitmap that holds every id of a set, and others by chance: about one in 16 or fewer.
 
-    Rows whose id it doesn't hold need no shuffle to learn that they have no partner.
+    It has at least 16 bits an id, up to 2**LARGEST bits (64 MB), so that what is
+    broadcast is bounded; beyond four million ids more rows pass.  Rows whose id
+    it doesn't hold need no shuffle to learn that they have no partner.
     """
 
-    BITS = 24
+    LEAST, LARGEST = 20, 29
 
     def __init__(self, ids: DataFrame, column: str):
-        x, mask = F.col(column), F.lit((1 << self.BITS) - 1)
-        at = x.bitwiseXOR(F.shiftrightunsigned(x, self.BITS)).bitwiseAND(mask)
+        n = ids.count()
+        self.bits = min(max(self.LEAST, (16 * n).bit_length()), self.LARGEST)
+        x, mask = F.col(column), F.lit((1 << self.bits) - 1)
+        at = x.bitwiseXOR(F.shiftrightunsigned(x, self.bits)).bitwiseAND(mask)
         words = ids.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toArrow()
-        bits = np.zeros(1 << (self.BITS - 6), dtype=np.int64)
+        bits = np.zeros(1 << (self.bits - 6), dtype=np.int64)
         bits[np.asarray(words["word"])] = np.asarray(words["bits"])
         self.sent = ids.sparkSession.sparkContext.broadcast(bits)
 
     def holds(self, ids: np.ndarray) -> np.ndarray:
-        at = (ids ^ (ids.view(np.uint64) >> np.uint64(self.BITS)).view(np.int64)) & ((1 << self.BITS) - 1)
+        at = (ids ^ (ids.view(np.uint64) >> np.uint64(self.bits)).view(np.int64)) & ((1 << self.bits) - 1)
         return (self.sent.value[at >> 6].view(np.uint64) >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .repeats import slices, texts_of, words_of
+from .tokens import slices, texts_of, words_of
 
 K1, B = 1.2, 0.75
 PART = 64

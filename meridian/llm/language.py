@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, written
-from .repeats import slices
+from .tokens import slices
 
 #: n-gram lengths in characters of a lower-cased text whose words are joined by one space.
 SIZES = (2, 3, 4)

@@ -10,16 +10,19 @@
     Pairs are verified, first by their signatures, then on the full sets.
 5.  Connected components by alternating large-star and small-star.
 6.  Buckets that still hold several components are compared across components by
-    their signatures (large ones in blocks), so that no link is lost; rows with such
-    a pair come together with their texts, pairs are verified on the full sets
-    until their components are joined, and components are contracted again.
+    their signatures, so that no link is lost: all rows outside a bucket's largest
+    component with each other and with those inside, in blocks of bounded size.  Rows
+    with such a pair come together with their texts, pairs are verified on the full
+    sets until their components are joined, and components are contracted again.
 
-Links are confirmed on full sets only: 100 * intersection >= 75 * union.
+Links are confirmed on full sets only: 100 * intersection >= 75 * union.  A shingle
+stands in them as 62 bits of two polynomials modulo a prime (see ``tokens``).
 
 Defined results: texts that are null or have no word have an empty set and are
 linked with nothing; rows with a null doc_id get no component and are kept;
-repeated rows of one doc_id share its result; an empty table gives no rows; other
-columns are not read.
+repeated rows of one doc_id share its result; rows of one doc_id with different sets
+are nodes of their own, each linked by its own text; an empty table gives no rows;
+other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,8 +34,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import IdFilter, table, written
-from .repeats import Prefixes, chunks, mix, packed_texts, slices, texts_of, unpack, words_of
+from .common import IdFilter, dropped, table, written
+from .repeats import packed_texts
+from .tokens import Sums, chunks, mix, slices, texts_of, unpack, word_streams, words_of
 
 SHINGLE = 5
 BANDS, ROWS = 40, 4
@@ -56,12 +60,12 @@ def shingle_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     n = len(words) - 1
     parts: list[np.ndarray] = [np.zeros(0, np.uint64)] * n
     for at, end, numbers, within, base in chunks(words, SHINGLE):
-        prefixes = Prefixes(hashes[at:end])
+        sums = Sums(word_streams(hashes[at:end]))
         sizes = np.diff(within)
         count = end - at
-        every = prefixes.of(slice(0, max(0, count - SHINGLE + 1)), slice(SHINGLE, count + 1), slice(0, max(0, count - SHINGLE + 1))) if count >= SHINGLE else np.zeros(0, np.uint64)
+        every = sums.of(slice(0, count - SHINGLE + 1), slice(SHINGLE, count + 1)) if count >= SHINGLE else np.zeros(0, np.uint64)
         short = np.flatnonzero((sizes > 0) & (sizes < SHINGLE))
-        whole = prefixes.of(within[short], within[short + 1], within[short])
+        whole = sums.of(within[short], within[short + 1])
         for j, h in zip(short, whole, strict=True):
             if base[j] == 0:
                 parts[numbers[j]] = h[None]
@@ -102,7 +106,7 @@ def identity(one: np.ndarray) -> tuple[int, int]:
     return a - (1 << 64) if a >= 1 << 63 else a, b - (1 << 64) if b >= 1 << 63 else b
 
 
-FEATURES = "doc long, n long, s1 long, s2 long, signature binary"
+FEATURES = "doc long, th long, n long, s1 long, s2 long, signature binary"
 
 
 def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,8 +117,8 @@ def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sig = signatures(sets, bounds)
             ids = [identity(sets[bounds[d] : bounds[d + 1]]) for d in range(len(sizes))]
             yield pa.RecordBatch.from_arrays(
-                [part["doc"], pa.array(sizes), pa.array([i for i, _ in ids], pa.int64()), pa.array([j for _, j in ids], pa.int64()), pa.array([s.tobytes() if n else None for s, n in zip(sig, sizes, strict=True)], pa.binary())],
-                names=["doc", "n", "s1", "s2", "signature"],
+                [part["doc"], part["th"], pa.array(sizes), pa.array([i for i, _ in ids], pa.int64()), pa.array([j for _, j in ids], pa.int64()), pa.array([s.tobytes() if n else None for s, n in zip(sig, sizes, strict=True)], pa.binary())],
+                names=["doc", "th", "n", "s1", "s2", "signature"],
             )
 
 
@@ -165,19 +169,19 @@ def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b["a"].filter(mask), b["b"].filter(mask)], names=["a", "b"])
 
 
-def texts_for(docs: DataFrame, ids: DataFrame) -> DataFrame:
+def texts_for(docs: DataFrame, ids: DataFrame, held: list[str]) -> DataFrame:
     """(doc, packed) of the ids (doc), one row each."""
-    return written(packed_texts(docs, IdFilter(ids, "doc")).join(ids, "doc", "left_semi").dropDuplicates(["doc"]), "texts")
+    return written(packed_texts(docs, IdFilter(ids, "doc")).select("doc", "packed").join(ids, "doc", "left_semi").dropDuplicates(["doc"]), "texts", held)
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, held: list[str]) -> DataFrame:
     """The pairs (a, b) that are links: by signature, then on the full sets."""
     sig = classes.select("doc", "signature")
     pairs = pairs.join(sig.select(F.col("doc").alias("a"), F.col("signature").alias("x")), "a").join(sig.select(F.col("doc").alias("b"), F.col("signature").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(likely, "a long, b long")
-    pairs = written(pairs, "pairs")
-    texts = texts_for(docs, pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct())
+    pairs = written(pairs, "pairs", held)
+    texts = texts_for(docs, pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct(), held)
     whole = pairs.join(texts.select(F.col("doc").alias("b"), F.col("packed").alias("y")), "b").join(texts.select(F.col("doc").alias("a"), F.col("packed").alias("x")), "a")
-    return written(whole.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), "links")
+    return written(whole.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), "links", held)
 
 
 def star_pairs(keys: DataFrame) -> DataFrame:
@@ -245,7 +249,7 @@ def open_pairs(t: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
     sig = np.frombuffer(b"".join(t["signature"].to_pylist()), dtype=np.uint16).reshape(t.num_rows, -1)
     right = np.flatnonzero(side != 0)
     for i in np.flatnonzero(side != 1):
-        some = right[(comp[right] != comp[i]) & ((right > i) if side[i] == 2 else True)]
+        some = right[(comp[right] != comp[i]) & (((side[right] == 1) | (right > i)) if side[i] == 2 else True)]
         for step in (40, sig.shape[1]):
             some = some[estimate(sig[some, :step], sig[i, :step]) >= (LEAST_ESTIMATE if step > 40 else 0.35)]
         if band and len(some):
@@ -302,55 +306,99 @@ def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
 
 
-def missed_links(keys: DataFrame, classes: DataFrame, comps: DataFrame, docs: DataFrame) -> DataFrame:
+def dealt(labelled: DataFrame) -> DataFrame:
+    """The rows of buckets with several components, once for each block (key, i, j) in which they must be compared.
+
+    Rows outside the largest component meet each other in blocks (i, j), i <= j, and
+    the chunks of those inside, numbered -1, -2, ..., in blocks (i, -chunk).  Side 0
+    meets side 1; rows of side 2 meet each other.
+    """
+    parts = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
+    sizes = parts.groupBy("key").agg(F.sum("c").alias("n"), F.max(F.struct("c", "component")).alias("top")).where("n > top.c")
+    up = lambda c: F.ceil(c / BLOCK).cast("int")
+    open_ = sizes.select("key", F.col("top.component").alias("main"), up(F.col("n") - F.col("top.c")).alias("blocks"), up(F.col("top.c")).alias("pieces"))
+    h = F.xxhash64("doc")
+    rows = labelled.join(open_, "key").withColumns({"mine": F.pmod(h, F.col("blocks")).cast("int"), "piece": (-1 - F.pmod(h, F.col("pieces"))).cast("int")})
+    at = lambda i, j, side: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(side).alias("side") if isinstance(side, int) else side.alias("side"))
+    blocks, pieces, mine = F.sequence(F.lit(0), F.col("blocks") - 1), F.sequence(F.lit(1), F.col("pieces")), F.col("mine")
+    among = F.transform(blocks, lambda o: at(F.least(mine, o), F.greatest(mine, o), F.when(mine == o, 2).when(mine < o, 0).otherwise(1)))
+    outside = F.concat(among, F.transform(pieces, lambda p: at(mine, -p, 0)))
+    inside = F.transform(blocks, lambda o: at(o, F.col("piece"), 1))
+    places = F.when(F.col("component") == F.col("main"), inside).otherwise(outside)
+    return rows.withColumn("at", F.explode(places)).select("key", "band", "at.i", "at.j", "at.side", "doc", "component")
+
+
+def missed_links(keys: DataFrame, classes: DataFrame, comps: DataFrame, docs: DataFrame, held: list[str]) -> DataFrame:
     """Verified links (a, b) between different components that share a bucket."""
-    labelled = written(keys.join(comps, "doc", "left").select("key", "band", "doc", F.coalesce("component", "doc").alias("component")), "labelled")
-    open_ = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rows = labelled.join(open_, "key").join(classes.select("doc", "signature"), "doc")
-    mine = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")
-    placed = rows.withColumn("mine", mine).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select("key", "band", F.least("mine", "o").alias("i"), F.greatest("mine", "o").alias("j"), F.when(F.col("mine") == F.col("o"), 2).when(F.col("mine") < F.col("o"), 0).otherwise(1).alias("side"), "doc", "component", "signature")
+    labelled = written(keys.join(comps, "doc", "left").select("key", "band", "doc", F.coalesce("component", "doc").alias("component")), "labelled", held)
     schema = "key long, band int, i int, j int, side int, doc long, component long, signature binary"
     order = ["key", "i", "j", "doc"]
-    need = written(placed.repartition("key", "i", "j").sortWithinPartitions(*order).mapInArrow(wanted, schema), "wanted")
-    texts = texts_for(docs, need.select("doc").distinct())
+    rows = dealt(labelled).join(classes.select("doc", "signature"), "doc").select("key", "band", "i", "j", "side", "doc", "component", "signature")
+    need = written(rows.repartition("key", "i", "j").sortWithinPartitions(*order).mapInArrow(wanted, schema), "wanted", held)
+    texts = texts_for(docs, need.select("doc").distinct(), held)
     whole = need.join(texts, "doc").select(*need.columns, "packed").repartition("key", "i", "j").sortWithinPartitions(*order)
-    return written(whole.mapInArrow(settled, "a long, b long"), "missed").distinct()
+    return written(whole.mapInArrow(settled, "a long, b long"), "missed", held).distinct()
+
+
+#: Nodes of rows whose doc_id has several texts are numbered from here downwards.
+_OWN = -(1 << 62)
+
+
+def as_nodes(rows: DataFrame, several: DataFrame | None) -> DataFrame:
+    """``rows`` (doc, th) with a node: the doc, or a number of its own where the doc has several texts."""
+    if several is None:
+        return rows.withColumn("node", F.col("doc"))
+    own = F.lit(_OWN) - F.xxhash64("doc", "th").bitwiseAND(F.lit((1 << 61) - 1))
+    marked = rows.join(several.select(F.col("doc").alias("m_doc")), F.col("doc") == F.col("m_doc"), "left")
+    return marked.withColumn("node", F.when(F.col("m_doc").isNull(), F.col("doc")).otherwise(own)).drop("m_doc")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row of ``docs``."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), "text")
+    """doc_id, th (xxhash64 of the text), n_shingles, component_id, kept of every row of ``docs``."""
+    held: list[str] = []
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("th"), "text")
     known = written(rows.mapInArrow(features, FEATURES), "features")
     sets = known.where("doc is not null and n > 0")
-    classes = written(sets.groupBy("s1", "s2", "n").agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("copies"), F.min("signature").alias("signature")), "classes")
+    each = F.struct("s1", "s2", "n")
+    several = written(sets.groupBy("doc").agg(F.min(each).alias("lo"), F.max(each).alias("hi")).where("lo <> hi").select("doc"), "several")
+    several = None if several.isEmpty() else several
+    grouped = as_nodes(sets, several).groupBy("s1", "s2", "n").agg(F.min("node").alias("doc"), F.min("doc").alias("low"), F.count(F.lit(1)).alias("copies"), F.min("signature").alias("signature"))
+    classes = written(grouped, "classes")
     keys = classes.select("doc", "signature").mapInArrow(band_keys, "key long, band int, doc long")
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    keys = written(keys.join(shared, "key"), "keys")
-    texts = rows.where("doc is not null")
-    links = confirmed(star_pairs(keys), classes, texts)
-    comps = written(components(links), "components")
-    more = missed_links(keys, classes, comps, texts)
+    keys = written(keys.join(shared, "key"), "keys", held)
+    texts = as_nodes(rows.where("doc is not null"), several).select(F.col("node").alias("doc"), F.lit(0).cast("long").alias("version"), "text")
+    comps = written(components(confirmed(star_pairs(keys), classes, texts, held)), "components")
+    more = missed_links(keys, classes, comps, texts, held)
     if not more.isEmpty():
-        comps = written(components(links.union(more)), "components")
+        # Every node with its component is a star: contraction goes on from there.
+        comps = written(components(comps.select(F.col("doc").alias("a"), F.col("component").alias("b")).union(more)), "components")
+    dropped(docs.sparkSession, held)
+    found = classes.select("s1", "s2", F.col("n").alias("size"), "doc", "low", "copies").join(comps, "doc", "left")
+    if several is not None:  # a component's least node may not have its least doc
+        found = found.withColumn("label", F.coalesce("component", "doc"))
+        least = found.groupBy("label").agg(F.min("low").alias("label_low"))
+        found = found.join(least, "label").withColumn("component", F.col("label_low"))
     # Equal sets take their class's component; a class joins in SALTS places, so that a huge one spreads.
-    named = classes.select("s1", "s2", F.col("n").alias("size"), "doc", "copies").join(comps, "doc", "left").where("copies > 1 or component is not null")
-    named = named.select("s1", "s2", "size", F.coalesce("component", "doc").alias("component"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    own = known.select("doc", "n", "s1", "s2", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int").alias("salt"))
+    named = found.where("copies > 1 or component is not null")
+    named = named.select("s1", "s2", "size", F.coalesce("component", "low").alias("component"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    own = known.select("doc", "th", "n", "s1", "s2", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int").alias("salt"))
     joined = own.join(named, (own["s1"] == named["s1"]) & (own["s2"] == named["s2"]) & (own["n"] == named["size"]) & (own["salt"] == named["salt"]), "left")
     component = F.when((F.col("n") > 0), F.coalesce("component", "doc")).otherwise(F.col("doc"))
-    return joined.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc") == component, F.lit(True)).alias("kept"))
+    return joined.select(F.col("doc").alias("doc_id"), "th", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc") == component, F.lit(True)).alias("kept"))
 
 
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate component of every document."""
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("th")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component."""
-    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("gone_id"), "left_anti")
+    """``docs`` with one document of each component; rows that repeat it stay with it."""
+    gone = written(near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("id"), "th").distinct(), "gone")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    same = (rows["row"]["doc_id"].cast("long") == gone["id"]) & (F.xxhash64(rows["row"]["text"]) == gone["th"])
+    return rows.join(gone, same, "left_anti").select("row.*")
 
 
 OP2_SQL = """

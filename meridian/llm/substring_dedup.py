@@ -1,21 +1,27 @@
-"""Substring dedup: words of long passages that a reference holds as well.
+"""Substring dedup: words of long passages that an earlier document, or a reference, holds as well.
 
-Against a given reference (``remove_known_passages``): the reference is cut into
-shards of bounded size, a suffix automaton of each is broadcast, and every
-document is streamed through it once for its matching statistics: the longest
-match that ends at each word.  Spans of matches of at least ``length`` words go.
-Consecutive shards overlap by ``length - 1`` words within a text, so no match is cut.
+Both ways use suffix automata of reference shards through which documents are
+streamed for their matching statistics: the longest match that ends at each
+word.  Spans of matches of at least ``length`` words go.
 
-Against the corpus itself (``duplicate_words``), every document would have to be
-streamed through the shards of the whole corpus, which grows with the square of
-the input.  There, windows meet by content instead (``repeats``: sampled
-suffixes, co-partitioned and compared exactly), with the same result: the words
-of windows that also start in a document with a smaller id.
+Against a given reference (``remove_known_passages``): the reference is cut into
+shards of bounded size, an automaton of each is broadcast, and every document is
+streamed through each.  Consecutive shards overlap by ``length - 1`` words within a
+text, so no match is cut.
+
+Against the corpus itself (``duplicate_words``) that would cost documents times
+shards, the square of the input.  So passages are first grouped by content
+(``repeats``): runs of windows that share their sampled suffix meet, all copies of a run
+are one class, and classes that may share windows form a shard.  A shard's
+automaton takes them in the order of documents: every passage is streamed through
+it for its matching statistics, then the words of its new windows are appended.  So
+matches are with earlier documents only, on the words themselves.  (Only the
+windows of a shard too large for one task are compared by hashes.)
 
 Defined results: a null text has no words; texts shorter than a window are kept;
 rows with a null doc_id are kept whole and remove nothing; rows that repeat a
-doc_id with the same text have equal results; an empty table gives no rows; other
-columns are not read.
+doc_id remove nothing from each other, whether their texts are the same or not; an
+empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,12 +30,14 @@ import hashlib
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import SEPARATORS, table
-from .repeats import Rule, covered, texts_of, without_repeats, words_of
+from .repeats import Rule, covered, found_rows, groups_of, merged, placed, start_of, version_of, without_repeats
+from .tokens import texts_of, words_of
 
 LENGTH = 50
 #: Words of the grams that choose the sampled suffixes.
@@ -156,7 +164,8 @@ def remove_known_passages(docs: DataFrame, reference: DataFrame, length: int = L
             n, removed, kept = [], [], []
             for text, ends in zip(b["text"].to_pylist(), b["gone"].to_pylist(), strict=True):
                 words = split(text)
-                gone = covered(len(words), [{"start": e - length, "windows": 1} for e in ends or []], length)
+                at = np.array(ends or [], dtype=np.int64) - length
+                gone = covered(len(words), placed(0, at, np.ones_like(at)), length)
                 n.append(len(words))
                 removed.append(int(gone.sum()))
                 kept.append(b" ".join(w for w, g in zip(words, gone, strict=True) if not g).decode())
@@ -165,16 +174,52 @@ def remove_known_passages(docs: DataFrame, reference: DataFrame, length: int = L
     return state.mapInArrow(finish, f"doc_id {dict(docs.dtypes)['doc_id']}, n_words long, n_removed long, kept string")
 
 
+def earlier_windows(t: pa.Table, length: int) -> Iterator[tuple[int, int, list[int]]]:
+    """(doc, place, numbers) of the windows of a shard's passages, sorted by doc, that an earlier doc holds as well."""
+    auto, codes = SuffixAutomaton(), {}
+    docs, places, regions = (t[c].to_pylist() for c in ("doc", "place", "region"))
+    fresh: list[list[int]] = []
+    for k, (doc, place, region) in enumerate(zip(docs, places, regions, strict=True)):
+        if k and docs[k - 1] != doc:
+            for words in fresh:
+                auto.add(words)
+            fresh = []
+        words = [codes.setdefault(w, len(codes)) for w in split(region)]
+        hits = [i + 1 - length for i, m in enumerate(auto.matching(words)) if m >= length] if len(auto.long) > 1 else []
+        if hits:
+            yield doc, place, hits
+        # What lies between known windows is new to the automaton.
+        after = 0
+        for hit in [*hits, len(words) - length + 1]:
+            if hit > after:
+                fresh.append(words[after : hit + length - 1])
+            after = hit + 1
+
+
+def compare_passages(rule: Rule, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Repeated windows of word regions: one suffix automaton for each group."""
+    for t in groups_of(batches):
+        if t.num_rows < 2:
+            continue
+        doc, place = [], []
+        for d, p, hits in earlier_windows(t, rule.length):
+            p = np.int64(p)
+            place.append(placed(version_of(p), start_of(p) + np.array(hits, dtype=np.int64), np.ones(len(hits), dtype=np.int64)))
+            doc.append(np.full(len(hits), d, dtype=np.int64))
+        if doc:
+            yield found_rows(*merged(np.concatenate(doc), np.concatenate(place)))
+
+
 def duplicate_words(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and, if asked, kept (the remaining words) of every row."""
-    rule = Rule("words", length, min(gram, max(1, length // 2)), within_doc=False)
+    rule = Rule("words", length, max(min(gram, max(1, length // 2)), length - 1000), False, compare_passages)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc"), "text")
 
-    def finish(text: bytes, spans: list | None) -> tuple:
+    def finish(text: bytes, gone) -> tuple:
         words = split(text)
-        gone = covered(len(words), spans, length)
-        kept = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g] if spans else words)
-        return len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(), *([kept.decode()] if keep else [])
+        mark = None if gone is None else gone(len(words))
+        kept = b" ".join(words if mark is None else [w for w, g in zip(words, mark.tolist(), strict=True) if not g])
+        return len(words), 0 if mark is None else int(mark.sum()), hashlib.sha256(kept).hexdigest(), *([kept.decode()] if keep else [])
 
     schema = "n_words long, n_removed long, kept_sha256 string" + (", kept string" if keep else "")
     return without_repeats(rows, rule, finish, schema)

@@ -1,12 +1,14 @@
 """Suffix-array dedup: bytes covered by a long string that also starts earlier.
 
 See ``repeats`` for the method: sampled suffixes, range-partitioned by leading
-bytes, sorted in buckets and compared across their boundaries.
+bytes and sorted in buckets; where a suffix has several contexts, the suffixes of all
+its windows are sorted on their bytes by multikey quicksort, eight at a time.
 
 Defined results: a null text is empty; texts shorter than the limit are kept;
 rows with a null doc_id are kept whole and remove nothing; rows that repeat a
-doc_id with the same text have equal results; an empty table gives no rows; other
-columns are not read.
+doc_id with the same text have equal results; rows that repeat it with another text
+are documents of their own, none of them earlier than the others; an empty table
+gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .repeats import Rule, covered, without_repeats
+from .repeats import Rule, compare_suffixes, without_repeats
 
 LENGTH = 100
 #: Bytes of the grams that choose the sampled suffixes.
@@ -27,15 +29,19 @@ GRAM = 48
 
 def duplicate_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked, kept (the remaining bytes) of every row."""
-    rule = Rule("bytes", length, min(gram, max(8, length // 2)), within_doc=True)
+    if length < 8:
+        raise ValueError("strings of under eight bytes are not looked for")
+    rule = Rule("bytes", length, max(min(gram, max(8, length // 2)), length - 1000), True, compare_suffixes)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc"), "text")
 
-    def finish(text: bytes, spans: list | None) -> tuple:
+    def finish(text: bytes, gone) -> tuple:
+        if gone is None:
+            return len(text), 0, 0, hashlib.sha256(text).hexdigest(), *([text] if keep else [])
         data = np.frombuffer(text, dtype=np.uint8)
-        gone = covered(len(data), spans, length)
-        kept = data[~gone].tobytes()
-        edges = int(np.count_nonzero(gone[1:] & ~gone[:-1]) + (len(gone) > 0 and gone[0]))
-        return len(data), int(gone.sum()), edges, hashlib.sha256(kept).hexdigest(), *([kept] if keep else [])
+        mark = gone(len(data))
+        kept = data[~mark].tobytes()
+        edges = int(np.count_nonzero(mark[1:] & ~mark[:-1]) + (len(mark) > 0 and mark[0]))
+        return len(data), int(mark.sum()), edges, hashlib.sha256(kept).hexdigest(), *([kept] if keep else [])
 
     schema = "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if keep else "")
     return without_repeats(rows, rule, finish, schema)
