@@ -16,8 +16,9 @@ Running sums over a source never sit in one task: the hash order is cut into
 their bucket.
 
 Defined results: a null text has size 0; a null source is the last source; null
-doc_ids are ordered first; repeated rows are rows of their own; an empty table
-gives no rows; sources without words have target 0.
+doc_ids are ordered first; repeated rows are rows of their own (rows of one doc_id
+are ordered by their texts' hashes); an empty table gives no rows; sources without
+words have target 0.  Columns of the input never clash with working columns.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, word_count
+from .common import WORD_REGEX, table, word_count, written
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -56,20 +57,21 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, max_
 
 
 def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
-    """doc_id, size, source, source_size, target, taken for every row of ``docs``."""
+    """doc_id, size, source, source_size, target, taken for every row of ``docs``, and what places it: whole, ord, th."""
     order = F.md5(F.concat(F.lit(f"{seed}-"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     rows = docs.select(
         F.col("doc_id"),
         F.col("source").cast("string").alias("source"),
         word_count(F.col("text")).alias("size"),
         order.alias("ord"),
+        F.xxhash64("text").alias("th"),
     ).withColumn("bucket", F.substring("ord", 1, 3))
     parts = rows.groupBy("source", "bucket").agg(F.sum("size").alias("part"))
     targets = source_targets(parts.groupBy("source").agg(F.sum("part").alias("source_size")), weights, share, max_epochs)
     upto = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = parts.withColumn("start", F.coalesce(F.sum("part").over(upto), F.lit(0)))
     plan = starts.alias("s").join(targets.alias("t"), F.col("s.source").eqNullSafe(F.col("t.source"))).select(F.col("s.source").alias("p_source"), F.col("s.bucket").alias("p_bucket"), "start", "source_size", "target")
-    within = Window.partitionBy("source", "bucket").orderBy("ord", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = Window.partitionBy("source", "bucket").orderBy("ord", "doc_id", "th").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     summed = rows.withColumn("upto", F.sum("size").over(within))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rest = F.floor("target").cast("long") - F.col("whole") * F.col("source_size")
@@ -79,20 +81,30 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epoc
         summed.join(plan, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("bucket") == F.col("p_bucket")))
         .withColumn("whole", whole)
         .withColumn("rest", rest)
-        .select("doc_id", "source", "size", "source_size", "target", (F.col("whole") * F.col("size") + extra).cast("long").alias("taken"))
+        .select("doc_id", "source", "size", "source_size", "target", (F.col("whole") * F.col("size") + extra).cast("long").alias("taken"), "whole", "ord", "th")
     )
 
 
-def mixed_rows(docs: DataFrame, **how) -> DataFrame:
+def mixed_rows(docs: DataFrame, seed: str = SEED, **how) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them.
 
     Whole documents only: the one document at each source's cut is taken once
-    more if at least half of it is.  Documents without words are kept once.
+    more if at least half of it is (rows equal to it as well).  Documents without
+    words are kept once.  A cut is the last place in the hash order that a source
+    takes once more, so rows learn from one small row of their source how often they go.
     """
-    taken = mix_sources(docs, **how).groupBy(F.col("doc_id").alias("m_id")).agg(F.min(F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(1)).cast("int").alias("m_times"))
-    named = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("m_id")))
-    repeated = named.where("m_times > 0").withColumn("m_copy", F.explode(F.array_repeat(F.lit(1), F.col("m_times"))))
-    return repeated.select(*[docs[c] for c in docs.columns])
+    names = docs.columns
+    narrow = docs.select(*[F.col(f"`{c}`") for c in ("doc_id", "text", "source")])
+    extra = (F.col("size") > 0) & (2 * (F.col("taken") - F.col("whole") * F.col("size")) >= F.col("size"))
+    at = F.struct("ord", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), "th")
+    cuts = written(mix_sources(narrow, seed=seed, **how).groupBy("source").agg(F.max("whole").alias("whole"), F.max(F.when(extra, at)).alias("cut")), "cuts")
+    row = F.struct(*[F.col(f"`{c}`") for c in names])
+    text, doc_id = F.col("row.text"), F.coalesce(F.col("row.doc_id").cast("string"), F.lit(""))
+    place = F.struct(F.md5(F.concat(F.lit(f"{seed}-"), doc_id).cast("binary")).alias("ord"), doc_id.alias("id"), F.xxhash64(text).alias("th"))
+    named = docs.select(row.alias("row")).select("row", F.col("row.source").cast("string").alias("own"), place.alias("place"), F.rlike(F.coalesce(text, F.lit("")), F.lit(WORD_REGEX)).alias("any"))
+    joined = named.join(cuts, F.col("own").eqNullSafe(F.col("source")))
+    times = F.when(F.col("any"), F.col("whole") + F.coalesce((F.col("place") <= F.col("cut")).cast("int"), F.lit(0))).otherwise(1).cast("int")
+    return joined.withColumn("times", times).where("times > 0").withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("times")))).select("row.*")
 
 
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
