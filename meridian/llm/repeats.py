@@ -39,16 +39,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import IdFilter, dropped, shuffle_parts, trim, written
-from .tokens import BYTES, CHUNK, Sums, U, byte_streams, chunks, gram_hashes, packed, slices, texts_of, unpack, unpacked, word_bounds, word_streams, words_of
+from .tokens import BYTES, CHUNK, Sums, U, byte_streams, chunks, gram_hashes, mix, packed, slices, texts_of, unpack, unpacked, word_bounds, word_streams, words_of
 
 #: Buckets for each input partition: one is sorted in memory.
 BUCKETS = 3
 #: Windows of one lead that are compared in one task; windows of a larger one are dealt anew.
-GROUP = 50_000
+GROUP = 8_192
 #: Windows sorted at a time in a bucket of small groups.
 SORTED = 500_000
-#: Sampled records for each bucket, and documents sampled for them.
-SAMPLED, SAMPLED_DOCS = 256, 64
+#: Documents sampled for each bucket's splitter, and the part of their records that is used.
+SAMPLED_DOCS, SAMPLED_PART = 64, 1 / 32
 #: A place holds, from the highest bits: the text's version, the start of a run, its windows less one.
 _BITS, _START = 10, 31
 _PLACE = U((1 << 20) - 1)
@@ -173,14 +173,16 @@ def splitters(rule: Rule, docs: DataFrame, n: int) -> list[np.ndarray]:
     They decide how even the buckets are, never the result.
     """
     total = max(docs.count(), 1)
-    share = int(min(1.0, SAMPLED_DOCS * n / total) * (1 << 30))
-    some = docs.where(F.pmod(F.xxhash64("doc", "version"), F.lit(1 << 30)) < share)
+    share = SAMPLED_DOCS * n / total
+    some = docs.where(F.pmod(F.xxhash64("doc", "version"), F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30)))
+    part = U(int(min(1.0, SAMPLED_PART * max(1.0, share)) * (1 << 32)))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cols in run_arrays(rule, batches):
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=_NAMES)
+            keep = mix(cols[2].view(np.uint64) * U(0x9E3779B97F4A7C15) + cols[3].view(np.uint64)) >> U(32) < part
+            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in cols], names=_NAMES)
 
-    t = some.mapInArrow(emit, RUNS).orderBy(F.xxhash64("context", "doc", "place")).limit(SAMPLED * n).toArrow()
+    t = some.mapInArrow(emit, RUNS).toArrow()
     order, _ = multikey_order(t.num_rows, [lambda at, c=np.asarray(t[c]): c[at] for c in _NAMES])
     cut = order[np.arange(1, n) * t.num_rows // n] if t.num_rows else order
     return [np.asarray(t[c])[cut] for c in _NAMES]

@@ -19,7 +19,7 @@ from .common import SEPARATORS, trim
 
 U = np.uint64
 #: Tokens hashed at a time.
-CHUNK = 1 << 18
+CHUNK = 1 << 16
 #: Longest sequence that one array of prefix sums can hold.
 LONGEST = 1 << 20
 PRIME = U((1 << 31) - 1)
