@@ -1,12 +1,19 @@
 """Exact top-k inner products by columnar branch-and-bound.
 
-Vectors are kept as integers, a block of candidates in vertical layout (one row
-per dimension).  For a block of queries, scores are accumulated dimension block
-by dimension block.  After each, the mass that a pair can still gain is at most
-the product of the norms of both remainders (Cauchy and Schwarz); candidates
-that can't reach the k-th best score of any query of the block are removed, and the
-survivors are compacted.  Scores are exact: sums of integer products below 2**53 in
-doubles, Python integers beyond.
+Vectors are integers, dimensions in the order of the queries' energy, a block of
+candidates in vertical layout (one row per dimension), largest norms first.  For
+each query, scores are accumulated dimension block by dimension block.  After
+each, what a pair can still gain is at most the product of the norms of both
+remainders (Cauchy and Schwarz); candidates that can't reach the query's k-th best
+score any more are dropped, and the survivors are compacted.  Before the first
+block, whole candidates are dropped whose norm is too small.
+
+The k-th best score is bounded from the start by ``SEEDS`` candidates (those with the
+smallest hashes of their ids), and grows with every block.  It only decides how
+much is pruned, never the result.
+
+Scores are exact: sums of integer products below 2**53 in doubles; rows with
+larger components meet the others in Python integers, without pruning.
 
 Candidates stay where they are read.  Queries come to them in blocks: a block
 table is broadcast only below ``QUERY_BYTES``, one pass over the candidates for
@@ -15,13 +22,16 @@ task returns its k best for each query; those are merged by a shuffle on the que
 
 Defined results: vectors that are null, or hold a null, NaN or infinite
 component, take no part, neither do rows without an id; vectors of different
-length meet as if the shorter ended in zeros; a query with fewer than k partners
-has fewer rows; an empty table gives no rows; repeated ids are candidates of
-their own, except that a query never meets its own id.
+length meet as if the shorter ended in zeros; scores beyond 64 bits count as the
+nearest 64-bit integer; a query with fewer than k partners has fewer rows; an empty
+table gives no rows; repeated ids are candidates of their own, except that a query
+never meets its own id; queries with the same id and vector have one list, those
+with the same id and different vectors one each; other columns are not read.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,132 +43,201 @@ from .common import table, written
 
 K = 20
 SCALE = 64
-#: Dimensions added at a time; candidates in a block; queries in a block.
-DIMS, CANDIDATES, QUERIES = 16, 8192, 256
+#: Dimensions added at a time; candidates in a block; candidates that give the first bounds.
+DIMS, CANDIDATES, SEEDS = 16, 8192, 2048
 #: Bytes of queries sent to the executors for one pass.
-QUERY_BYTES = 32 << 20
+QUERY_BYTES = 16 << 20
+#: A score of vectors of up to this norm is exact in doubles.
+NORM = float(1 << 26)
+_MOST, _LEAST = (1 << 63) - 1, -(1 << 63)
 
-SCHEMA = "query_id long, vec_id long, score long"
+SCHEMA = "query_id long, variant long, vec_id long, score long"
 
 
 def integers(vectors: DataFrame, scale: int) -> DataFrame:
-    """vec_id and integer vector of the rows that take part."""
+    """vec_id and integer vector (as doubles, which hold it exactly) of the rows that take part."""
     x = F.col("embedding")
     good = x.isNotNull() & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
-    return vectors.where(F.col("vec_id").isNotNull() & good).select(
-        F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda v: F.floor(F.lit(float(scale)) * v.cast("double")).cast("long")).alias("v")
-    )
+    product = lambda v: F.lit(float(scale)) * v.cast("double")
+    # Doubles from 2**53 on are integers already.
+    scaled = F.transform(x, lambda v: F.when(F.abs(product(v)) < float(1 << 53), F.floor(product(v)).cast("double")).otherwise(product(v)))
+    return vectors.where(F.col("vec_id").isNotNull() & good).select(F.col("vec_id").cast("long").alias("vec_id"), scaled.alias("v"))
 
 
-def matrix(column: pa.Array, dims: int | None = None) -> np.ndarray:
-    """Rows of a list column as a matrix of doubles (objects if doubles can't be exact)."""
+def matrix(column: pa.Array) -> np.ndarray:
+    """Rows of a list column as a matrix, the shorter filled up with zeros."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     n, sizes = len(column), np.asarray(column.value_lengths())
-    flat = np.asarray(column.flatten())
-    width = max(int(sizes.max(initial=0)), dims or 0)
-    out = np.zeros((n, width), dtype=np.int64)
-    if n and width:
-        out[np.arange(width)[None, :] < sizes[:, None]] = flat
+    out = np.zeros((n, int(sizes.max(initial=0))))
+    if out.size:
+        out[np.arange(out.shape[1])[None, :] < sizes[:, None]] = np.asarray(column.flatten(), dtype=np.float64)
     return out
 
 
-def _bounds(tops: np.ndarray) -> np.ndarray:
-    """The k-th best score of each query so far."""
-    return tops[:, -1]
-
-
-def scan(batches: Iterator[pa.RecordBatch], ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
-    """Top k of all candidates of this task for each query."""
-    n, width = queries.shape
-    best = np.full((n, k), -np.inf)
-    who = np.full((n, k), np.iinfo(np.int64).max)
-    exact = np.zeros((n, k), dtype=object)
-    wide = np.abs(queries).max(initial=0)
-
-    def block(cids: np.ndarray, x: np.ndarray) -> None:
-        nonlocal queries, width
-        if x.shape[1] > width:
-            queries = np.pad(queries, ((0, 0), (0, x.shape[1] - width)))
-            width = x.shape[1]
-        elif x.shape[1] < width:
-            x = np.pad(x, ((0, 0), (0, width - x.shape[1])))
-        safe = float(wide) * float(np.abs(x).max(initial=0)) * max(width, 1) < 2**52
-        columns = np.ascontiguousarray(x.T.astype(np.float64 if safe else object))
-        left = [(np.sqrt((columns[d:].astype(np.float64) ** 2).sum(0))) for d in range(0, width, DIMS)] + [np.zeros(len(cids))]
-        for q0 in range(0, n, QUERIES):
-            part = slice(q0, min(n, q0 + QUERIES))
-            q = queries[part].astype(np.float64 if safe else object)
-            alive, scores, cols = np.arange(len(cids)), np.zeros((len(q), len(cids)), dtype=q.dtype), columns
-            for step, d in enumerate(range(0, width, DIMS)):
-                scores = scores + q[:, d : d + DIMS] @ cols[d : d + DIMS]
-                if d + DIMS >= width or len(alive) <= k:
-                    continue
-                rest = np.sqrt((q[:, d + DIMS :].astype(np.float64) ** 2).sum(1))
-                reach = scores.astype(np.float64) + rest[:, None] * left[step + 1][alive][None, :] * (1 + 1e-9) + 1e-6
-                keep = (reach >= _bounds(best[part])[:, None]).any(0)
-                if keep.mean() < 0.75:
-                    alive, scores, cols = alive[keep], scores[:, keep], np.ascontiguousarray(cols[:, keep])
+def widened(x: np.ndarray, width: int) -> np.ndarray:
+    return np.pad(x, ((0, 0), (0, width - x.shape[1]))) if x.shape[1] < width else x
+
+
+def clamped(value: int) -> int:
+    return min(max(value, _LEAST), _MOST)
+
+
+class Queries:
+    """Query vectors with what bounds their scores."""
+
+    def __init__(self, ids: np.ndarray, variants: np.ndarray, vectors: np.ndarray):
+        self.ids, self.variants, self.vectors = ids, variants, vectors
+        self.order = np.argsort(-(vectors**2).sum(0), kind="stable")  # dimensions, the most energy first
+        self.least = np.full(len(ids), -np.inf)  # a score that k candidates reach
+
+    def seed(self, ids: np.ndarray, vectors: np.ndarray, k: int) -> None:
+        """Lower bounds from some of the candidates."""
+        width = max(vectors.shape[1], self.vectors.shape[1])
+        q, x = widened(self.vectors, width), widened(vectors, width)
+        plain = np.sqrt((x**2).sum(1)) <= NORM
+        ids, x = ids[plain], x[plain]
+        if len(ids) <= k:
+            return
+        for at in range(0, len(q), 1024):
+            scores = q[at : at + 1024] @ x.T
+            scores[self.ids[at : at + 1024, None] == ids[None, :]] = -np.inf
+            self.least[at : at + 1024] = np.partition(scores, len(ids) - k, 1)[:, len(ids) - k]
+        self.least[np.sqrt((q**2).sum(1)) > NORM] = -np.inf
+
+
+class Search:
+    """The k best candidates so far of each query, and how many pairs each step left."""
+
+    def __init__(self, queries: Queries, k: int):
+        self.q, self.k = queries, k
+        n = len(queries.ids)
+        self.found: list[list[tuple[int, int]]] = [[] for _ in range(n)]  # (-score, id), sorted
+        self.least = queries.least.copy()
+        self.left: Counter = Counter()
+
+    def offer(self, i: int, ids: list[int], scores: list[int]) -> None:
+        best = sorted([*self.found[i], *((-clamped(s), c) for s, c in zip(scores, ids, strict=True))])[: self.k]
+        self.found[i] = best
+        if len(best) == self.k:
+            self.least[i] = max(self.least[i], float(-best[-1][0]))
+
+    def block(self, ids: np.ndarray, x: np.ndarray) -> None:
+        """Meet a block of candidates."""
+        q = self.q.vectors
+        width = max(x.shape[1], q.shape[1])
+        order = np.concatenate([self.q.order, np.arange(q.shape[1], width)])
+        q, x = widened(q, width)[:, order], widened(x, width)[:, order]
+        norms, lengths = np.sqrt((q**2).sum(1)), np.sqrt((x**2).sum(1))
+        plain = lengths <= NORM
+        self.exact(np.flatnonzero(norms > NORM), q, ids, x)
+        self.exact(np.flatnonzero(norms <= NORM), q, ids[~plain], x[~plain])
+        far = np.flatnonzero(plain)[np.argsort(-lengths[plain], kind="stable")]
+        ids, lengths = ids[far], lengths[far]
+        columns = np.ascontiguousarray(x[far].T)
+        steps = list(range(0, width, DIMS))
+        rest = [np.sqrt((columns[d:] ** 2).sum(0)) for d in steps[1:]]
+        mine = [np.sqrt((q[:, d:] ** 2).sum(1)) for d in steps[1:]]
+        # The first dimensions of all pairs at once; from then on each query has its own survivors.
+        for at in range(0, len(q), 256):
+            part = slice(at, at + 256)
+            first = q[part, :DIMS] @ columns[:DIMS]
+            for i in range(at, min(at + 256, len(q))):
+                if norms[i] <= NORM:
+                    self.one(i, q[i], norms[i], ids, lengths, columns, first[i - at], rest, [m[i] for m in mine])
+
+    def one(self, i: int, q: np.ndarray, norm: float, ids: np.ndarray, lengths: np.ndarray, columns: np.ndarray, scores: np.ndarray, rest: list[np.ndarray], mine: list[float]) -> None:
+        least = self.least[i]
+        n = len(ids)
+        if least > 0:  # largest norms come first
+            n = int(np.searchsorted(-(lengths * norm * (1 + 1e-9) + 1e-6), -least, "right"))
+        alive = np.flatnonzero(self.q.ids[i] != ids[:n])
+        self.left["pairs"] += len(ids)
+        self.left["norm"] += len(alive)
+        scores = scores[alive]
+        for step, (own, other) in enumerate(zip(mine, rest, strict=True), 1):
+            keep = scores + own * other[alive] * (1 + 1e-9) + 1e-6 >= least
+            alive, scores = alive[keep], scores[keep]
+            self.left[step] += len(alive)
             if not len(alive):
-                continue
-            own = ids[part][:, None] == cids[alive][None, :]
-            ranked = scores.astype(np.float64)
-            ranked[own] = -np.inf
-            for i in range(len(q)):
-                row = ranked[i]
-                floor = best[part][i, -1]
-                near = np.flatnonzero((row >= floor) & (row > -np.inf))
-                if len(near) > 4 * k:
-                    cut = np.partition(row[near], len(near) - k)[len(near) - k]
-                    near = near[row[near] >= cut]
-                if len(near):
-                    g = q0 + i
-                    s = np.concatenate([exact[g][who[g] != np.iinfo(np.int64).max], scores[i][near]])
-                    c = np.concatenate([who[g][who[g] != np.iinfo(np.int64).max], cids[alive][near]])
-                    o = sorted(range(len(c)), key=lambda j: (-int(s[j]), int(c[j])))[:k]
-                    for at, j in enumerate(o):
-                        best[g, at], who[g, at], exact[g, at] = float(s[j]), c[j], int(s[j])
-
-    held, rows = [], 0
+                return
+            dims = slice(step * DIMS, (step + 1) * DIMS)
+            scores = scores + q[dims] @ columns[dims].take(alive, 1)
+        keep = scores >= least
+        alive, scores = alive[keep], scores[keep]
+        if len(alive) > 4 * self.k:
+            cut = np.partition(scores, len(scores) - self.k)[len(scores) - self.k]
+            alive, scores = alive[scores >= cut], scores[scores >= cut]
+        if len(alive):
+            self.offer(i, ids[alive].tolist(), [int(s) for s in scores.tolist()])
+
+    def exact(self, which: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray) -> None:
+        """Scores of large vectors in Python integers."""
+        if not len(which) or not len(ids):
+            return
+        rows = [[int(v) for v in row] for row in x.tolist()]
+        for i in which.tolist():
+            own = [int(v) for v in q[i].tolist()]
+            met = [k for k in range(len(rows)) if ids[k] != self.q.ids[i]]
+            self.offer(i, [int(ids[k]) for k in met], [sum(a * b for a, b in zip(own, rows[k], strict=True)) for k in met])
+
+    def rows(self) -> pa.RecordBatch:
+        n = [len(f) for f in self.found]
+        flat = [x for f in self.found for x in f]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.repeat(self.q.ids, n)), pa.array(np.repeat(self.q.variants, n)), pa.array([c for _, c in flat], pa.int64()), pa.array([-s for s, _ in flat], pa.int64())],
+            names=["query_id", "variant", "vec_id", "score"],
+        )
+
+
+def scan(batches: Iterator[pa.RecordBatch], queries: Queries, k: int) -> Search:
+    """All candidates of a task, a block at a time."""
+    search, held, rows = Search(queries, k), [], 0
+
+    def meet() -> None:
+        t = pa.Table.from_batches(held)
+        search.block(np.asarray(t["vec_id"]), matrix(t["v"]))
+
     for b in batches:
-        held.append(b)
-        rows += b.num_rows
-        if rows >= CANDIDATES:
-            t = pa.Table.from_batches(held)
-            block(np.asarray(t["vec_id"]), matrix(t["v"]))
-            held, rows = [], 0
+        for at in range(0, b.num_rows, CANDIDATES):
+            held.append(b.slice(at, CANDIDATES))
+            rows += held[-1].num_rows
+            if rows >= CANDIDATES:
+                meet()
+                held, rows = [], 0
     if rows:
-        t = pa.Table.from_batches(held)
-        block(np.asarray(t["vec_id"]), matrix(t["v"]))
-    got = who != np.iinfo(np.int64).max
-    if got.any():
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(ids, got.sum(1))), pa.array(who[got]), pa.array([int(s) for s in exact[got]], pa.int64())],
-            names=["query_id", "vec_id", "score"],
-        )
+        meet()
+    return search
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE) -> DataFrame:
-    """query_id, rank, vec_id, score: the k largest integer inner products of each query."""
-    spark = vectors.sparkSession
-    candidates = integers(vectors, scale)
-    asked = integers(queries, scale).distinct()
-    # Query blocks of bounded size: parts by hash, as many as their total size needs.
+def query_blocks(vectors: DataFrame, queries: DataFrame, k: int, scale: int) -> Iterator[Queries]:
+    """The queries in blocks of bounded size, with their first bounds."""
+    asked = integers(queries, scale).withColumn("variant", F.xxhash64("v")).distinct()
+    seeds = integers(vectors, scale).orderBy(F.xxhash64("vec_id"), "vec_id").limit(SEEDS).toArrow()
     total = asked.agg(F.sum(F.size("v") * 8 + 16).alias("b")).first()["b"] or 0
     parts = max(1, -(-total // QUERY_BYTES))
-    asked = written(asked.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")), "queries") if parts > 1 else asked.withColumn("part", F.lit(0))
-    found = None
+    if parts > 1:
+        asked = written(asked.withColumn("part", F.pmod(F.xxhash64("vec_id", "variant"), F.lit(parts)).cast("int")), "queries")
     for p in range(parts):
-        t = asked.where(F.col("part") == p).toArrow()
-        sent = spark.sparkContext.broadcast((np.asarray(t["vec_id"]), matrix(t["v"])))
+        t = (asked.where(F.col("part") == p) if parts > 1 else asked).toArrow()
+        block = Queries(np.asarray(t["vec_id"]), np.asarray(t["variant"]), matrix(t["v"]))
+        block.seed(np.asarray(seeds["vec_id"]), matrix(seeds["v"]), k)
+        yield block
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE) -> DataFrame:
+    """query_id, rank, vec_id, score: the k largest integer inner products of each query."""
+    spark, found = vectors.sparkSession, None
+    candidates = integers(vectors, scale)
+    for block in query_blocks(vectors, queries, k, scale):
+        sent = spark.sparkContext.broadcast(block)
 
         def run(batches, sent=sent):
-            ids, q = sent.value
-            if len(ids):
-                yield from scan(batches, ids, q, k)
+            if len(sent.value.ids):
+                yield scan(batches, sent.value, k).rows()
 
         part = candidates.mapInArrow(run, SCHEMA)
         found = part if found is None else found.unionByName(part)
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    order = Window.partitionBy("query_id", "variant").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

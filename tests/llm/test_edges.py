@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from meridian.llm import minhash, mixing, repeats, substring_dedup, suffix_dedup, tokens
+from meridian.llm import minhash, mixing, repeats, substring_dedup, suffix_dedup, tokens, topk
 
 from .test_operators import brute_bytes, brute_components, brute_words, random_pairs
 
@@ -171,3 +171,38 @@ def test_words_of_slices():
     data, bounds = tokens.texts_of(pa.array(["a b", None, "b  a", ""]))
     hashes, _, _, offsets = tokens.words_of(data, bounds)
     assert offsets.tolist() == [0, 2, 2, 4, 4] and hashes[0] == hashes[3] and hashes[1] == hashes[2] != hashes[0]
+
+
+def plain_top(rows, asked, k):
+    """(query, rank, id, score) of all pairs of different ids, for each query row."""
+    floor = lambda v: [int(np.floor(64 * np.float64(x))) for x in v]
+    out = []
+    for q, v in asked:
+        a = floor(v)
+        scored = sorted((-topk.clamped(sum(x * y for x, y in zip(a, floor(c)))), i) for i, c in rows if i != q)[:k]
+        out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored)]
+    return sorted(out)
+
+
+def test_huge_components_and_repeated_queries(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=20).tolist()) for i in range(60)]
+    rows += [(60, [1e30] * 20), (61, [-1e30] * 20), (62, [1e17, -3.0] + [0.0] * 18), (40, [2.0] * 20), (40, [-2.0] * 20), (63, [-1e-17] * 20)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = [r for r in rows if r[0] % 20 == 0]
+    got = topk.top_k(df, df.where("vec_id % 20 = 0"), 5).collect()
+    assert sorted(tuple(r) for r in got) == plain_top(rows, asked, 5)
+    assert len([r for r in got if r.query_id == 40]) == 15
+
+
+def test_pairs_are_pruned(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    rows = [(r.vec_id, r.embedding) for r in df.collect()]
+    (block,) = topk.query_blocks(df, df.where("vec_id % 20 = 0"), 20, 64)
+    t = topk.integers(df, 64).toArrow()
+    search = topk.scan(iter(t.to_batches()), block, 20)
+    left = search.left
+    assert left["pairs"] == len(rows) * len(block.ids) and left["pairs"] > left["norm"] >= left[1] >= left[2] >= left[3] and left[3] < 0.5 * left["pairs"]
+    ranked = sorted((int(q), n + 1, c, -s) for q, found in zip(block.ids, search.found) for n, (s, c) in enumerate(found))
+    assert ranked == plain_top(rows, [r for r in rows if r[0] % 20 == 0], 20)
+    assert sorted(tuple(r) for r in topk.op7_exact_topk(spark, "/root/testdata/sf0.01").collect()) == ranked
