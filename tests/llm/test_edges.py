@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from meridian.llm import minhash, mixing, repeats, substring_dedup, suffix_dedup, tokens, topk
+from meridian.llm import minhash, mixing, pii, repeats, substring_dedup, suffix_dedup, tokens, topk
 
 from .test_operators import brute_bytes, brute_components, brute_words, random_pairs
 
@@ -206,3 +206,88 @@ def test_pairs_are_pruned(spark):
     ranked = sorted((int(q), n + 1, c, -s) for q, found in zip(block.ids, search.found) for n, (s, c) in enumerate(found))
     assert ranked == plain_top(rows, [r for r in rows if r[0] % 20 == 0], 20)
     assert sorted(tuple(r) for r in topk.op7_exact_topk(spark, "/root/testdata/sf0.01").collect()) == ranked
+
+
+# pseudonyms
+
+KEY = b"0123456789abcdef"
+
+
+def planted(rng):
+    """A value of a random kind, as (kind, text)."""
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    kind = rng.choice(["email", "card", "iban", "phone", "ip", "date", "key", "secret"])
+    if kind == "email":
+        return kind, rng.choice(["jo", "ann.lee", "x" * rng.randrange(1, 90)]) + digits(rng.randrange(3)) + "@mail.example.org"
+    if kind == "card":
+        body = "4" + digits(14)
+        full = body + pii.check_digit(body)
+        return kind, rng.choice([full, "-".join(full[k : k + 4] for k in range(0, 16, 4))])
+    if kind == "iban":
+        body = digits(18)
+        return kind, f"DE{98 - pii.mod97('DE00' + body):02d}{body}"
+    if kind == "phone":
+        a, b, c = str(rng.randrange(200, 1000)), str(rng.randrange(200, 1000)), digits(4)
+        return kind, rng.choice([f"+1 ({a}) {b}-{c}", f"{a}-{b}-{c}", f"+1{a}{b}{c}", f"+44 20 {digits(4)} {digits(4)}"])
+    if kind == "ip":
+        return kind, ".".join(str(rng.randrange(256)) for _ in range(4))
+    if kind == "date":
+        return kind, rng.choice([f"{rng.randrange(1900, 2100)}-0{rng.randrange(1, 10)}-{rng.randrange(10, 29)}", f"{rng.randrange(1, 29)}.{rng.randrange(1, 13)}.{rng.randrange(1900, 2100)}"])
+    if kind == "key":
+        return kind, "AKIA" + "".join(rng.choice("ABCDEFG123456") for _ in range(rng.randrange(16, 60)))
+    return kind, rng.choice(["token = ", "password: "]) + "".join(rng.choice("abcdef0123456789") for _ in range(40)) + "7"
+
+
+def test_planted_values_are_found_and_nothing_else():
+    rng = random.Random(14)
+    for _ in range(300):
+        text, want = "", []
+        for _ in range(rng.randrange(1, 12)):
+            text += " ".join(rng.choice(["words", "of", "prose,", "and", "v2", "17", "3.5", "It's"]) for _ in range(rng.randrange(1, 6))) + " "
+            kind, value = planted(rng)
+            if not want or not text.rstrip().endswith(("17", "3.5")):
+                want.append((kind, len(text), len(text) + len(value)))
+                text += value + " said "
+        new, spans = pii.pseudonymised(text, KEY)
+        assert spans == want
+        at = 0
+        for _, a, b in spans:  # clean text stays, values keep their length but for addresses
+            assert text[at:a] in new
+            at = b
+        again, same = pii.pseudonymised(new, KEY)
+        assert [k for k, _, _ in same] == [k for k, _, _ in spans]
+
+
+def test_spellings_of_one_value_stay_linked():
+    phones = ["+1 415 555 1234", "+14155551234", "415-555-1234", "+1 (415) 555-1234", "1-415-555-1234", "(415) 555-1234"]
+    new = [pii.pseudonym("phone", p, KEY) for p in phones]
+    assert len({"".join(c for c in p if c.isdigit())[-10:] for p in new}) == 1 and all(p != q for p, q in zip(phones, new))
+    assert all("".join("9" if c.isdigit() else c for c in p) == "".join("9" if c.isdigit() else c for c in q) for p, q in zip(phones, new))
+    assert new[1].startswith("+1") and pii.pseudonym("phone", "+44 20 7946 0958", KEY).startswith("+44 ") and pii.pseudonym("phone", "+352 621 123 456", KEY).startswith("+352 ")
+    days = [pii.pseudonym("date", d, KEY) for d in ("2020-02-01", "1.2.2020", "01.02.2020", "2/1/2020", "02/1/2020")]
+    y, m, d = days[0].split("-")
+    assert days[1:] == [f"{int(d)}.{int(m)}.{y}", f"{d}.{m}.{y}", f"{int(m)}/{int(d)}/{y}", f"{m}/{int(d)}/{y}"] and len(days[1]) == 8
+
+
+def test_every_length_of_every_kind():
+    for n in [*range(1, 60), 80, 129, 217, 230, 500, 1023, 1024, 1025, 2500, 5000]:
+        made = [pii.pseudonymised(f"to {'a' * n}@example.com", KEY), pii.pseudonymised(f"sk-{'Z9' * max(8, n)}", KEY), pii.pseudonymised(f'secret="{"0f" * max(4, n)}"', KEY), pii.pseudonymised("+1 " + "5" * n, KEY), pii.pseudonymised("9" * n + ".1", KEY)]
+        assert [len(x[1]) for x in made[:3]] == [1, 1, 1]
+    assert len({pii.pseudonym("secret", f"token={k:08d}", KEY) for k in range(3000)}) == 3000
+
+
+def test_keys_are_wanted(spark, docs):
+    with pytest.raises(ValueError):
+        pii.pseudonymise(docs, b"short")
+    with pytest.raises(TypeError):
+        pii.pseudonymise(docs)
+    other = b"another key, 16+"
+    assert pii.pseudonym("card", "4111111111111111", KEY) != pii.pseudonym("card", "4111111111111111", other)
+
+
+def test_no_secret_of_the_tables_is_left(spark):
+    out = pii.op6_pii_pseudonyms(spark, "/root/testdata/sf0.01")
+    old = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", F.col("text").alias("old"))
+    secret = F.regexp_extract_all(F.col("old"), F.lit('token = "([0-9a-f]{40})"'), 1)
+    rows = out.join(old, "doc_id").where(F.size(secret) > 0).select("text", secret.alias("secrets")).collect()
+    assert rows and all(s not in r.text for r in rows for s in r.secrets)

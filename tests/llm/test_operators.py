@@ -309,28 +309,31 @@ def test_no_labels_no_toxicity(docs, spark, empty):
 # 6. pseudonyms
 
 
+KEY = b"0123456789abcdef"
+
+
 def test_permutation_is_one():
     for size in (1, 2, 10, 97, 1000):
-        assert sorted(pii.permuted(v, size, b"t") for v in range(size)) == list(range(size))
+        assert sorted(pii.permuted(v, size, b"t", KEY) for v in range(size)) == list(range(size))
 
 
 def test_formats_are_kept():
     text = "mail jo.doe7@mail.example.com card 4111-1111-1111-1111 or 4111111111111111 ip 10.2.3.4 on 2024-02-29, +1 (386) 555-3733; DE89 3704 0044 0532 0130 00"
-    new, spans = pii.pseudonymised(text)
+    new, spans = pii.pseudonymised(text, KEY)
     assert [k for k, _, _ in spans] == ["email", "card", "card", "ip", "date", "phone", "iban"]
     cards = re.findall(r"\d(?:-?\d){15}", new)
     assert len(cards) == 2 and cards[0].replace("-", "") == cards[1] and pii.luhn(cards[1]) and cards[1] != "4111111111111111"
     assert all(0 <= int(o) <= 255 for o in re.search(r"ip ([\d.]+)", new).group(1).split("."))
     assert datetime.date.fromisoformat(re.search(r"\d{4}-\d\d-\d\d", new).group())
     assert "jo.doe7@" not in new and "@mail.example.com" in new and pii.mod97(new.split("; ")[1].replace(" ", "")) == 1
-    assert pii.pseudonymised(text) == (new, spans)
+    assert pii.pseudonymised(text, KEY) == (new, spans)
 
 
 def test_invalid_values_stay(docs, texts, empty):
     text = "card 4111111111111112 ip 300.1.1.1 date 2023-02-30 v 1.2.3"
-    assert pii.pseudonymised(text) == (text, [])
-    out = pii.pseudonymise(docs).collect()
-    assert len(out) == len(texts) and pii.pseudonymise(empty).count() == 0
+    assert pii.pseudonymised(text, KEY) == (text, [])
+    out = pii.pseudonymise(docs, KEY).collect()
+    assert len(out) == len(texts) and pii.pseudonymise(empty, KEY).count() == 0
     assert {r.doc_id: r.text for r in out}[3] is None
 
 
@@ -351,7 +354,7 @@ def test_adjacent_values_are_all_found():
         "+1 415-555-2671 2024-01-02": [("phone", "+1 415-555-2671"), ("date", "2024-01-02")],
     }
     for text, want in cases.items():
-        new, spans = pii.pseudonymised(text)
+        new, spans = pii.pseudonymised(text, KEY)
         assert [(k, text[a:b]) for k, a, b in spans] == want
         assert all(new[a:b] != text[a:b] for _, a, b in spans)
 
@@ -360,14 +363,14 @@ def test_long_values_are_permuted():
     for n in (38, 40, 60, 100, 217, 500, 5000):
         made = set()
         for local in ("a" * n, "b" + "a" * (n - 1), "ab1" * (n // 3) + "x" * (n % 3)):
-            new, spans = pii.pseudonymised(f"to {local}@example.com now")
+            new, spans = pii.pseudonymised(f"to {local}@example.com now", KEY)
             assert [k for k, _, _ in spans] == ["email"]
             got = re.fullmatch("to (.*)@example.com now", new).group(1)
             assert [c.isdigit() for c in got] == [c.isdigit() for c in local] and got.isalnum() and got.islower() and got != local
             made.add(got)
         assert len(made) == 3
         value = "sk-" + "a1" * (n // 2)
-        new, spans = pii.pseudonymised(f"key {value}.")
+        new, spans = pii.pseudonymised(f"key {value}.", KEY)
         assert [k for k, _, _ in spans] == ["key"] and len(new) == len(f"key {value}.") and value not in new
 
 
