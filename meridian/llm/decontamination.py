@@ -21,9 +21,9 @@ over the texts for each part; term statistics are those of all items.
 
 Defined results: null texts and texts without tokens match nothing, neither do
 items without tokens; a text is reported once for each item; repeated rows of
-documents give repeated rows, repeated items (same id and text) count once; items without an id count as
-others, reported with a null id; empty
-tables give no rows.
+documents give repeated rows, repeated items (same id and text) count once, items with the
+same id and different texts are items of their own; items without an id count as
+others, reported with a null id; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -249,7 +249,8 @@ class Index:
                 best[i] = max(best.get(i, 0.0), s)
         if not best:
             return []
-        have = shingles(words)
+        wanted = frozenset().union(*(side for i in best for side in self.sides[i]))
+        have = {x for j in range(len(words) - SHINGLE + 1) if (x := tuple(words[j : j + SHINGLE])) in wanted}
         out = []
         for i, s in sorted(best.items()):
             q, a = self.sides[i]
@@ -325,12 +326,15 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def clean_only(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``docs`` without the rows that hold an item, judged row by row where they are read."""
+    names = docs.columns
+    plain = docs.toDF(*[f"c{k}" for k in range(len(names))])  # names such as ``a.b`` can't be passed on
+    text = names.index("text")
     for index in index_parts(items):
         sent = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches, sent=sent):
             for b in slices(batches):
-                yield b.filter(pa.array([not h for h in sent.value.batch(b["text"])], pa.bool_()))
+                yield b.filter(pa.array([not h for h in sent.value.batch(b.column(text))], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+        plain = plain.mapInArrow(run, plain.schema)
+    return plain.toDF(*names)

@@ -7,13 +7,14 @@ at once every language whose filter contains it.  For a text, the hits of each
 language are counted over all its n-grams, corrected for that filter's measured
 false-positive rate, and the largest share decides.
 
-A filter holds the n-grams that are frequent in its language: counted over its
-learning documents, cut at ``min_share`` of the language's n-grams, at most
-``per_language`` of them.  ``MAX_LEARN`` bounds the documents that a language is
-learnt from (a hash of the text decides); those are read whole, and all documents
-are judged over their whole text.
-
-Defined results: texts that are null or have no letter get ``und`` and score 0;
+A filter holds the n-grams (of 2, 3 and 4 characters) that are frequent in its
+language: counted over its learning documents, cut at ``min_share`` of the language's
+n-grams of that length, so at most 1 / ``min_share`` of a length.  ``MAX_LEARN`` bounds
+the documents that a language is learnt from (a hash of the text decides); those are
+read whole, and all documents are judged over their whole text.  A slot has a word of
+mask for every 64 languages, so there may be any number of them.
+
+Defined results: texts that are null or have no letter (Unicode categories L) get ``und`` and score 0;
 ties go to the language that learnt more documents, then to the smaller code; with nothing to learn from, every text gets ``und``;
 null languages are never learnt from; rows are judged one by one, so repeated
 rows agree; other columns of the input are not read.
@@ -40,8 +41,8 @@ SLOTS = 1 << 19
 HASHES = 3
 #: An n-gram is kept for a language if it is at least this share of the language's n-grams of its length.
 MIN_SHARE = 2e-4
-PER_LANGUAGE = 40_000
-MAX_LANGUAGES = 63
+#: Languages in one word of mask.
+WORD_BITS = 64
 #: Documents to learn a language from, about; all where there are fewer.
 MAX_LEARN = 5_000
 _WORD = re.compile(r"[^\W\d_]+")
@@ -51,6 +52,8 @@ _PRIMES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 def letters(text: str) -> str:
     """The words of a text (runs of letters), lower-cased, each with a space before and after."""
     found = _WORD.findall(text.lower())
+    if not all(map(str.isalpha, found)):  # numbers that are no digits, such as fractions
+        found = [w for x in found for w in "".join(c if c.isalpha() else " " for c in x).split()]
     return " " + " ".join(found) + " " if found else ""
 
 
@@ -111,27 +114,42 @@ class Filters:
 
     def __init__(self, langs: list[str], grams: dict[str, np.ndarray]):
         self.langs = langs
-        self.kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if len(langs) <= 8 * t().itemsize)
-        self.masks = [np.zeros(SLOTS, dtype=self.kind) for _ in range(HASHES)]
-        for bit, lang in enumerate(langs):
-            for j, mask in enumerate(self.masks):
-                mask[slots_of(grams[lang], j)] |= self.kind(1 << bit)
-        self.false = np.array([np.prod([float((m & self.kind(1 << bit) != 0).mean()) for m in self.masks]) for bit in range(len(langs))])
-
-    def lookup(self, grams: np.ndarray) -> np.ndarray:
-        """The bitmask of languages that contain each n-gram."""
-        found = self.masks[0][slots_of(grams, 0)]
-        for j in range(1, HASHES):
-            found = found & self.masks[j][slots_of(grams, j)]
-        return found
+        #: For every 64 languages, a mask for each hash, as narrow as they allow.
+        self.words: list[list[np.ndarray]] = []
+        false = []
+        for at in range(0, len(langs), WORD_BITS):
+            part = langs[at : at + WORD_BITS]
+            kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if len(part) <= 8 * t().itemsize)
+            masks = [np.zeros(SLOTS, dtype=kind) for _ in range(HASHES)]
+            for bit, lang in enumerate(part):
+                for j, mask in enumerate(masks):
+                    mask[slots_of(grams[lang], j)] |= kind(1 << bit)
+            self.words.append(masks)
+            false += [np.prod([float((m & kind(1 << bit) != 0).mean()) for m in masks]) for bit in range(len(part))]
+        self.false = np.array(false)
+
+    def lookup(self, grams: np.ndarray) -> list[np.ndarray]:
+        """The bitmasks of languages that contain each n-gram."""
+        slots = [slots_of(grams, j) for j in range(HASHES)]
+        out = []
+        for masks in self.words:
+            found = masks[0][slots[0]]
+            for mask, slot in zip(masks[1:], slots[1:], strict=True):
+                found = found & mask[slot]
+            out.append(found)
+        return out
+
+    def counts(self, grams: np.ndarray) -> list[int]:
+        """How many of the n-grams each language's filter contains."""
+        return [int(np.count_nonzero(found & found.dtype.type(1 << bit))) for at, found in zip(range(0, len(self.langs), WORD_BITS), self.lookup(grams), strict=True) for bit in range(min(WORD_BITS, len(self.langs) - at))]
 
     def shares(self, text: str | None) -> tuple[int, np.ndarray]:
         """How many n-grams a text has, and each language's corrected share of hits."""
         total, counts = 0, np.zeros(len(self.langs))
         for part in pieces(text) if text and self.langs else ():
-            found = self.lookup(np.concatenate([g for _, g in part]))
-            total += len(found)
-            counts += [np.count_nonzero(found & self.kind(1 << bit)) for bit in range(len(self.langs))]
+            grams = np.concatenate([g for _, g in part])
+            total += len(grams)
+            counts += self.counts(grams)
         hits = counts / max(total, 1)
         return total, np.clip((hits - self.false) / np.maximum(1 - self.false, 1e-9), 0, 1)
 
@@ -156,16 +174,17 @@ class Filters:
         return float(share[best]) > 0 and float(share[best]) + 1 / total**0.5 >= KNOWN * levels.get(self.langs[best], 0.0)
 
 
-def learn(docs: DataFrame, min_share: float = MIN_SHARE, per_language: int = PER_LANGUAGE, max_learn: int = MAX_LEARN) -> Filters:
+def sampled(sizes: dict[str, int], most: int) -> Column:
+    """Whether a row (lang, text) is one of about ``most`` of its language: a hash of the text decides."""
+    shares = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, int(min(1.0, most / n) * (1 << 30)))]) if sizes else None
+    return F.lit(False) if shares is None else F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.coalesce(F.try_element_at(shares, F.col("lang")), F.lit(0))
+
+
+def learn(docs: DataFrame, min_share: float = MIN_SHARE, max_learn: int = MAX_LEARN) -> Filters:
     """Filters from ``text`` and ``lang`` of all rows with a non-null language."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), "text")
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"{len(sizes)} languages; a mask holds {MAX_LANGUAGES}")
-    part = F.lit(False)
-    for lang, n in sizes.items():
-        part = part | ((F.col("lang") == lang) & (F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(min(1.0, max_learn / n) * (1 << 30))))
-    counts = known.where(part).mapInArrow(count_grams, "lang string, n int, gram long, times long").groupBy("lang", "n", "gram").agg(F.sum("times").alias("times"))
+    counts = known.where(sampled(sizes, max_learn)).mapInArrow(count_grams, "lang string, n int, gram long, times long").groupBy("lang", "n", "gram").agg(F.sum("times").alias("times"))
     counts = written(counts, "grams")
     totals = counts.groupBy("lang", "n").agg(F.sum("times").alias("total"))
     sums = {(r["lang"], r["n"]): r["total"] for r in totals.collect()}
@@ -175,7 +194,6 @@ def learn(docs: DataFrame, min_share: float = MIN_SHARE, per_language: int = PER
     total = F.broadcast(totals.where("n > 0"))
     kept = counts.join(total, ["lang", "n"]).where(F.col("times") >= F.col("total") * min_share).select("lang", "gram", (F.col("times") / F.col("total")).alias("share")).toPandas()
     for lang, part in kept.groupby("lang"):
-        part = part.sort_values(["share", "gram"], ascending=[False, True]).head(per_language)
         grams[lang] = part["gram"].to_numpy(np.int64).view(np.uint64)
     return Filters(langs, grams)
 
@@ -221,10 +239,7 @@ def levels_of(docs: DataFrame, filters: Filters, most: int = MAX_LEVEL) -> dict[
 
     known = docs.where(F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), "text").where(F.col("lang").isin(filters.langs))
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    part = F.lit(False)
-    for lang, n in sizes.items():
-        part = part | ((F.col("lang") == lang) & (F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(min(1.0, most / n) * (1 << 30))))
-    measured = known.where(part).select("lang", share("text", "lang").alias("share")).where("share is not null and not isnan(share)")
+    measured = known.where(sampled(sizes, most)).select("lang", share("text", "lang").alias("share")).where("share is not null and not isnan(share)")
     return {r["lang"]: r["level"] for r in measured.groupBy("lang").agg(F.percentile_approx("share", 0.5).alias("level")).collect()}
 
 
@@ -238,4 +253,5 @@ def known_language(docs: DataFrame) -> DataFrame:
     def known(texts: pd.Series) -> pd.Series:
         return pd.Series([sent.value.known(t, levels) for t in texts], dtype=bool)
 
-    return docs.select(F.struct(*docs.columns).alias("row"), known(F.col("text")).alias("known")).where("known").select("row.*")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.select(row.alias("row"), known(F.col("text")).alias("known")).where("known").select("row.*")

@@ -20,12 +20,13 @@ the excess of its significant segments; a logistic curve over that sum, with a
 prior that keeps it finite where the classes separate, gives the score.
 
 ``MAX_LEARN`` bounds the labelled documents that are learnt from (a hash of the
-id decides); all documents are scored over their whole text.
+id decides), ``MAX_FEATURES`` the features kept, the most significant first; a
+feature's log-odds count up to ``MOST``.  All documents are scored over their whole text.
 
 Defined results: null and empty texts score as texts without tokens; with no
 labels, or none of one class, every text gets the share of label 1 (0 without
 labels); null labels are not learnt from; a doc_id with several labels takes the
-largest; repeated rows agree; other columns are not read.
+largest, and any above 0 counts as 1; repeated rows agree; other columns are not read.
 """
 
 from __future__ import annotations
@@ -52,6 +53,7 @@ PREFIXES = (4, 5, 6)
 PRIOR = 1000.0
 MARGIN = 0.3
 DRIFT = -0.15
+MOST = 10.0
 _TOKEN = re.compile(r"\w+")
 
 
@@ -148,7 +150,7 @@ class Model:
 
 def learn(docs: DataFrame, labels: DataFrame, max_learn: int = MAX_LEARN) -> Model:
     """A model from the rows of ``docs`` whose doc_id has a label (doc_id, toxic)."""
-    marked = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("l_id")).agg(F.max(F.col("toxic").cast("int")).alias("label"))
+    marked = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("l_id")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("label"))
     total = marked.count()
     if total > max_learn:
         marked = marked.where(F.pmod(F.xxhash64("l_id"), F.lit(1 << 30)) < int(max_learn / total * (1 << 30)))
@@ -175,50 +177,84 @@ def learn(docs: DataFrame, labels: DataFrame, max_learn: int = MAX_LEARN) -> Mod
     tried = counts.where("toxic >= 3").count()
     least = math.sqrt(2 * math.log(max(tried, 2))) + MARGIN
     kept = odds.where(F.col("z") >= least).orderBy(F.col("z").desc(), "feature").limit(MAX_FEATURES).select("feature", "z", "delta").toPandas()
-    model.odds = {f: (z, min(d, 10.0)) for f, z, d in kept.itertuples(index=False)}
+    model.odds = {f: (z, min(d, MOST)) for f, z, d in kept.itertuples(index=False)}
     if not model.odds:
         return model
     _calibrate(model, rows)
     return model
 
 
-def _calibrate(model: Model, rows: DataFrame) -> None:
-    """Fit lambda, K and the logistic curve to the learning texts, from their segments only."""
-    sent = rows.sparkSession.sparkContext.broadcast(model)
+def background(texts: list[str | None], model: Model) -> Counter:
+    """How often tokens score: all of them (None), and those above the drift by score."""
+    seen: Counter = Counter()
+    for text in texts:
+        seen.update(tokens(text))
+    out: Counter = Counter({None: seen.total()})
+    for word, n in seen.items():
+        if (s := model.token_score(word)) > 0:
+            out[s] += n
+    return out
 
-    def measure(batches):
-        m, cache = sent.value, {}
-        for b in batches:
-            out = [m.segments(t, cache) for t in b["text"].to_pylist()]
-            single = [[s for w in tokens(t) if (s := m.token_score(w)) > 0] if y == 0 else [] for t, y in zip(b["text"].to_pylist(), b["label"].to_pylist(), strict=True)]
-            listed = pa.list_(pa.float64())
-            yield pa.RecordBatch.from_arrays([b["label"], pa.array([n for _, n in out], pa.int64()), pa.array([[s for s, _, _ in segs] for segs, _ in out], listed), pa.array(single, listed)], names=["label", "n", "scores", "single"])
-
-    t = rows.mapInArrow(measure, "label int, n long, scores array<double>, single array<double>").toPandas()
-    clean, toxic = t[t.label == 0], t[t.label == 1]
-    # Background token scores: the positive ones of clean texts, all other tokens the drift.
-    positive = np.concatenate([np.asarray(s, float) for s in clean.single] or [np.zeros(0)])
-    n = max(float(clean.n.sum()), 1.0)
-    positive = positive if len(positive) else np.array([max(d for _, d in model.odds.values())])
-    share = len(positive) / (n + len(positive))
+
+def root_of(hits: Counter) -> float:
+    """lambda: the positive root of E[exp(lambda score)] = 1 over the background (``background``)."""
+    n = max(float(hits[None]), 1.0)
+    scores = np.array([s for s in hits if s is not None], dtype=float)
+    share = np.array([hits[s] for s in hits if s is not None], dtype=float) / n
 
     def excess(lam: float) -> float:
-        return share * float(np.exp(np.minimum(lam * positive, 500)).mean()) + (1 - share) * math.exp(lam * DRIFT) - 1
+        return float((share * np.exp(np.minimum(lam * scores, 500))).sum()) + (1 - share.sum()) * math.exp(lam * DRIFT) - 1
 
     low, high = 1e-6, 5.0
     if excess(high) > 0:
         for _ in range(60):
             mid = (low + high) / 2
             low, high = (mid, high) if excess(mid) < 0 else (low, mid)
-    model.lam = max((low + high) / 2, 1e-3)
-    tops = np.array([max(s, default=0.0) for s in clean.scores])
-    hits = tops > 0
+    return max((low + high) / 2, 1e-3)
+
+
+def _calibrate(model: Model, rows: DataFrame) -> None:
+    """Fit lambda, K and the logistic curve to the learning texts.
+
+    To the driver come counts by score (as many as there are features, at most) and
+    a few numbers for each of at most ``MAX_LEARN`` texts.
+    """
+    spark = rows.sparkSession
+    sent = spark.sparkContext.broadcast(model)
+    clean = rows.where("label = 0")
+
+    def count(batches):
+        for b in batches:
+            hits = background(b["text"].to_pylist(), sent.value)
+            yield pa.RecordBatch.from_arrays([pa.array(list(hits), pa.float64()), pa.array(list(hits.values()), pa.int64())], names=["score", "n"])
+
+    got = clean.mapInArrow(count, "score double, n long").groupBy("score").agg(F.sum("n").alias("n")).collect()
+    hits = Counter({r["score"]: r["n"] for r in got})
+    if len(hits) < 2:  # no clean token above the drift
+        hits[max(d for _, d in model.odds.values())] = 1
+        hits[None] += 1
+    model.lam = root_of(hits)
+
+    def best(batches):
+        m, cache = sent.value, {}
+        for b in batches:
+            out = [m.segments(t, cache) for t in b["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([n for _, n in out], pa.int64()), pa.array([max((s for s, _, _ in found), default=0.0) for found, _ in out])], names=["n", "top"])
+
+    tops = clean.mapInArrow(best, "n long, top double").toPandas()
+    some = tops.top.to_numpy() > 0
     # P(best < s) = exp(-K n exp(-lambda s)): K is what makes the expected number of segments right.
-    model.k = float(hits.sum() / max((clean.n.to_numpy() * np.exp(-model.lam * np.where(hits, tops, 0.0))).sum(), 1.0)) if hits.any() else 1.0 / n
-    model.k = max(model.k, 1e-9)
-    x = np.array([math.log1p(model.excess([(s, 0, 0) for s in ss], m)) for ss, m in zip(t.scores, t.n, strict=True)])
-    y = t.label.to_numpy(float)
-    model.bias, model.slope = logistic(x, y)
+    spread = float((tops.n.to_numpy() * np.exp(-model.lam * np.where(some, tops.top.to_numpy(), 0.0))).sum())
+    model.k = max(float(some.sum() / max(spread, 1.0)) if some.any() else 1.0 / max(float(hits[None]), 1.0), 1e-9)
+    fitted = spark.sparkContext.broadcast(model)
+
+    def sums(batches):
+        m, cache = fitted.value, {}
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b["label"], pa.array([math.log1p(m.excess(*m.segments(t, cache))) for t in b["text"].to_pylist()], pa.float64())], names=["label", "x"])
+
+    t = rows.mapInArrow(sums, "label int, x double").toPandas()
+    model.bias, model.slope = logistic(t.x.to_numpy(), t.label.to_numpy(float))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[float, float]:

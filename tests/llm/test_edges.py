@@ -2,13 +2,14 @@
 
 import hashlib
 import random
+import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from meridian.llm import minhash, mixing, pii, repeats, substring_dedup, suffix_dedup, tokens, topk
+from meridian.llm import decontamination, language, minhash, mixing, pii, repeats, sharding, substring_dedup, suffix_dedup, tokens, topk, toxicity
 
 from .test_operators import brute_bytes, brute_components, brute_words, random_pairs
 
@@ -136,7 +137,8 @@ def clashing(spark, rows):
 def test_stages_with_clashing_columns(spark):
     rows = [(i, f"text of some words number {i} and a few more of them here", "en", f"s{i % 2}") for i in range(20)] + [(20, None, None, None)]
     df = clashing(spark, rows)
-    for out in (minhash.one_of_each(df), mixing.mixed_rows(df)):
+    bench = spark.createDataFrame([(1, "an item that stands nowhere in these texts, of more than ten words in all")], "item_id long, text string")
+    for out in (language.known_language(df), minhash.one_of_each(df), decontamination.clean_only(df, bench), mixing.mixed_rows(df), sharding.hilbert_shards(df).drop("size", "text_crc32", "law", "shard", "slot", "grown_shard", "hilbert")):
         got = out.collect()
         assert out.columns == df.columns and all(tuple(r)[4:] == tuple(f"v-{c}" for c in CLASHES) for r in got) and got
 
@@ -291,3 +293,120 @@ def test_no_secret_of_the_tables_is_left(spark):
     secret = F.regexp_extract_all(F.col("old"), F.lit('token = "([0-9a-f]{40})"'), 1)
     rows = out.join(old, "doc_id").where(F.size(secret) > 0).select("text", secret.alias("secrets")).collect()
     assert rows and all(s not in r.text for r in rows for s in r.secrets)
+
+
+# languages
+
+
+def test_filter_against_exact_sets():
+    rng = np.random.default_rng(2)
+    langs = [f"l{k:03d}" for k in range(70)]
+    grams = {lang: rng.integers(0, 1 << 62, 900).astype(np.uint64) for lang in langs}
+    for lang in langs[1:]:
+        grams[lang][:50] = grams[langs[0]][:50]  # shared by all
+    filters = language.Filters(langs, grams)
+    asked = np.concatenate([grams["l000"][:200], grams["l069"][100:300], rng.integers(0, 1 << 62, 20_000).astype(np.uint64)])
+    exact = np.array([np.isin(asked, grams[lang]) for lang in langs])
+    found = filters.lookup(asked)
+    got = np.array([found[k // 64] >> found[k // 64].dtype.type(k % 64) & found[k // 64].dtype.type(1) for k in range(70)]).astype(bool)
+    assert (got | ~exact).all()  # nothing is missed
+    extra = (got & ~exact).sum(1)
+    assert len(found) == 2 and extra.sum() <= 5 + 3 * filters.false.sum() * len(asked)
+    assert filters.counts(asked) == got.sum(1).tolist()
+
+
+def test_decision_is_that_of_exact_sets():
+    rng = random.Random(8)
+    stems = {"aa": ["zor", "mik", "tal"], "bb": ["quen", "vesh", "rul"], "cc": ["zor", "vesh", "dam"]}
+    text = lambda k, n: " ".join("".join(rng.choice(stems[k]) for _ in range(2)) for _ in range(n))
+    codes = lambda t: np.concatenate([g for part in language.pieces(t) for _, g in part])
+    sets = {k: np.unique(codes(text(k, 300))) for k in stems}
+    filters = language.Filters(list(stems), sets)
+    for k in [*stems] * 30:
+        t = text(k, rng.randrange(1, 20))
+        grams = codes(t)
+        shares = [np.isin(grams, sets[x]).mean() for x in stems]
+        lang, score = filters.decide(t)
+        top, rest = sorted(shares, reverse=True)[:2]
+        assert lang == list(stems)[int(np.argmax(shares))] or top - rest < 0.01
+        assert score == pytest.approx(top / (top + rest), abs=0.01)
+
+
+def test_texts_without_letters_are_undetermined():
+    filters = language.Filters(["aa"], {"aa": np.unique(np.concatenate([g for _, g in language.codes(" aaa ")]))})
+    for t in (None, "", "12 ½ ² Ⅷ", "٣ 一2"[:1], "!?"):
+        assert filters.decide(t) == ("und", 0.0)
+    assert filters.decide("aaa½")[0] == "aa" and language.letters("x½y Ⅷz") == " x y z "
+
+
+def test_many_languages(spark):
+    rows = [(i, f"{chr(97 + i % 26)}{chr(97 + i // 26)}" * 3 + " " + f"{chr(97 + i // 26)}q{chr(97 + i % 26)} ", f"l{i:02d}") for i in range(80) for _ in range(2)]
+    filters = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(filters.langs) == 80 and sum(filters.decide(t)[0] == lang for _, t, lang in rows) >= 150
+
+
+def test_op10_and_op5_as_registered(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    out = language.op10_language_id(spark, sf)
+    assert out.dtypes == [("doc_id", "bigint"), ("held_out", "boolean"), ("lang_pred", "string"), ("score", "double")]
+    rows = out.collect()
+    assert sorted(r.doc_id for r in rows) == sorted(docs)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1 for r in rows)
+    filters = language.learn(spark.createDataFrame([(r.text, r.lang) for i, r in docs.items() if zlib.crc32(str(i).encode()) % 4 != 2], "text string, lang string"))
+    assert {r.doc_id: (r.lang_pred, r.score) for r in rows} == {i: filters.decide(r.text) for i, r in docs.items()}
+    out = toxicity.op5_toxicity(spark, sf)
+    assert out.dtypes == [("doc_id", "bigint"), ("held_out", "boolean"), ("score", "double"), ("predicted", "int")]
+    rows = out.collect()
+    assert sorted(r.doc_id for r in rows) == sorted(docs)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in rows)
+
+
+# toxicity
+
+
+def brute_segments(scores):
+    """All maximal scoring segments, by their definition: the best one, then the same left and right of it."""
+    best = max(((sum(scores[a:b]), -(b - a), -a) for a in range(len(scores)) for b in range(a + 1, len(scores) + 1)), default=(0, 0, 0))
+    if best[0] <= 0:
+        return []
+    a = -best[2]
+    b = a - best[1]
+    left = brute_segments(scores[:a])
+    return left + [(a, b)] + [(x + b, y + b) for x, y in brute_segments(scores[b:])]
+
+
+def test_segments_are_those_of_the_definition():
+    rng = random.Random(18)
+    model = toxicity.Model(odds={w: (1.0, s) for w, s in zip("pqr", (1.0, 0.4131, 0.0717))})
+    for _ in range(150):
+        text = " ".join(rng.choice("pqrzzzzzz") for _ in range(rng.randrange(25)))
+        scores = [model.token_score(w) for w in text.split()]
+        found, _ = model.segments(text)
+        assert [(a, b) for _, a, b in found] == brute_segments(scores)
+
+
+def test_lambda_and_logistic_curve():
+    model = toxicity.Model(odds={"bad": (2.0, 1.5), "poor": (1.0, 0.5)})
+    texts = ["bad " + "fine " * 50, "poor poor " + "fine " * 97, None, ""]
+    hits = toxicity.background(texts, model)
+    assert hits == {None: 150, 1.5: 1, 0.5: 2}
+    lam = toxicity.root_of(hits)
+    assert sum(n * np.exp(lam * s) for s, n in ((1.5, 1), (0.5, 2), (toxicity.DRIFT, 147))) == pytest.approx(150, rel=1e-6)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=400)
+    y = (rng.random(400) < 1 / (1 + np.exp(-(0.5 + 2 * x)))).astype(float)
+    bias, slope = toxicity.logistic(x, y)
+    loss = lambda a, b: (np.logaddexp(0, a + b * x) - y * (a + b * x)).sum() + 0.025 * (a * a + b * b)
+    assert all(loss(bias, slope) <= loss(bias + d, slope + e) for d in (-0.01, 0, 0.01) for e in (-0.01, 0, 0.01))
+
+
+def test_edge_texts_under_a_learnt_model(spark, docs, texts):
+    rows = [(i, f"plain w{i % 7} w{i % 5} words {'vile horrid' if i % 4 == 0 else 'kind soft'} end{i}") for i in range(400)]
+    labels = spark.createDataFrame([(i, 7 if i % 4 == 0 else 0) for i, _ in rows] + [(1, -3), (2, None)], "doc_id long, toxic int")
+    model = toxicity.learn(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    assert model.odds
+    got = toxicity.score(docs, model).collect()
+    assert len(got) == len(texts) and all(0 <= r.score <= 1 for r in got)
+    huge = "kind soft words " * 200_000
+    assert model.score(huge) < 0.5 < model.score(huge + "vile horrid " * 6 + huge)
