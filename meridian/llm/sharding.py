@@ -71,15 +71,28 @@ def hilbert_index(dims: list[Column], bits: int) -> Column:
     )[0]
 
 
-def _quantised(keyed: DataFrame, column: str, cells: int) -> DataFrame:
-    """Distinct values of a text column with a cell number that keeps their order."""
-    values = keyed.select(column).distinct()
-    total = values.agg(F.count(F.lit(1)).alias("__n"))
-    ranked = values.withColumn("__r", F.row_number().over(Window.orderBy(F.col(column).asc_nulls_first())) - 1)
-    return ranked.join(F.broadcast(total)).select(
-        F.col(column).alias(f"{column}_v"),
-        F.when(F.col("__n") <= cells, F.col("__r")).otherwise(F.floor(F.col("__r") * cells / F.col("__n"))).cast("int").alias(f"{column}_c"),
+def numbered(ordered: DataFrame, name: str) -> DataFrame:
+    """The rows of a sorted DataFrame, written, with ``rank`` from 0 and their number ``o_n``.
+
+    Rows are counted by partition; only those counts, one row each, come together.
+    """
+    kept = written(ordered.withColumn("at", F.monotonically_increasing_id()), name)
+    part = F.call_function("shiftright", F.col("at"), F.lit(33))
+    counts = kept.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    offsets = counts.select(
+        F.col("part").alias("o_part"),
+        (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("o_start"),
+        F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("o_n"),
     )
+    rank = F.col("at").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("o_start")
+    return kept.join(F.broadcast(offsets), part == F.col("o_part")).withColumn("rank", rank).drop("at", "o_part", "o_start")
+
+
+def _quantised(keyed: DataFrame, column: str, cells: int) -> DataFrame:
+    """Distinct values of a text column with a cell number that keeps their order, written, so that their size is known."""
+    ranked = numbered(keyed.select(column).distinct().orderBy(F.col(column).asc_nulls_first()), "values")
+    cell = F.floor(F.col("rank") * cells / F.col("o_n"))  # few values are spread over the whole axis
+    return written(ranked.select(F.col(column).alias(f"{column}_v"), cell.cast("int").alias(f"{column}_c")), "cells")
 
 
 def hilbert_shards(docs: DataFrame, n_shards: int = 40, bits: int = BITS, carry: list[str] | None = None) -> DataFrame:
@@ -122,25 +135,16 @@ def hilbert_shards(docs: DataFrame, n_shards: int = 40, bits: int = BITS, carry:
     size_cell = reduce(lambda acc, m: acc + F.when(F.col("size") > m, 1).otherwise(0), sorted(set(marks)), F.lit(0))
     src, lng = _quantised(slim, "src", cells), _quantised(slim, "lng", cells)
     ordered = (
-        placed.join(F.broadcast(src), F.col("src").eqNullSafe(F.col("src_v")), "left")
-        .join(F.broadcast(lng), F.col("lng").eqNullSafe(F.col("lng_v")), "left")
+        placed.join(src, F.col("src").eqNullSafe(F.col("src_v")), "left")
+        .join(lng, F.col("lng").eqNullSafe(F.col("lng_v")), "left")
         .withColumn("hilbert", hilbert_index([F.coalesce("src_c", F.lit(0)), F.coalesce("lng_c", F.lit(0)), size_cell], bits))
         .orderBy("hilbert", "th", "crc", "size", "id")
-        .select("row", "size", "crc", "hilbert", F.monotonically_increasing_id().alias("at"))
+        .select("row", "size", "crc", "hilbert")
     )
     # The sort's result is kept, so that counting and numbering see the same order.
-    kept = written(ordered, "hilbert")
-    part = F.call_function("shiftright", F.col("at"), F.lit(33))
-    counts = kept.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
-    offsets = counts.select(
-        F.col("part").alias("o_part"),
-        (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("o_start"),
-        F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("o_n"),
-    )
-    rank = F.col("at").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("o_start")
+    rows = numbered(ordered, "hilbert")
     exact = F.expr(f"(rank * {n_shards}) div o_n")
-    numbered = kept.join(F.broadcast(offsets), part == F.col("o_part")).withColumn("rank", rank)
-    return numbered.select(
+    return rows.select(
         "row.*",
         "size",
         F.col("crc").alias("text_crc32"),

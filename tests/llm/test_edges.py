@@ -410,3 +410,19 @@ def test_edge_texts_under_a_learnt_model(spark, docs, texts):
     assert len(got) == len(texts) and all(0 <= r.score <= 1 for r in got)
     huge = "kind soft words " * 200_000
     assert model.score(huge) < 0.5 < model.score(huge + "vile horrid " * 6 + huge)
+
+
+# sharding
+
+
+def test_shards_cut_along_the_curve_can_be_skipped(spark):
+    rng = random.Random(3)
+    rows = [(i, f"{i}" + "x" * rng.randrange(1, 4000), rng.choice(["de", "en", "es", "fr"]), f"https://host{rng.randrange(64):02d}.example/") for i in range(4000)]
+    out = sharding.hilbert_shards(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), 64).select("shard", "lang", "source", "size")
+    box = out.groupBy("shard").agg(*[f(c).alias(f"{n}_{c}") for c in ("lang", "source", "size") for n, f in (("lo", F.min), ("hi", F.max))]).collect()
+    queries = {"source": "https://host17.example/", "lang": "es", "size": 800}
+    for column, value in queries.items():
+        read = sum(b[f"lo_{column}"] <= value <= b[f"hi_{column}"] for b in box)
+        assert read <= 64 * 0.5, (column, read)
+    both = sum(all(b[f"lo_{c}"] <= v <= b[f"hi_{c}"] for c, v in queries.items()) for b in box)
+    assert both <= 4
