@@ -83,6 +83,11 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD_REGEX)), F.lit(0)).cast("long")
 
 
+def plainly_named(df: DataFrame) -> DataFrame:
+    """``df`` with columns c0, c1, ...: names such as ``a.b`` can't be passed to Python."""
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+
+
 def trim() -> None:
     """Give memory that a Python worker has freed back to the system."""
     pa.default_memory_pool().release_unused()

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import plainly_named, table
 from .tokens import slices, texts_of, words_of
 
 K1, B = 1.2, 0.75
@@ -327,8 +327,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def clean_only(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``docs`` without the rows that hold an item, judged row by row where they are read."""
     names = docs.columns
-    plain = docs.toDF(*[f"c{k}" for k in range(len(names))])  # names such as ``a.b`` can't be passed on
-    text = names.index("text")
+    plain, text = plainly_named(docs), names.index("text")
     for index in index_parts(items):
         sent = docs.sparkSession.sparkContext.broadcast(index)
 

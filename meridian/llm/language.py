@@ -31,8 +31,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import table, written
+from .common import plainly_named, table, written
 from .tokens import slices
 
 #: n-gram lengths in characters of a lower-cased text whose words are joined by one space.
@@ -200,13 +201,16 @@ def learn(docs: DataFrame, min_share: float = MIN_SHARE, max_learn: int = MAX_LE
 
 def identify(docs: DataFrame, filters: Filters) -> DataFrame:
     """``docs`` with lang_pred and score (struct ``found``) for every row."""
-    sent = docs.sparkSession.sparkContext.broadcast(filters)
+    sent, names = docs.sparkSession.sparkContext.broadcast(filters), docs.columns
+    plain, text = plainly_named(docs), names.index("text")
+    kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64())])
 
-    @F.pandas_udf("struct<lang_pred:string,score:double>")
-    def decide(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([sent.value.decide(t) for t in texts], columns=["lang_pred", "score"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            found = [dict(zip(("lang_pred", "score"), sent.value.decide(t), strict=True)) for t in b.column(text).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, kind)], names=[*b.schema.names, "found"])
 
-    return docs.withColumn("found", decide(F.col("text")))
+    return plain.mapInArrow(run, StructType(plain.schema.fields + [StructField("found", StructType([StructField("lang_pred", StringType()), StructField("score", DoubleType())]))])).toDF(*names, "found")
 
 
 def remainder(column: Column, by: int) -> Column:
@@ -247,11 +251,11 @@ def known_language(docs: DataFrame) -> DataFrame:
     """Pipeline stage: documents go that have no letter, or too few n-grams of any language learnt."""
     filters = learn(docs)
     levels = levels_of(docs, filters)
-    sent = docs.sparkSession.sparkContext.broadcast(filters)
+    sent, names = docs.sparkSession.sparkContext.broadcast(filters), docs.columns
+    plain, text = plainly_named(docs), names.index("text")
 
-    @F.pandas_udf("boolean")
-    def known(texts: pd.Series) -> pd.Series:
-        return pd.Series([sent.value.known(t, levels) for t in texts], dtype=bool)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            yield b.filter(pa.array([sent.value.known(t, levels) for t in b.column(text).to_pylist()], pa.bool_()))
 
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    return docs.select(row.alias("row"), known(F.col("text")).alias("known")).where("known").select("row.*")
+    return plain.mapInArrow(run, plain.schema).toDF(*names)

@@ -306,26 +306,30 @@ def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
 
 
-def dealt(labelled: DataFrame) -> DataFrame:
+def dealt(labelled: DataFrame, more: DataFrame | None = None) -> DataFrame:
     """The rows of buckets with several components, once for each block (key, i, j) in which they must be compared.
 
-    Rows outside the largest component meet each other in blocks (i, j), i <= j, and
-    the chunks of those inside, numbered -1, -2, ..., in blocks (i, -chunk).  Side 0
-    meets side 1; rows of side 2 meet each other.
+    A bucket of up to ``BLOCK`` rows is one block.  In others, rows outside the largest
+    component meet each other in blocks (i, j), i <= j, and the pieces of those
+    inside, numbered -1, -2, ..., in blocks (i, -piece).  Side 0 meets side 1; rows of
+    side 2 meet each other.  ``more`` (doc, ...) adds columns.
     """
     parts = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
     sizes = parts.groupBy("key").agg(F.sum("c").alias("n"), F.max(F.struct("c", "component")).alias("top")).where("n > top.c")
-    up = lambda c: F.ceil(c / BLOCK).cast("int")
-    open_ = sizes.select("key", F.col("top.component").alias("main"), up(F.col("n") - F.col("top.c")).alias("blocks"), up(F.col("top.c")).alias("pieces"))
+    large, up = F.col("n") > BLOCK, lambda c: F.ceil(c / BLOCK).cast("int")
+    open_ = sizes.select("key", F.when(large, F.col("top.component")).alias("main"), F.when(large, up(F.col("n") - F.col("top.c"))).otherwise(1).alias("blocks"), F.when(large, up(F.col("top.c"))).otherwise(0).alias("pieces"))
+    rows = labelled.join(open_, "key")
+    rows, names = (rows, []) if more is None else (rows.join(more, "doc"), [c for c in more.columns if c != "doc"])
     h = F.xxhash64("doc")
-    rows = labelled.join(open_, "key").withColumns({"mine": F.pmod(h, F.col("blocks")).cast("int"), "piece": (-1 - F.pmod(h, F.col("pieces"))).cast("int")})
+    rows = rows.withColumns({"mine": F.pmod(h, F.col("blocks")).cast("int"), "piece": (-1 - F.pmod(h, F.greatest(F.col("pieces"), F.lit(1)))).cast("int")})
     at = lambda i, j, side: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(side).alias("side") if isinstance(side, int) else side.alias("side"))
-    blocks, pieces, mine = F.sequence(F.lit(0), F.col("blocks") - 1), F.sequence(F.lit(1), F.col("pieces")), F.col("mine")
+    blocks, mine = F.sequence(F.lit(0), F.col("blocks") - 1), F.col("mine")
+    pieces = F.when(F.col("pieces") > 0, F.sequence(F.lit(1), F.col("pieces"))).otherwise(F.array().cast("array<int>"))
     among = F.transform(blocks, lambda o: at(F.least(mine, o), F.greatest(mine, o), F.when(mine == o, 2).when(mine < o, 0).otherwise(1)))
     outside = F.concat(among, F.transform(pieces, lambda p: at(mine, -p, 0)))
     inside = F.transform(blocks, lambda o: at(o, F.col("piece"), 1))
     places = F.when(F.col("component") == F.col("main"), inside).otherwise(outside)
-    return rows.withColumn("at", F.explode(places)).select("key", "band", "at.i", "at.j", "at.side", "doc", "component")
+    return rows.withColumn("at", F.explode(places)).select("key", "band", "at.i", "at.j", "at.side", "doc", "component", *names)
 
 
 def missed_links(keys: DataFrame, classes: DataFrame, comps: DataFrame, docs: DataFrame, held: list[str]) -> DataFrame:
@@ -333,7 +337,7 @@ def missed_links(keys: DataFrame, classes: DataFrame, comps: DataFrame, docs: Da
     labelled = written(keys.join(comps, "doc", "left").select("key", "band", "doc", F.coalesce("component", "doc").alias("component")), "labelled", held)
     schema = "key long, band int, i int, j int, side int, doc long, component long, signature binary"
     order = ["key", "i", "j", "doc"]
-    rows = dealt(labelled).join(classes.select("doc", "signature"), "doc").select("key", "band", "i", "j", "side", "doc", "component", "signature")
+    rows = dealt(labelled, classes.select("doc", "signature"))
     need = written(rows.repartition("key", "i", "j").sortWithinPartitions(*order).mapInArrow(wanted, schema), "wanted", held)
     texts = texts_for(docs, need.select("doc").distinct(), held)
     whole = need.join(texts, "doc").select(*need.columns, "packed").repartition("key", "i", "j").sortWithinPartitions(*order)

@@ -21,7 +21,7 @@ U = np.uint64
 #: Tokens hashed at a time.
 CHUNK = 1 << 16
 #: Longest sequence that one array of prefix sums can hold.
-LONGEST = 1 << 20
+LONGEST = 1 << 18
 PRIME = U((1 << 31) - 1)
 _SHIFT = U(31)
 _rng = np.random.RandomState(20240229)
