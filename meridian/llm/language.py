@@ -27,7 +27,6 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,7 +58,7 @@ def letters(text: str) -> str:
 
 
 #: Characters looked up at a time.
-PIECE = 1 << 17
+PIECE = 1 << 15
 
 
 def pieces(text: str) -> Iterator[list[tuple[int, np.ndarray]]]:
@@ -193,9 +192,10 @@ def learn(docs: DataFrame, min_share: float = MIN_SHARE, max_learn: int = MAX_LE
     grams = {lang: np.zeros(0, np.uint64) for lang in langs}
     # At most 1 / min_share n-grams of a length reach that share: the result is bounded.
     total = F.broadcast(totals.where("n > 0"))
-    kept = counts.join(total, ["lang", "n"]).where(F.col("times") >= F.col("total") * min_share).select("lang", "gram", (F.col("times") / F.col("total")).alias("share")).toPandas()
-    for lang, part in kept.groupby("lang"):
-        grams[lang] = part["gram"].to_numpy(np.int64).view(np.uint64)
+    kept = counts.join(total, ["lang", "n"]).where(F.col("times") >= F.col("total") * min_share).select("lang", "gram").toArrow()
+    names = np.asarray(kept["lang"])
+    for lang in langs:
+        grams[lang] = np.asarray(kept["gram"])[names == lang].view(np.uint64)
     return Filters(langs, grams)
 
 
@@ -237,13 +237,15 @@ def levels_of(docs: DataFrame, filters: Filters, most: int = MAX_LEVEL) -> dict[
     sent = docs.sparkSession.sparkContext.broadcast(filters)
     place = {lang: k for k, lang in enumerate(filters.langs)}
 
-    @F.pandas_udf("double")
-    def share(texts: pd.Series, langs: pd.Series) -> pd.Series:
-        return pd.Series([float(found[place[lang]]) if total else None for (total, found), lang in zip(map(sent.value.shares, texts), langs, strict=True)], dtype="float64")
+    def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            langs = b["lang"].to_pylist()
+            found = [float(x[place[lang]]) if total else None for (total, x), lang in zip(map(sent.value.shares, b["text"].to_pylist()), langs, strict=True)]
+            yield pa.RecordBatch.from_arrays([b["lang"], pa.array(found, pa.float64())], names=["lang", "share"])
 
     known = docs.where(F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), "text").where(F.col("lang").isin(filters.langs))
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    measured = known.where(sampled(sizes, most)).select("lang", share("text", "lang").alias("share")).where("share is not null and not isnan(share)")
+    measured = known.where(sampled(sizes, most)).mapInArrow(share, "lang string, share double").where("share is not null and not isnan(share)")
     return {r["lang"]: r["level"] for r in measured.groupBy("lang").agg(F.percentile_approx("share", 0.5).alias("level")).collect()}
 
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import IdFilter, dropped, table, written
+from .common import IdFilter, dropped, plainly_named, table, written
 from .repeats import packed_texts
 from .tokens import Sums, chunks, mix, slices, texts_of, unpack, word_streams, words_of
 
@@ -398,11 +398,26 @@ def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component; rows that repeat it stay with it."""
+    """``docs`` with one document of each component; rows that repeat it stay with it.
+
+    Only rows whose id may be one of those to go are shuffled to learn whether they are.
+    """
     gone = written(near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("id"), "th").distinct(), "gone")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    same = (rows["row"]["doc_id"].cast("long") == gone["id"]) & (F.xxhash64(rows["row"]["text"]) == gone["th"])
-    return rows.join(gone, same, "left_anti").select("row.*")
+    some, names = IdFilter(gone, "id"), docs.columns
+    plain, at = plainly_named(docs), [names.index(c) for c in ("doc_id", "text")]
+
+    def part(held: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in slices(batches):
+                ids = b.column(at[0]).cast(pa.int64())
+                may = some.holds(np.asarray(ids.fill_null(0)).copy()) & np.asarray(ids.is_valid())
+                yield b.filter(pa.array(may == held))
+
+        return plain.mapInArrow(run, plain.schema)
+
+    may = part(True)
+    same = (may[f"c{at[0]}"].cast("long") == gone["id"]) & (F.xxhash64(may[f"c{at[1]}"]) == gone["th"])
+    return part(False).unionByName(may.join(gone, same, "left_anti")).toDF(*names)
 
 
 OP2_SQL = """

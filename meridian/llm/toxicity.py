@@ -39,13 +39,13 @@ from dataclasses import dataclass, field
 from zlib import crc32
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, written
 from .language import remainder
+from .tokens import slices
 
 MAX_LEARN = 40_000
 MAX_FEATURES = 100_000
@@ -176,8 +176,8 @@ def learn(docs: DataFrame, labels: DataFrame, max_learn: int = MAX_LEARN) -> Mod
     odds = odds.where(a > (a + b) * share).withColumn("z", F.sqrt(F.greatest(gain, F.lit(0.0)))).where("delta > 0")
     tried = counts.where("toxic >= 3").count()
     least = math.sqrt(2 * math.log(max(tried, 2))) + MARGIN
-    kept = odds.where(F.col("z") >= least).orderBy(F.col("z").desc(), "feature").limit(MAX_FEATURES).select("feature", "z", "delta").toPandas()
-    model.odds = {f: (z, min(d, MOST)) for f, z, d in kept.itertuples(index=False)}
+    kept = odds.where(F.col("z") >= least).orderBy(F.col("z").desc(), "feature").limit(MAX_FEATURES).select("feature", "z", "delta").toArrow()
+    model.odds = {f: (z, min(d, MOST)) for f, z, d in zip(*(kept[c].to_pylist() for c in ("feature", "z", "delta")), strict=True)}
     if not model.odds:
         return model
     _calibrate(model, rows)
@@ -241,10 +241,11 @@ def _calibrate(model: Model, rows: DataFrame) -> None:
             out = [m.segments(t, cache) for t in b["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([n for _, n in out], pa.int64()), pa.array([max((s for s, _, _ in found), default=0.0) for found, _ in out])], names=["n", "top"])
 
-    tops = clean.mapInArrow(best, "n long, top double").toPandas()
-    some = tops.top.to_numpy() > 0
+    tops = clean.mapInArrow(best, "n long, top double").toArrow()
+    size, top = np.asarray(tops["n"]), np.asarray(tops["top"])
+    some = top > 0
     # P(best < s) = exp(-K n exp(-lambda s)): K is what makes the expected number of segments right.
-    spread = float((tops.n.to_numpy() * np.exp(-model.lam * np.where(some, tops.top.to_numpy(), 0.0))).sum())
+    spread = float((size * np.exp(-model.lam * np.where(some, top, 0.0))).sum())
     model.k = max(float(some.sum() / max(spread, 1.0)) if some.any() else 1.0 / max(float(hits[None]), 1.0), 1e-9)
     fitted = spark.sparkContext.broadcast(model)
 
@@ -253,8 +254,8 @@ def _calibrate(model: Model, rows: DataFrame) -> None:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b["label"], pa.array([math.log1p(m.excess(*m.segments(t, cache))) for t in b["text"].to_pylist()], pa.float64())], names=["label", "x"])
 
-    t = rows.mapInArrow(sums, "label int, x double").toPandas()
-    model.bias, model.slope = logistic(t.x.to_numpy(), t.label.to_numpy(float))
+    t = rows.mapInArrow(sums, "label int, x double").toArrow()
+    model.bias, model.slope = logistic(np.asarray(t["x"]), np.asarray(t["label"]).astype(float))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[float, float]:
@@ -284,11 +285,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
     cache: dict[str, float] = {}
 
-    @F.pandas_udf("double")
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([sent.value.score(t, cache) for t in texts], dtype=float)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([sent.value.score(t, cache) for t in b["text"].to_pylist()], pa.float64())], names=["doc_id", "score"])
 
-    return docs.select("doc_id", run(F.col("text")).alias("score"))
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, score double")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
