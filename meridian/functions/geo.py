@@ -112,3 +112,58 @@ def last_change(ids: Column) -> Column:
     """Index of the last place where neighbouring ids differ (0: nowhere)."""
     at = F.when(F.size(ids) > 1, F.sequence(F.lit(1), F.size(ids) - 1)).otherwise(F.array().cast("array<int>"))
     return F.coalesce(F.array_max(F.filter(at, lambda i: F.get(ids, i) != F.get(ids, i - 1))), F.lit(0))
+
+
+def boxes_overlap(a: str, b: str) -> Column:
+    """Whether two boxes share a point; ``a`` and ``b`` are prefixes of xmin, xmax, ymin, ymax."""
+    meet = [F.col(f"{a}{axis}min") <= F.col(f"{b}{axis}max") for axis in "xy"] + [F.col(f"{b}{axis}min") <= F.col(f"{a}{axis}max") for axis in "xy"]
+    return meet[0] & meet[1] & meet[2] & meet[3]
+
+
+def globe_box(xs: Column, ys: Column, holds_north: Column, holds_south: Column) -> Column:
+    """The box of a small cell from its vertices, right across the antimeridian and at the poles.
+
+    A struct of xmin, xmax, ymin, ymax, wraps.  Vertices more than half the globe apart
+    stand on both sides of the antimeridian, where least and greatest are the wrong
+    ends: such a cell gets all longitudes, as does one around a pole, which also
+    reaches up (down) to it.  Null for a cell as high as a quarter of the globe.
+    """
+    low, high = F.array_min(ys), F.array_max(ys)
+    wraps = F.array_max(xs) - F.array_min(xs) > X_MAX
+    every = wraps | holds_north | holds_south
+    end = lambda own, all_, where: F.when(where, F.lit(all_).cast("bigint")).otherwise(own.cast("bigint"))
+    box = F.struct(
+        end(F.array_min(xs), -X_MAX, every).alias("xmin"),
+        end(F.array_max(xs), X_MAX, every).alias("xmax"),
+        end(low, -Y_MAX, holds_south & ~holds_north).alias("ymin"),
+        end(high, Y_MAX, holds_north).alias("ymax"),
+        wraps.alias("wraps"),
+    )
+    return F.when(high - low < Y_MAX, box)
+
+
+def cell_box(cell: Column, size: int) -> Column:
+    """xmin, xmax, ymin, ymax of a grid cell."""
+    x = F.floor(cell / 100_000).cast("bigint") * size - X_MAX
+    y = F.pmod(cell, F.lit(100_000)) * size - Y_MAX
+    return F.struct(x.alias("xmin"), (x + size).alias("xmax"), y.alias("ymin"), (y + size).alias("ymax"))
+
+
+def cell_children(cell: Column, size: int, by: int) -> Column:
+    """The by * by cells of a grid ``by`` times finer that make up a cell."""
+    if size % by:
+        raise ValueError(f"a cell of {size} can't be cut into {by}")
+    x, y = F.floor(cell / 100_000).cast("bigint") * by, F.pmod(cell, F.lit(100_000)) * by
+    steps = F.sequence(F.lit(0), F.lit(by - 1))
+    return F.flatten(F.transform(steps, lambda i: F.transform(steps, lambda j: cell_id(x + i, y + j))))
+
+
+def cell_count(size: int) -> int:
+    """Cells of the grid over the whole globe."""
+    return (2 * X_MAX // size) * (2 * Y_MAX // size)
+
+
+def random_point(seed: int, by_area: bool = True) -> tuple[Column, Column]:
+    """(lng, lat) at random: even over the sphere's area, or over the degrees."""
+    lat = F.degrees(F.asin(F.rand(seed + 1) * 2 - 1)) if by_area else F.rand(seed + 1) * 180 - 90
+    return F.rand(seed) * 360 - 180, lat

@@ -5,9 +5,11 @@ Modes: ``full`` (the first candidate that holds the point, the last one untested
 null on oceans), ``unique`` (only where a cell has one zone), ``light`` (the cell's
 last candidate, no geometry).
 
-Strategies: ``relational`` joins banded edges and counts crossings, on distinct
-points; ``arrow`` tests points in batches against a broadcast index, without any
-shuffle, and serves streams.  Only an index below ``BROADCAST_BYTES`` is broadcast.
+Strategies: ``relational`` joins banded edges and counts crossings, on the distinct
+points of ambiguous cells (rows of other cells are never shuffled); ``arrow`` tests
+points in batches against a broadcast index of flat arrays, without any
+shuffle, and serves streams.  Only an index below ``BROADCAST_BYTES`` is broadcast;
+``auto`` takes ``arrow`` for such an index and ``relational`` for a larger one.
 
 No row is ever dropped; invalid coordinates get an error, a null, or raise.
 """
@@ -16,12 +18,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import cell_of, coordinate_error, scaled
 from .index import ZoneIndex
-from .pip import contained, crossed
+from .pip import Rings, contained, spread
 
 MODES = ("full", "certain", "land", "unique", "light")
 BROADCAST_BYTES = 512 << 20
@@ -41,103 +43,158 @@ def with_points(df: DataFrame, lng: str, lat: str, on_invalid: str) -> DataFrame
     return df.drop("x", "y", "error").withColumnsRenamed({"__x": "x", "__y": "y", "__error": "error"})
 
 
-def located(points: DataFrame, index: ZoneIndex, mode: str) -> DataFrame:
-    """(x, y, tz_id) of distinct points (x, y) by joins and aggregates."""
-    at = points.withColumn("cell_id", cell_of(F.col("x"), F.col("y"), index.cell)).join(index.cells, "cell_id", "left")
-    if mode == "unique":
-        return at.select("x", "y", F.col("unique_zone_id").alias("tz_id"))
-    if mode == "light":
-        return at.select("x", "y", F.coalesce("unique_zone_id", "last_zone_id").alias("tz_id"))
-    tested = at.where("candidates is not null").select("x", "y", F.inline("candidates"))
+#: Rows without a cell or a hit take keys of their own, so that a join doesn't deal them all to one task.
+_SPREAD = 1 << 10
+
+
+def keyed(rows: DataFrame, key: Column) -> Column:
+    """A join key that is never null: rows without one are spread by their own values."""
+    plain = [c for c, kind in rows.dtypes if not kind.startswith(("map", "array", "struct"))]
+    return F.coalesce(key, -1 - F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in plain]), F.lit(_SPREAD)))
+
+
+def at_cells(rows: DataFrame, index: ZoneIndex) -> DataFrame:
+    """``rows`` (x, y) with the entry of their cell."""
+    cells = index.cells.withColumnsRenamed({c: f"__{c}" for c in ("cell_id", "unique_zone_id", "last_zone_id", "candidates")})
+    return rows.withColumn("__key", keyed(rows, F.when(F.col("x").isNotNull(), cell_of(F.col("x"), F.col("y"), index.cell)))).join(cells, F.col("__key") == F.col("__cell_id"), "left")
+
+
+def tested_zones(at: DataFrame, index: ZoneIndex, mode: str) -> DataFrame:
+    """(x, y, zone) of the distinct points of rows at their cells: the first candidate that holds them."""
+    points = at.select("x", "y", F.col("__unique_zone_id").alias("unique_zone_id"), F.col("__candidates").alias("candidates")).where("x is not null").distinct()
+    tested = points.where("candidates is not null").select("x", "y", F.inline("candidates"))
     if mode == "certain":
-        whole = at.where("unique_zone_id is not null").select("x", "y", F.col("unique_zone_id").alias("zone_id"))
+        whole = points.where("unique_zone_id is not null").select("x", "y", F.col("unique_zone_id").alias("zone_id"))
         whole = whole.join(index.polygons.select("zone_id", "poly_id"), "zone_id").select("x", "y", F.col("poly_id").alias("pos"), "poly_id", "zone_id")
         tested = tested.select("x", "y", "pos", "poly_id", "zone_id").unionByName(whole)
     else:
         tested = tested.where("tested")
     box = index.polygons.select("poly_id", "xmin", "xmax", "ymin", "ymax")
     near = tested.join(box, "poly_id").where("x between xmin and xmax and y between ymin and ymax").select("x", "y", "pos", "poly_id", "zone_id")
-    hit = near.join(contained(near, index.bands), ["x", "y", "poly_id"]).groupBy("x", "y").agg(F.min_by("zone_id", "pos").alias("hit"))
-    joined = at.join(hit, ["x", "y"], "left")
-    return joined.select("x", "y", (F.col("hit") if mode == "certain" else F.coalesce("unique_zone_id", "hit", "last_zone_id")).alias("tz_id"))
+    return near.join(contained(near, index.bands), ["x", "y", "poly_id"]).groupBy(F.col("x").alias("__x"), F.col("y").alias("__y")).agg(F.min_by("zone_id", "pos").alias("__zone"))
+
+
+def _relational(rows: DataFrame, index: ZoneIndex, mode: str) -> DataFrame:
+    names, at = rows.columns, at_cells(rows, index)
+    known, last = F.col("__unique_zone_id"), F.col("__last_zone_id")
+    answer = lambda df, zone: df.select(*names, zone.cast("int").alias("tz_id"))
+    if mode == "unique":
+        return answer(at, known)
+    if mode == "light":
+        return answer(at, F.coalesce(known, last))
+    open_ = F.col("__candidates").isNotNull() if mode == "full" else F.coalesce(known, last).isNotNull()
+    hit = tested_zones(at.where(open_), index, mode)
+    tried = at.where(open_).join(hit, (F.col("x") == F.col("__x")) & (F.col("y") == F.col("__y")), "left")
+    found = F.col("__zone") if mode == "certain" else F.coalesce("__zone", "__last_zone_id")
+    settled = known if mode == "full" else F.lit(None)
+    return answer(tried, found).unionByName(answer(at.where(~open_), settled))
 
 
-def lookup(df: DataFrame, index: ZoneIndex, mode: str = "full", strategy: str = "relational", lng: str = "lng", lat: str = "lat", on_invalid: str = "flag") -> DataFrame:
+def lookup(df: DataFrame, index: ZoneIndex, mode: str = "full", strategy: str = "auto", lng: str = "lng", lat: str = "lat", on_invalid: str = "flag") -> DataFrame:
     """``df`` with x, y, tz_id, tz_name and error."""
-    if mode not in MODES or strategy not in ("relational", "arrow"):
+    if mode not in MODES or strategy not in ("auto", "relational", "arrow"):
         raise ValueError(f"mode {mode!r}, strategy {strategy!r}")
     rows = with_points(df, lng, lat, on_invalid).drop("tz_id", "tz_name")
     how = "full" if mode == "land" else mode
-    if strategy == "arrow":
-        found = _arrow(rows, index, how)
-    else:
-        points = rows.where("x is not null").select("x", "y").distinct()
-        found = rows.join(located(points, index, how), ["x", "y"], "left")
-    zones = index.zones.select(F.col("zone_id").alias("tz_id"), F.col("tz_name"), "is_ocean")
-    named = found.join(zones, "tz_id", "left")
+    found = _arrow(rows, index, how) if strategy == "arrow" or strategy == "auto" and fits(index) else _relational(rows, index, how)
+    zones = index.zones.select(F.col("zone_id").alias("__id"), F.col("tz_name"), F.col("is_ocean").alias("__ocean"))
+    named = found.withColumn("__key", keyed(found, F.col("tz_id").cast("bigint"))).join(zones, F.col("__key") == F.col("__id"), "left")
     if mode == "land":
-        named = named.withColumns({"tz_name": F.when(~F.col("is_ocean"), F.col("tz_name")), "tz_id": F.when(~F.col("is_ocean"), F.col("tz_id"))})
+        named = named.withColumns({"tz_name": F.when(~F.col("__ocean"), F.col("tz_name")), "tz_id": F.when(~F.col("__ocean"), F.col("tz_id"))})
     return named.select(*[c for c in rows.columns if c != "error"], "tz_id", "tz_name", "error")
 
 
+def flat_bytes(index: ZoneIndex) -> int:
+    """Bytes of an index as flat arrays: 40 a banded edge, 20 a candidate, 40 a cell."""
+    n = F.coalesce(F.size("candidates"), F.lit(0))
+    return index.bands.count() * 40 + (index.cells.agg(F.sum(40 + n * 20)).first()[0] or 0)
+
+
+def fits(index: ZoneIndex) -> bool:
+    """Whether an index may be broadcast."""
+    return index.sent is not None or flat_bytes(index) <= BROADCAST_BYTES
+
+
 class BroadcastIndex:
-    """Cells, polygons and edges as arrays on every executor."""
+    """Cells, polygons and rings as flat arrays on every executor."""
 
     def __init__(self, index: ZoneIndex):
-        size = index.edges.count() * 32 + index.cells.select(F.sum(16 + F.coalesce(F.size("candidates"), F.lit(0)) * 16)).first()[0]
-        if size > BROADCAST_BYTES:
+        listed = index.cells.select("cell_id", "unique_zone_id", "last_zone_id", F.coalesce(F.size("candidates"), F.lit(0)).alias("n"))
+        if (size := flat_bytes(index)) > BROADCAST_BYTES:
             raise ValueError(f"an index of {size} bytes is too large to broadcast; use the relational strategy")
         self.cell = index.cell
-        self.cells = {r["cell_id"]: (r["unique_zone_id"], r["last_zone_id"], [(c["poly_id"], c["zone_id"], c["tested"]) for c in r["candidates"] or []]) for r in index.cells.collect()}
-        polys = index.polygons.select("poly_id", "zone_id", "xmin", "xmax", "ymin", "ymax").collect()
-        self.box = {p["poly_id"]: tuple(p)[2:] for p in polys}
-        self.of_zone: dict[int, list[int]] = {}
-        for p in sorted(polys, key=lambda p: p["poly_id"]):
-            self.of_zone.setdefault(p["zone_id"], []).append(p["poly_id"])
-        edges = index.edges.toPandas()
-        names = ["x_low", "y_low", "x_high", "y_high"]
-        self.rings = {k: g[names].to_numpy(np.int64) for k, g in edges.groupby(["poly_id", "hole_id"])}
-        self.holes: dict[int, list[int]] = {}
-        for poly, hole in self.rings:
-            if hole >= 0:
-                self.holes.setdefault(poly, []).append(hole)
-
-    def holds(self, poly: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        xmin, xmax, ymin, ymax = self.box[poly]
-        out = (x >= xmin) & (x <= xmax) & (y >= ymin) & (y <= ymax)
-        for hole in [-1, *self.holes.get(poly, [])]:
-            at = np.flatnonzero(out)
-            if len(at):
-                odd = crossed(x[at], y[at], self.rings.get((poly, hole), np.zeros((0, 4), np.int64)))
-                out[at] = odd if hole < 0 else ~odd
+        cells = listed.orderBy("cell_id").toArrow()
+        column = lambda t, c: np.asarray(t[c].fill_null(-1)).astype(np.int64)
+        self.cell_id, self.unique, self.last, count = (column(cells, c) for c in ("cell_id", "unique_zone_id", "last_zone_id", "n"))
+        self.first, self.count = np.cumsum(count) - count, count
+        each = index.cells.where("candidates is not null").select("cell_id", F.inline("candidates")).orderBy("cell_id", "pos").toArrow()
+        self.poly, self.zone, self.tested = (np.asarray(each[c]) for c in ("poly_id", "zone_id", "tested"))
+        polys = index.polygons.select("poly_id", "zone_id", "xmin", "xmax", "ymin", "ymax").orderBy("poly_id").toArrow()
+        ids = column(polys, "poly_id")
+        n = int(ids.max(initial=-1)) + 1
+        self.box = np.zeros((4, n), dtype=np.int64)
+        for k, c in enumerate(("xmin", "xmax", "ymin", "ymax")):
+            self.box[k, ids] = column(polys, c)
+        of = column(polys, "zone_id")
+        order = np.argsort(of, kind="stable")
+        self.zone_polys, zones = ids[order], int(of.max(initial=-1)) + 1
+        self.zone_first = np.searchsorted(of[order], np.arange(zones + 1))
+        bands = index.bands.select("poly_id", "hole_id", "band", "x_low", "y_low", "x_high", "y_high").toArrow()
+        poly, hole = column(bands, "poly_id"), np.asarray(bands["hole_id"]).astype(np.int64)
+        # A polygon's rings stand together, the boundary first.
+        pairs, ring = np.unique(np.stack([poly, hole], 1), axis=0, return_inverse=True)
+        self.ring_first = np.searchsorted(pairs[:, 0], np.arange(n + 1))
+        self.boundary = pairs[:, 1] == -1
+        self.rings = Rings(ring.reshape(-1), column(bands, "band"), [column(bands, c) for c in ("x_low", "y_low", "x_high", "y_high")], len(pairs))
+
+    def holds(self, poly: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Whether each polygon holds its point: its boundary does and no hole."""
+        out = np.zeros(len(x), dtype=bool)
+        xmin, xmax, ymin, ymax = self.box[:, poly]
+        near = np.flatnonzero((x >= xmin) & (x <= xmax) & (y >= ymin) & (y <= ymax))
+        first = self.ring_first[poly[near]]
+        owner, ring = spread(first, self.ring_first[poly[near] + 1] - first)
+        odd = self.rings.odd(x[near][owner], y[near][owner], ring)
+        inside = np.bincount(owner[odd & self.boundary[ring]], minlength=len(near)) > 0
+        out[near] = inside & (np.bincount(owner[odd & ~self.boundary[ring]], minlength=len(near)) == 0)
+        return out
+
+    def first_hit(self, x: np.ndarray, y: np.ndarray, first: np.ndarray, count: np.ndarray, poly: np.ndarray, zone: np.ndarray, use: np.ndarray | None) -> np.ndarray:
+        """The zone of the first listed polygon that holds each point, -1 for none; one round for each place in the lists."""
+        out = np.full(len(x), -1, dtype=np.int64)
+        left, step = np.flatnonzero(count > 0), 0
+        while len(left):
+            at = first[left] + step
+            try_ = np.flatnonzero(use[at]) if use is not None else np.arange(len(left))
+            own = left[try_]
+            hit = self.holds(poly[at[try_]], x[own], y[own])
+            out[own[hit]] = zone[at[try_[hit]]]
+            step += 1
+            left = left[(out[left] < 0) & (count[left] > step)]
         return out
 
     def locate(self, x: np.ndarray, y: np.ndarray, mode: str) -> np.ndarray:
         """Zone ids of points, -1 for none."""
+        if not len(self.cell_id):
+            return np.full(len(x), -1, dtype=np.int64)
         n_col, n_row = 3_600_000_000 // self.cell, 1_800_000_000 // self.cell
         cell = np.minimum((x + 1_800_000_000) // self.cell, n_col - 1) * 100_000 + np.minimum((y + 900_000_000) // self.cell, n_row - 1)
-        out = np.full(len(x), -1, dtype=np.int64)
-        values, where = np.unique(cell, return_inverse=True)
-        order = np.argsort(where, kind="stable")
-        for c, at in zip(values, np.split(order, np.cumsum(np.bincount(where))[:-1]), strict=True):
-            unique, last, listed = self.cells.get(int(c), (None, None, []))
-            if mode == "unique" or mode == "light":
-                zone = unique if mode == "unique" or unique is not None else last
-                out[at] = -1 if zone is None else zone
-                continue
-            if mode == "full" and unique is not None:
-                out[at] = unique
-                continue
-            tests = [(p, z) for p, z, t in listed if t or mode == "certain"] if unique is None else [(p, unique) for p in self.of_zone[unique]]
-            left = at
-            for poly, zone in tests:
-                if not len(left):
-                    break
-                inside = self.holds(poly, x[left], y[left])
-                out[left[inside]] = zone
-                left = left[~inside]
-            if mode == "full" and last is not None:
-                out[left] = last
+        at = np.minimum(np.searchsorted(self.cell_id, cell), len(self.cell_id) - 1)
+        known = self.cell_id[at] == cell
+        unique, last = np.where(known, self.unique[at], -1), np.where(known, self.last[at], -1)
+        if mode == "unique":
+            return unique
+        if mode == "light":
+            return np.where(unique >= 0, unique, last)
+        out = unique if mode == "full" else np.full(len(x), -1, dtype=np.int64)
+        open_ = np.flatnonzero(known & (unique < 0))
+        hit = self.first_hit(x[open_], y[open_], self.first[at[open_]], self.count[at[open_]], self.poly, self.zone, self.tested if mode == "full" else None)
+        out[open_] = np.where(hit >= 0, hit, last[open_]) if mode == "full" else hit
+        if mode == "certain":
+            alone = np.flatnonzero(unique >= 0)
+            z = unique[alone]
+            zones = np.repeat(np.arange(len(self.zone_first) - 1), np.diff(self.zone_first))
+            out[alone] = self.first_hit(x[alone], y[alone], self.zone_first[z], self.zone_first[z + 1] - self.zone_first[z], self.zone_polys, zones, None)
         return out
 
 
@@ -175,9 +232,9 @@ def geometry(index: ZoneIndex, zone: str | int, pairs: bool = True) -> DataFrame
 
 
 class Finder:
-    """A table-valued lookup with a fixed index; the module functions keep one for each session."""
+    """A table-valued lookup with a fixed index."""
 
-    def __init__(self, index: ZoneIndex, strategy: str = "relational"):
+    def __init__(self, index: ZoneIndex, strategy: str = "auto"):
         self.index, self.strategy = index, strategy
 
     def timezone_at(self, df: DataFrame, **how) -> DataFrame:
@@ -195,3 +252,6 @@ class Finder:
     def light_timezone_at(self, df: DataFrame, **how) -> DataFrame:
         return lookup(df, self.index, "light", self.strategy, **how)
 
+    def get_geometry(self, zone: str | int, pairs: bool = True) -> DataFrame:
+        return geometry(self.index, zone, pairs)
+

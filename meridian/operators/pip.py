@@ -10,6 +10,8 @@ from ..functions.geo import band_of, crosses
 
 #: Height of a latitude band: edges are joined only to points of their bands.
 BAND = 10_000_000
+#: Pairs of points and edges tested at a time.
+PAIRS = 1_000_000
 
 
 def banded(edges: DataFrame, band: int = BAND) -> DataFrame:
@@ -17,23 +19,80 @@ def banded(edges: DataFrame, band: int = BAND) -> DataFrame:
     return edges.withColumn("band", F.explode(F.sequence(band_of(F.col("y_low"), band), band_of(F.col("y_high"), band))))
 
 
+def rings_around(pairs: DataFrame, bands: DataFrame, band: int = BAND) -> DataFrame:
+    """(x, y, poly_id, hole_id) of every ring of the pairs (x, y, poly_id) that holds the point; -1 is the boundary."""
+    at = pairs.select("x", "y", "poly_id").withColumn("band", band_of(F.col("y"), band))
+    hits = at.join(bands, ["poly_id", "band"]).where(crosses(F.col("x"), F.col("y")))
+    return hits.groupBy("x", "y", "poly_id", "hole_id").agg((F.count(F.lit(1)) % 2).alias("odd")).where("odd = 1").drop("odd")
+
+
 def contained(pairs: DataFrame, bands: DataFrame, band: int = BAND) -> DataFrame:
     """Of the pairs (x, y, poly_id), those whose polygon holds the point and none of its holes does."""
-    at = pairs.select("x", "y", "poly_id").withColumn("band", band_of(F.col("y"), band))
-    odd = at.join(bands, ["poly_id", "band"]).where(crosses(F.col("x"), F.col("y"))).groupBy("x", "y", "poly_id", "hole_id").agg((F.count(F.lit(1)) % 2).alias("odd")).where("odd = 1")
-    return odd.groupBy("x", "y", "poly_id").agg(F.max("hole_id").alias("h")).where("h = -1").select("x", "y", "poly_id")
+    return rings_around(pairs, bands, band).groupBy("x", "y", "poly_id").agg(F.max("hole_id").alias("h")).where("h = -1").select("x", "y", "poly_id")
+
+
+def in_any_hole(pairs: DataFrame, bands: DataFrame, band: int = BAND) -> DataFrame:
+    """Of the pairs (x, y, poly_id), those where one of the polygon's holes holds the point."""
+    return rings_around(pairs, bands.where("hole_id <> -1"), band).select("x", "y", "poly_id").distinct()
+
+
+def spread(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For ranges of given starts and lengths: the number of the range, and each place in it."""
+    owner = np.repeat(np.arange(len(count)), count)
+    return owner, np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
+
+
+class Rings:
+    """Rings as flat arrays of edges, sorted by ring and band; a ring is tested by the edges of the point's band only."""
+
+    def __init__(self, ring: np.ndarray, band: np.ndarray, edges: list[np.ndarray], n: int, height: int = BAND):
+        """``edges`` are x_low, y_low, x_high, y_high of each (ring, band) entry."""
+        self.height = height
+        order = np.lexsort((band, ring))
+        ring, band = ring[order], band[order]
+        self.x_low, self.y_low, self.x_high, self.y_high = (e[order].astype(np.int64) for e in edges)
+        #: First and last band of each ring, and where its table of band starts begins.
+        self.bottom, self.top = np.zeros(n, np.int64), np.full(n, -1, np.int64)
+        begin = np.searchsorted(ring, np.arange(n))
+        end = np.searchsorted(ring, np.arange(n), "right")
+        some = end > begin
+        self.bottom[some], self.top[some] = band[begin[some]], band[end[some] - 1]
+        height_of = self.top - self.bottom + 2
+        self.table = np.cumsum(height_of) - height_of
+        owner, level = spread(self.bottom, height_of)
+        span = int(band.max(initial=0)) + 2
+        self.starts = np.searchsorted(ring * span + band, owner * span + np.minimum(level, span - 1))
+
+    def odd(self, x: np.ndarray, y: np.ndarray, ring: np.ndarray) -> np.ndarray:
+        """Whether each ring holds its point."""
+        out = np.zeros(len(x), dtype=bool)
+        band = (y + 900_000_000) // self.height
+        near = np.flatnonzero((band >= self.bottom[ring]) & (band <= self.top[ring]))
+        at = self.table[ring[near]] + band[near] - self.bottom[ring[near]]
+        first = self.starts[at]
+        count = self.starts[at + 1] - first
+        upto = np.cumsum(count)
+        lo = 0
+        while lo < len(near):
+            hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + PAIRS, "right")))
+            owner, e = spread(first[lo:hi], count[lo:hi])
+            own = near[lo:hi]
+            px, py = x[own][owner], y[own][owner]
+            y_low, y_high = self.y_low[e], self.y_high[e]
+            hit = np.flatnonzero((py > y_low) & (py <= y_high))
+            e, px, py, y_low, y_high = e[hit], px[hit], py[hit], y_low[hit], y_high[hit]
+            x_low = self.x_low[e]
+            over = (self.x_high[e] - x_low) * (py - y_low) >= (px - x_low) * (y_high - y_low)
+            out[own] = np.bincount(owner[hit[over]], minlength=hi - lo) % 2 == 1
+            lo = hi
+        return out
 
 
 def crossed(x: np.ndarray, y: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    """Parity of the crossings of each point with edges (x_low, y_low, x_high, y_high)."""
-    odd = np.zeros(len(x), dtype=bool)
+    """Parity of the crossings of each point with the edges (x_low, y_low, x_high, y_high) of one ring."""
     if not len(edges):
-        return odd
-    step = max(1, 2_000_000 // len(edges))
-    xl, yl, xh, yh = edges.T
-    for at in range(0, len(x), step):
-        px, py = x[at : at + step, None], y[at : at + step, None]
-        hit = (py > yl) & (py <= yh)
-        hit &= (xh - xl) * (py - yl) >= (px - xl) * (yh - yl)
-        odd[at : at + step] = hit.sum(1) % 2 == 1
-    return odd
+        return np.zeros(len(x), dtype=bool)
+    low, high = (edges[:, 1] + 900_000_000) // BAND, (edges[:, 3] + 900_000_000) // BAND
+    owner, band = spread(low, high - low + 1)
+    rings = Rings(np.zeros(len(owner), np.int64), band, list(edges[owner].T), 1)
+    return rings.odd(x, y, np.zeros(len(x), np.int64))

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import X_MAX, Y_MAX, cell_of
-from .index import ZoneIndex
+from ..functions.geo import RELEASE_TAG, X_MAX, Y_MAX, boxes_overlap, cell_of
+from .index import ZoneIndex, covered_cells
+from .pip import rings_around
+
+#: Cells in which boxes are brought together.
+COARSE = 100_000_000
 
 
 def bad_rings(rings: DataFrame) -> DataFrame:
@@ -66,3 +72,66 @@ def incoherent_candidates(index: ZoneIndex) -> DataFrame:
     each = index.cells.where("candidates is not null").select("cell_id", F.inline("candidates"))
     changed = F.coalesce((F.lag("zone_id").over(Window.partitionBy("cell_id").orderBy("pos")) != F.col("zone_id")).cast("int"), F.lit(1))
     return each.withColumn("new", changed).groupBy("cell_id").agg(F.sum("new").alias("runs"), F.countDistinct("zone_id").alias("zones")).where("runs <> zones")
+
+
+def counts(index: ZoneIndex) -> DataFrame:
+    """Numbers of zones, polygons and holes, the data's version and the cell size: one row."""
+    spark = index.zones.sparkSession
+    one = index.zones.agg(F.count(F.lit(1)).alias("zones"))
+    for name in ("polygons", "holes", "cells"):
+        one = one.join(F.broadcast(getattr(index, name).agg(F.count(F.lit(1)).alias(name))))
+    return one.join(F.broadcast(spark.createDataFrame([(index.data_version, index.cell)], "data_version string, cell long")))
+
+
+def count_mismatch(index: ZoneIndex) -> DataFrame:
+    """A row if there are fewer polygons than zones, or polygons of other zones than those named."""
+    polys = index.polygons.agg(F.count(F.lit(1)).alias("polygons"), F.countDistinct("zone_id").alias("used"))
+    return index.zones.agg(F.count(F.lit(1)).alias("zones")).join(F.broadcast(polys)).where("polygons < zones or used <> zones")
+
+
+def bad_entries(index: ZoneIndex) -> DataFrame:
+    """Cells that are listed twice, lie outside the grid, or whose candidates are empty, repeated or out of order."""
+    n = F.size("candidates")
+    ids = F.transform("candidates", lambda c: c["poly_id"])
+    places = F.transform("candidates", lambda c: c["pos"])
+    column, row = F.floor(F.col("cell_id") / 100_000), F.pmod("cell_id", F.lit(100_000))
+    outside = (column < 0) | (column >= 2 * X_MAX // index.cell) | (row >= 2 * Y_MAX // index.cell)
+    why = (
+        F.when(outside, "outside the grid")
+        .when(F.count(F.lit(1)).over(Window.partitionBy("cell_id")) > 1, "listed twice")
+        .when(F.col("unique_zone_id").isNull() & (F.coalesce(n, F.lit(0)) == 0), "no candidates")
+        .when(F.size(F.array_distinct(ids)) < n, "a polygon twice")
+        .when(places != F.sequence(F.lit(0), n - 1), "out of order")
+    )
+    return index.cells.withColumn("problem", why).where("problem is not null").select("cell_id", "problem")
+
+
+def polygons_in_holes(index: ZoneIndex) -> DataFrame:
+    """(hole_id, poly_id, any, whole): polygons with a vertex in a hole of another polygon, and whether all are."""
+    holes = index.holes.join(index.polygons.select(F.col("poly_id").alias("ref_poly_id"), F.col("xs").alias("r_xs"), F.col("ys").alias("r_ys")), "ref_poly_id", "left")
+    box = ["xmin", "xmax", "ymin", "ymax"]
+    own = holes.select("hole_id", F.col("poly_id").alias("owner"), *[F.col(c).alias(f"h_{c}") for c in box])
+    # Boxes meet cell by cell of a coarse grid, so that no pair of far ones is looked at.
+    near = covered_cells(own.select("hole_id", "owner", *[F.col(f"h_{c}").alias(c) for c in box]), COARSE).select("cell_id", "hole_id", "owner", *[F.col(c).alias(f"h_{c}") for c in box])
+    polys = covered_cells(index.polygons.select("poly_id", *box), COARSE).select("cell_id", "poly_id", *box)
+    pairs = near.join(polys, "cell_id").where(boxes_overlap("", "h_")).where("owner <> poly_id").select("hole_id", "owner", "poly_id").distinct()
+    vertices = index.polygons.select("poly_id", F.explode(F.arrays_zip("xs", "ys")).alias("v")).select("poly_id", F.col("v.xs").alias("x"), F.col("v.ys").alias("y"))
+    at = pairs.join(vertices, "poly_id")
+    inside = rings_around(at.select("x", "y", F.col("owner").alias("poly_id")).distinct(), index.bands).where("hole_id <> -1").select("x", "y", "hole_id", F.lit(True).alias("hit"))
+    met = at.join(inside, ["x", "y", "hole_id"], "left").groupBy("hole_id", "poly_id").agg(F.count("hit").alias("inside"), F.count(F.lit(1)).alias("vertices"))
+    return met.where("inside > 0").select("hole_id", "poly_id", F.lit(True).alias("any"), (F.col("inside") == F.col("vertices")).alias("whole"))
+
+
+def version_problem(versions: list[str]) -> str | None:
+    """Why a list of release tags isn't in order, each once and of the form year and letters; or None."""
+    for k, tag in enumerate(versions):
+        if not re.fullmatch(RELEASE_TAG, tag):
+            return f"{tag!r} is no release"
+        if k and (tag[:4], len(tag), tag) <= (versions[k - 1][:4], len(versions[k - 1]), versions[k - 1]):
+            return f"{tag} doesn't come after {versions[k - 1]}"
+    return None
+
+
+def provenance_problems(meta: dict, wanted: dict) -> list[str]:
+    """What keeps benchmark points of one origin from being used with an index of another."""
+    return [f"{k}: made with {meta.get(k)!r}, wanted {v!r}" for k, v in wanted.items() if meta.get(k) != v] + (["made in debug mode"] if meta.get("debug") else [])

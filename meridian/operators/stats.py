@@ -34,6 +34,33 @@ def frequencies(df: DataFrame, value: Column) -> DataFrame:
     return counted.select("value", "n", total.alias("total"), upto.alias("upto"), (total - upto).alias("rest"))
 
 
+def with_shares(table: DataFrame) -> DataFrame:
+    """A table of ``frequencies`` with percent of the total, of the running sum, and of the rest."""
+    pct = lambda n: F.round(F.lit(100.0) * F.col(n) / F.col("total"), 2)
+    return table.withColumns({"pct": pct("n"), "upto_pct": pct("upto"), "rest_pct": pct("rest")})
+
+
+def size_shares(files: DataFrame) -> DataFrame:
+    """(name, bytes) of parts with their percentage of all, largest first."""
+    total = F.sum("bytes").over(Window.partitionBy(F.lit(0)))
+    return files.withColumn("pct", F.round(F.lit(100.0) * F.col("bytes") / total, 2)).orderBy(F.col("bytes").desc(), "name")
+
+
+def stored_sizes(spark, path: str) -> DataFrame:
+    """(name, bytes) of the tables of a saved index, from the store's listing."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(path)
+    return files.groupBy(F.element_at(F.split("path", "/"), -2).alias("name")).agg(F.sum("length").alias("bytes"))
+
+
+def stats_by_resolution(rings: DataFrame, sizes: list[int]) -> DataFrame:
+    """``index_stats`` of the same rings compiled at several cell sizes: one row each."""
+    found = None
+    for size in sizes:
+        one = index_stats(ZoneIndex.compile(rings, size)).select(F.lit(size).cast("long").alias("cell"), "*")
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
 def polygon_stats(index: ZoneIndex) -> DataFrame:
     n = F.col("n_vertices")
     return index.polygons.agg(F.count(F.lit(1)).alias("polygons"), F.sum(n).cast("long").alias("vertices"), F.avg(n).alias("mean"), F.max(n).alias("most"), F.min(n).alias("least"), (2 * F.sum(n)).cast("long").alias("coordinates"))
@@ -103,6 +130,21 @@ def memory_stats(samples: DataFrame) -> DataFrame:
     return samples.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("least"), F.max("value").alias("most"), F.avg("value").alias("mean"), F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("deviation"), F.bool_and(F.col("value") > 0).alias("ok")).where("ok").drop("ok")
 
 
+def three_digits(value: Column) -> Column:
+    """A number with three significant digits, without an exponent (whole from 100 on)."""
+    size = F.abs(value)
+    return F.when(size >= 100, F.format_string("%.0f", value)).when(size >= 10, F.format_string("%.1f", value)).otherwise(F.format_string("%.2f", value))
+
+
+def _scaled(value: Column, steps: list[tuple[float, str]]) -> Column:
+    """The value in the first unit that it reaches; the last one is for whatever is smaller."""
+    out = None
+    for least, unit in steps:
+        text = F.concat(three_digits(value / least), F.lit(unit))
+        out = F.when(F.abs(value) >= least, text) if out is None else out.when(F.abs(value) >= least, text)
+    return out.otherwise(F.concat(three_digits(value / steps[-1][0]), F.lit(steps[-1][1])))
+
+
 def format_duration(seconds: Column) -> Column:
     """ns, us, ms or s with three digits."""
     steps = [(1e-6, 1e9, "ns"), (1e-3, 1e6, "us"), (1.0, 1e3, "ms")]
@@ -110,3 +152,29 @@ def format_duration(seconds: Column) -> Column:
     for limit, by, unit in reversed(steps):
         out = F.when(seconds < limit, F.format_string(f"%.3g {unit}", seconds * by)).otherwise(out)
     return out
+
+
+def format_rate(rate: Column) -> Column:
+    """Operations a second, in thousands or millions where there are so many."""
+    return _scaled(rate, [(1e6, "M/s"), (1e3, "k/s"), (1.0, "/s")])
+
+
+def format_bytes(n: Column) -> Column:
+    return _scaled(n, [(float(1 << 30), " GiB"), (float(1 << 20), " MiB"), (float(1 << 10), " KiB"), (1.0, " B")])
+
+
+def format_ratio(ratio: Column) -> Column:
+    return F.concat(three_digits(ratio), F.lit("x"))
+
+
+def percent_faster(before: Column, after: Column) -> Column:
+    """How much less time ``after`` takes, in percent of ``before``; negative where it takes more."""
+    return F.round((before - after) / before * 100, 1)
+
+
+def benchmark_parts(name: Column) -> Column:
+    """A benchmark's name, ``test_function[param-param]``, as a struct of its function and parameters."""
+    plain = F.regexp_replace(name, "^test_", "")
+    params = F.regexp_extract(plain, r"\[(.*)\]$", 1)
+    words = F.transform(F.when(params != "", F.split(params, "-")).otherwise(F.array().cast("array<string>")), lambda p: F.replace(p, F.lit("_"), F.lit(" ")))
+    return F.struct(F.regexp_replace(plain, r"\[.*\]$", "").alias("function"), words.alias("params"))

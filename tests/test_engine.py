@@ -159,16 +159,35 @@ def test_finder_keeps_columns(spark, tiled):
     assert Finder(tiled).timezone_at(df).first().asDict() == {"id": 1, "lng": 11.0, "lat": 11.0, "x": 110000000, "y": 110000000, "tz_id": 1, "tz_name": "Land/Host", "error": None}
 
 
-def test_csv_keeps_every_row(spark, tiled, tmp_path):
-    (tmp_path / "in.csv").write_text("name,lat,lng\nA,11,11\nB,100,200\nC,nan,nan\nD,,\nE\nF,x,y\n")
-    out = csvio.annotate_csv(spark, str(tmp_path / "in.csv"), tiled).collect()
-    assert [(r.name, r.tz_name) for r in sorted(out, key=lambda r: r.name)] == [("A", "Land/Host")] + [(n, None) for n in "BCDEF"]
-    assert csvio.looks_like_data(["a", "1.5"]) and not csvio.looks_like_data(["lat", "lng"])
-    assert csvio.delimiter("\\t") == "\t"
+def test_csv_keeps_every_row_whole_and_in_order(spark, tiled, tmp_path):
+    lines = ["name,lat,lng", "A,11,11", "B,100,200", "C,nan,nan", "D,,", "E", "F,x,y", 'G,"11","11",more,"and, more"', "H,inf,0"] + [f"P{i},{i % 80},{i % 170}" for i in range(200)]
+    (tmp_path / "in.csv").write_text("\n".join(lines) + "\n")
+    out = csvio.annotate_csv(spark, str(tmp_path / "in.csv"), tiled)
+    rows = out.orderBy("at").collect()
+    assert [r.line for r in rows] == lines[1:]
+    assert [(r.fields[0], r.tz_name) for r in rows[:8]] == [("A", "Land/Host")] + [(n, None) for n in "BCDEF"] + [("G", "Land/Host"), ("H", None)]
+    assert rows[6].fields[3:] == ["more", "and, more"] + [None] * (len(rows[6].fields) - 5)
+    csvio.write_csv(out, str(tmp_path / "out"))
+    back = spark.read.text(str(tmp_path / "out")).collect()
+    assert [r.value for r in back][:3] == ["A,11,11,Land/Host", "B,100,200,", "C,nan,nan,"] and len(back) == len(lines) - 1
+
+
+def test_csv_columns(spark, tiled, tmp_path):
+    cols = lambda first, named=True, width=None: csvio.Columns(",".join(first), tuple(first), named, width or len(first))
+    assert cols(["\ufeffLat", " LON ", "x"]).coordinates(lng=None, lat=None) == {"lng": 1, "lat": 0}
+    assert cols(["a", "b", "c"]).coordinates(lng="C", lat="1") == {"lng": 2, "lat": 0}
+    assert cols(["1.5", "2"], False).coordinates(lng="2", lat="1") == {"lng": 1, "lat": 0}
+    for bad in (lambda: cols(["1.5", "2"], False).coordinates(lng=None, lat=None), lambda: cols(["lat", "b"]).coordinates(lng="3", lat=None), lambda: cols(["lat", "b"]).coordinates(lng="lat", lat="lat"), lambda: cols(["lat", "b"]).coordinates(lng="z", lat=None), lambda: csvio.separator("ab"), lambda: csvio.separator("")):
+        with pytest.raises(ValueError):
+            bad()
+    assert csvio.separator("\\t") == "\t"
+    (tmp_path / "plain.tsv").write_text("11\t11\ta\n12.5\t13\n")
+    found = csvio.annotate_csv(spark, str(tmp_path / "plain.tsv"), tiled, sep="\\t", lng="1", lat="2").orderBy("at").collect()
+    assert [r.tz_name for r in found] == ["Land/Host", "Land/Enclave"]
     with pytest.raises(ValueError):
-        csvio.delimiter("ab")
-    with pytest.raises(ValueError):
-        csvio.column("9", csvio.LNG_NAMES, ["a"], 1, 0)
+        csvio.annotate_csv(spark, str(tmp_path / "plain.tsv"), tiled, sep="\t")
+    (tmp_path / "none.csv").write_text("")
+    assert csvio.annotate_csv(spark, str(tmp_path / "none.csv"), tiled).count() == 0
 
 
 def test_zone_names_round_trip(spark, tiled, tmp_path):
