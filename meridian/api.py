@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,18 +61,21 @@ def register(spark: SparkSession, index: ZoneIndex) -> None:
     _arrow(spark.range(0).select(F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y")), index, "full")
     sent = index.sent
     names = {r["zone_id"]: r["tz_name"] for r in index.zones.select("zone_id", "tz_name").collect()}
-    for mode in ("full", "certain", "unique", "light"):
 
+    def named(mode: str):
         @F.pandas_udf("string")
-        def zone(lng: pd.Series, lat: pd.Series, mode=mode) -> pd.Series:
-            ok = (lng.abs() <= 180) & (lat.abs() <= 90)
-            out = pd.Series([None] * len(lng), dtype=object)
+        def zone(lng: pd.Series, lat: pd.Series) -> pd.Series:
+            ok = ((lng.abs() <= 180) & (lat.abs() <= 90)).to_numpy(dtype=bool)
+            out = np.full(len(lng), None, dtype=object)
             if ok.any():
-                x, y = ((v[ok].to_numpy(float) * 10_000_000).astype("int64") for v in (lng, lat))
-                out[ok.to_numpy()] = [names.get(int(z)) for z in sent.value.locate(x, y, mode)]
-            return out
+                x, y = ((v[ok].to_numpy(float) * 10_000_000).astype(np.int64) for v in (lng, lat))
+                out[ok] = [names.get(int(z)) for z in sent.value.locate(x, y, mode)]
+            return pd.Series(out, dtype=object)
+
+        return zone
 
-        spark.udf.register("timezone_at" if mode == "full" else f"{mode}_timezone_at", zone)
+    for mode in ("full", "certain", "unique", "light"):
+        spark.udf.register("timezone_at" if mode == "full" else f"{mode}_timezone_at", named(mode))
 
 
 __all__ = ["certain_timezone_at", "finder", "get_geometry", "register", "timezone_at", "timezone_at_land", "unique_timezone_at", "use"]

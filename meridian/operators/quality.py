@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -122,14 +120,20 @@ def polygons_in_holes(index: ZoneIndex) -> DataFrame:
     return met.where("inside > 0").select("hole_id", "poly_id", F.lit(True).alias("any"), (F.col("inside") == F.col("vertices")).alias("whole"))
 
 
-def version_problem(versions: list[str]) -> str | None:
-    """Why a list of release tags isn't in order, each once and of the form year and letters; or None."""
-    for k, tag in enumerate(versions):
-        if not re.fullmatch(RELEASE_TAG, tag):
-            return f"{tag!r} is no release"
-        if k and (tag[:4], len(tag), tag) <= (versions[k - 1][:4], len(versions[k - 1]), versions[k - 1]):
-            return f"{tag} doesn't come after {versions[k - 1]}"
-    return None
+def unordered_releases(releases: DataFrame, order: str, tag: str = "tag") -> DataFrame:
+    """Rows of a list of release tags that don't come after the one before: by year, then by letters in base 26."""
+    place = F.struct(F.substring(tag, 1, 4), F.length(tag), F.col(tag))
+    before = F.lag(place).over(Window.orderBy(order))
+    return releases.where(F.col(tag).rlike(RELEASE_TAG)).withColumn("ok", place > before).where(~F.col("ok")).drop("ok")
+
+
+def overlapping_boxes(polygons: DataFrame) -> DataFrame:
+    """(a, b): pairs of polygons whose boxes share a point, brought together by the cells of a coarse grid."""
+    box = ["xmin", "xmax", "ymin", "ymax"]
+    cells = covered_cells(polygons.select("poly_id", *box), COARSE)
+    left = cells.select("cell_id", F.col("poly_id").alias("a"), *[F.col(c).alias(f"a_{c}") for c in box])
+    right = cells.select("cell_id", F.col("poly_id").alias("b"), *[F.col(c).alias(f"b_{c}") for c in box])
+    return left.join(right, "cell_id").where(boxes_overlap("a_", "b_")).where("a < b").select("a", "b").distinct()
 
 
 def provenance_problems(meta: dict, wanted: dict) -> list[str]:

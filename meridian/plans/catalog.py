@@ -5,17 +5,20 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import api
 from ..functions import geo
 from ..operators import quality, stats
 from ..operators.index import ZoneIndex, covered_cells
 from ..operators.lookup import geometry, lookup
-from ..operators.pip import contained
+from ..operators.pip import contained, in_any_hole
 from ..sources import csvio
-from ..sources.geojson import flatten
+from ..sources.geojson import flatten, read_geojson
+from ..sources.registry import read_registry, write_registry
 from ..streaming.lookup import lookup_stream
 from . import world
 
@@ -25,8 +28,11 @@ _kept: dict[tuple[str, str], ZoneIndex] = {}
 
 
 def shared_path(spark: SparkSession) -> str:
-    """A new folder that all executors share; local runs without one get a temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="meridian-")
+    """A new folder that all executors share; only runs on one machine may do without a setting, in a temporary folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("on a cluster, spark.checkpoint.dir must name a folder that all executors share")
+    base = base or "file://" + tempfile.mkdtemp(prefix="meridian-")
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -45,8 +51,8 @@ def index_of(spark: SparkSession, name: str = "tiled") -> ZoneIndex:
 
 
 def points(spark: SparkSession, sf_dir: str, table: str, key: str, *more: str) -> DataFrame:
-    lng, lat = geo.derived_point(F.col(key))
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet").select(F.col(key).alias("k"), lng.alias("lng"), lat.alias("lat"), *more)
+    lng, lat = geo.derived_point(F.expr(key))
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet").select(F.expr(key).alias("k"), lng.alias("lng"), lat.alias("lat"), *more)
 
 
 def with_bad(df: DataFrame) -> DataFrame:
@@ -82,6 +88,7 @@ def _world(zones=None) -> str:
             _values("holes", "hole_id, poly_id, n, xmin, xmax, ymin, ymax", t["holes"]),
             _values("edges", "poly_id, hole_id, xl, yl, xh, yh", t["edges"]),
             _values("outline", "poly_id, xmin, xmax, ymin, ymax", t["outline"]),
+            _values("verts", "poly_id, hole_id, i, x, y", t["verts"]),
         ]
     )
 
@@ -92,14 +99,17 @@ def _inside(pts: str, to: str) -> str:
     {to} AS (SELECT k, poly_id FROM {to}_h GROUP BY 1, 2 HAVING max(hole_id) = -1)"""
 
 
-_CELLS = f"""
+def _cells(cell: int = CELL) -> str:
+    """CTEs up to cells: the index at a cell size."""
+    right, top = 3_600_000_000 // cell - 1, 1_800_000_000 // cell - 1
+    return f"""
 cov AS (SELECT DISTINCT poly_id, cx, cy FROM outline,
-  LATERAL (SELECT unnest(range(least((xmin + 1800000000) // {CELL}, 35), least((xmax + 1800000000) // {CELL}, 35) + 1)) AS cx),
-  LATERAL (SELECT unnest(range(least((ymin + 900000000) // {CELL}, 17), least((ymax + 900000000) // {CELL}, 17) + 1)) AS cy)),
+  LATERAL (SELECT unnest(range(least((xmin + 1800000000) // {cell}, {right}), least((xmax + 1800000000) // {cell}, {right}) + 1)) AS cx),
+  LATERAL (SELECT unnest(range(least((ymin + 900000000) // {cell}, {top}), least((ymax + 900000000) // {cell}, {top}) + 1)) AS cy)),
 boxed AS (SELECT poly_id, cx, cy FROM polys,
-  LATERAL (SELECT unnest(range(least((xmin + 1800000000) // {CELL}, 35), least((xmax + 1800000000) // {CELL}, 35) + 1)) AS cx),
-  LATERAL (SELECT unnest(range(least((ymin + 900000000) // {CELL}, 17), least((ymax + 900000000) // {CELL}, 17) + 1)) AS cy)),
-mids AS (SELECT DISTINCT cx * 100000 + cy AS k, cx * {CELL} - 1800000000 + {CELL // 2} AS x, cy * {CELL} - 900000000 + {CELL // 2} AS y FROM boxed),
+  LATERAL (SELECT unnest(range(least((xmin + 1800000000) // {cell}, {right}), least((xmax + 1800000000) // {cell}, {right}) + 1)) AS cx),
+  LATERAL (SELECT unnest(range(least((ymin + 900000000) // {cell}, {top}), least((ymax + 900000000) // {cell}, {top}) + 1)) AS cy)),
+mids AS (SELECT DISTINCT cx * 100000 + cy AS k, cx * {cell} - 1800000000 + {cell // 2} AS x, cy * {cell} - 900000000 + {cell // 2} AS y FROM boxed),
 {_inside("mids", "mid_in")},
 cand AS (SELECT cx * 100000 + cy AS cell_id, poly_id FROM cov UNION
   SELECT b.cx * 100000 + b.cy, b.poly_id FROM boxed b JOIN mid_in m ON m.k = b.cx * 100000 + b.cy AND m.poly_id = b.poly_id),
@@ -108,6 +118,7 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY total, zon
 cells AS (SELECT cell_id, CASE WHEN min(zone_id) = max(zone_id) THEN min(zone_id) END AS unique_zone_id, arg_max(zone_id, pos) AS last_zone_id,
   CASE WHEN min(zone_id) <> max(zone_id) THEN count(*) ELSE 0 END AS n_cand FROM ranked GROUP BY cell_id)"""
 
+
 _CELL_OF = f"least((x + 1800000000) // {CELL}, 35) * 100000 + least((y + 900000000) // {CELL}, 17)"
 
 
@@ -118,7 +129,7 @@ def _at(table: str = "customer", key: str = "c_custkey", more: str = "", zones=N
 
 def _full(table: str = "customer", key: str = "c_custkey", more: str = "") -> str:
     """CTEs up to full_(k, tz_id, tz_name): as the index answers, the last candidate untested."""
-    return f"""WITH {_world()}, {_pts(table, key, more)}, {_inside('pts', 'in_p')}, {_CELLS},
+    return f"""WITH {_world()}, {_pts(table, key, more)}, {_inside('pts', 'in_p')}, {_cells()},
     hit AS (SELECT p.k, arg_min(r.zone_id, r.pos) AS z FROM pts p JOIN ranked r ON r.cell_id = {_CELL_OF} JOIN cells c ON c.cell_id = r.cell_id
       JOIN in_p i ON i.k = p.k AND i.poly_id = r.poly_id WHERE c.unique_zone_id IS NULL AND r.zone_id <> c.last_zone_id GROUP BY p.k),
     full_ AS (SELECT p.*, coalesce(c.unique_zone_id, hit.z, c.last_zone_id) AS zone_id FROM pts p LEFT JOIN cells c ON c.cell_id = {_CELL_OF} LEFT JOIN hit ON hit.k = p.k)"""
@@ -162,7 +173,7 @@ def _ways() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | N
         f"WITH {_world()}, {_pts()}, {_inside('pts', 'in_p')} SELECT k, CAST(poly_id AS INTEGER) AS poly_id FROM in_p_h WHERE hole_id = -1",
     )
     q["hole_hits"] = (
-        lambda s, d: (p := pairs(s, d)).join(contained(p, index_of(s).bands.where("hole_id <> -1").withColumn("hole_id", F.lit(-1)).select(*index_of(s).bands.columns)), ["x", "y", "poly_id"]).select("k", "poly_id"),
+        lambda s, d: (p := pairs(s, d)).join(in_any_hole(p, index_of(s).bands), ["x", "y", "poly_id"]).select("k", "poly_id"),
         f"WITH {_world()}, {_pts()}, {_inside('pts', 'in_p')} SELECT DISTINCT k, CAST(poly_id AS INTEGER) AS poly_id FROM in_p_h WHERE hole_id <> -1",
     )
     q["candidates_exploded"] = (lambda s, d: index_of(s).cells.select("cell_id", F.inline("candidates")).select("cell_id", "pos", "poly_id", "zone_id"), f"{_full()} SELECT r.cell_id, CAST(pos AS INTEGER) AS pos, CAST(poly_id AS INTEGER) AS poly_id, CAST(zone_id AS INTEGER) AS zone_id FROM ranked r JOIN cells c USING (cell_id) WHERE c.unique_zone_id IS NULL")
@@ -187,7 +198,11 @@ def _ways() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | N
         # A hole and a boundary are the same ring if they agree in bounds and in all upward edges.
         f"WITH {_world()}, he AS (SELECT hole_id, list(struct_pack(a := xl, b := yl, c := xh, d := yh) ORDER BY yl, xl, yh, xh) AS e FROM edges WHERE hole_id >= 0 GROUP BY 1), pe AS (SELECT poly_id, list(struct_pack(a := xl, b := yl, c := xh, d := yh) ORDER BY yl, xl, yh, xh) AS e FROM edges WHERE hole_id = -1 GROUP BY 1) SELECT CAST(h.hole_id AS INTEGER) AS hole_id, CAST(min(pe.poly_id) AS INTEGER) AS ref_poly_id FROM he h LEFT JOIN pe ON pe.e = h.e GROUP BY 1",
     )
-    q["ring_keys"] = (lambda s, d: _rings(s).select(geo.ring_key(F.col("xs"), F.col("ys")).alias("ring")).groupBy("ring").agg(F.count(F.lit(1)).alias("n")).groupBy("n").agg(F.count(F.lit(1)).alias("rings")), None)
+    ring = "list(struct_pack(a := xl, b := yl, c := xh, d := yh) ORDER BY yl, xl, yh, xh)"
+    q["ring_keys"] = (
+        lambda s, d: _rings(s).select(geo.ring_key(F.col("xs"), F.col("ys")).alias("ring")).groupBy("ring").agg(F.count(F.lit(1)).alias("n")).groupBy("n").agg(F.count(F.lit(1)).alias("rings")),
+        f"WITH {_world()}, r AS (SELECT poly_id, hole_id, {ring} AS e FROM edges GROUP BY 1, 2) SELECT n, count(*) AS rings FROM (SELECT count(*) AS n FROM r GROUP BY e) GROUP BY n",
+    )
     q["polygon_stats"] = (lambda s, d: stats.polygon_stats(index_of(s)), f"WITH {_world()} SELECT count(*) AS polygons, CAST(sum(n) AS BIGINT) AS vertices, avg(n) AS mean, CAST(max(n) AS INTEGER) AS most, CAST(min(n) AS INTEGER) AS least, CAST(2 * sum(n) AS BIGINT) AS coordinates FROM polys")
     q["hole_metrics"] = (lambda s, d: stats.hole_metrics(index_of(s)).select("holes", "parents"), f"WITH {_world()} SELECT count(*) AS holes, count(DISTINCT poly_id) AS parents FROM holes")
     per = f"WITH {_world()}, per AS (SELECT zone_id, count(*) AS n FROM polys GROUP BY 1)"
@@ -214,9 +229,31 @@ def _ways() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | N
     )
     q["coverage_gaps"] = (lambda s, d: lookup(cust(s, d), index_of(s, "gappy"), "certain").where("tz_id is null").select("k"), f"{_at(zones=world.gappy())} SELECT k FROM pts ANTI JOIN tz USING (k)")
     q["overlap_first"] = (lambda s, d: lookup(cust(s, d), index_of(s, "overlapping"), "certain").where("tz_id is not null").select("k", "tz_name"), f"{_at(zones=world.overlapping())} SELECT k, max(tz_name) AS tz_name FROM tz GROUP BY k")
-    q["unused_polygons"] = (lambda s, d: quality.unused_polygons(index_of(s)), "SELECT CAST(0 AS INTEGER) AS poly_id, CAST(0 AS INTEGER) AS zone_id WHERE false")
-    q["index_completeness"] = (lambda s, d: quality.uncovered_vertices(index_of(s)), "SELECT CAST(0 AS INTEGER) AS poly_id, CAST(0 AS BIGINT) AS cell_id WHERE false")
-    q["candidate_order"] = (lambda s, d: quality.incoherent_candidates(index_of(s)), "SELECT CAST(0 AS BIGINT) AS cell_id, CAST(0 AS BIGINT) AS runs, CAST(0 AS BIGINT) AS zones WHERE false")
+    # The checks meet an index with planted faults: cells taken out, a polygon that no cell lists, candidates dealt anew.
+    gone = (1_800_000 + 10, 2_000_000 + 11)
+    q["index_completeness"] = (
+        lambda s, d: quality.uncovered_vertices(_changed(s, cells=lambda c: c.where(~F.col("cell_id").isin(*gone)))),
+        f"""WITH {_world()}, {_cells()}, left_ AS (SELECT * FROM cells WHERE cell_id NOT IN {gone}), v AS (SELECT DISTINCT poly_id, zone_id, {_CELL_OF} AS cell_id FROM verts JOIN polys USING (poly_id) WHERE hole_id = -1)
+        SELECT CAST(v.poly_id AS INTEGER) AS poly_id, v.cell_id FROM v LEFT JOIN left_ c USING (cell_id) WHERE c.cell_id IS NULL OR (c.unique_zone_id IS DISTINCT FROM v.zone_id AND NOT EXISTS (SELECT 1 FROM ranked r WHERE r.cell_id = v.cell_id AND r.poly_id = v.poly_id))""",
+    )
+    extra = ("SELECT poly_id, 999 AS zone_id FROM polys WHERE poly_id = 0", 900)
+    q["unused_polygons"] = (
+        lambda s, d: quality.unused_polygons(_changed(s, polygons=lambda p: p.unionByName(p.where("poly_id = 0").withColumns({"poly_id": F.lit(extra[1]), "zone_id": F.lit(999)})))),
+        f"""WITH {_world()}, {_cells()}, all_ AS (SELECT poly_id, zone_id FROM polys UNION ALL SELECT poly_id + {extra[1]}, zone_id FROM ({extra[0]}))
+        SELECT CAST(poly_id AS INTEGER) AS poly_id, CAST(zone_id AS INTEGER) AS zone_id FROM all_ WHERE poly_id NOT IN (SELECT r.poly_id FROM ranked r JOIN cells c USING (cell_id) WHERE c.unique_zone_id IS NULL) AND zone_id NOT IN (SELECT unique_zone_id FROM cells WHERE unique_zone_id IS NOT NULL)""",
+    )
+    dealt = lambda c: c.withColumn("candidates", F.transform(F.sort_array(F.transform("candidates", lambda x: F.struct((x["poly_id"] % 2).alias("odd"), x["pos"].alias("was"), x.alias("x")))), lambda x, k: x["x"].withField("pos", k)))
+    q["candidate_order"] = (
+        lambda s, d: quality.incoherent_candidates(_changed(s, cells=dealt)),
+        f"""WITH {_world()}, {_cells()}, d AS (SELECT r.cell_id, r.zone_id, row_number() OVER (PARTITION BY r.cell_id ORDER BY r.poly_id % 2, r.pos) AS pos FROM ranked r JOIN cells c USING (cell_id) WHERE c.unique_zone_id IS NULL),
+        n AS (SELECT *, CASE WHEN lag(zone_id) OVER (PARTITION BY cell_id ORDER BY pos) = zone_id THEN 0 ELSE 1 END AS new_ FROM d)
+        SELECT cell_id, CAST(sum(new_) AS BIGINT) AS runs, count(DISTINCT zone_id) AS zones FROM n GROUP BY 1 HAVING sum(new_) <> count(DISTINCT zone_id)""",
+    )
+    q["bad_entries"] = (
+        lambda s, d: quality.bad_entries(_changed(s, cells=lambda c: dealt(c).withColumn("candidates", F.transform("candidates", lambda x: x.withField("pos", F.when(F.col("cell_id") >= 2_500_000, x["pos"] + 1).otherwise(x["pos"])))).unionByName(c.where("unique_zone_id = 8")))),
+        f"""WITH {_world()}, {_cells()}, doubled AS (SELECT cell_id, 'listed twice' AS problem FROM cells, range(2) WHERE unique_zone_id = 8)
+        SELECT cell_id, 'out of order' AS problem FROM cells WHERE unique_zone_id IS NULL AND cell_id >= 2500000 UNION ALL SELECT * FROM doubled""",
+    )
     q["zone_id_monotone"] = (lambda s, d: quality.unordered_zone_ids(index_of(s).polygons), f"WITH {_world()} SELECT CAST(poly_id AS INTEGER) AS poly_id, CAST(zone_id AS INTEGER) AS zone_id, CAST(before AS INTEGER) AS before FROM (SELECT *, lag(zone_id) OVER (ORDER BY poly_id) AS before FROM polys) WHERE before > zone_id")
     q["hole_parent_orphans"] = (lambda s, d: quality.orphan_holes(index_of(s).holes, index_of(s).polygons.where("poly_id % 3 <> 0")), f"WITH {_world()} SELECT CAST(hole_id AS INTEGER) AS hole_id, CAST(poly_id AS INTEGER) AS poly_id FROM holes WHERE poly_id % 3 = 0")
     q["bad_rings"] = (lambda s, d: quality.bad_rings(_rings(s).withColumn("xs", F.when(F.col("poly_id") == 3, F.slice("xs", 1, 2)).otherwise(F.col("xs")))).select("poly_id", "problem").distinct(), "SELECT CAST(3 AS INTEGER) AS poly_id, 'axes differ' AS problem")
@@ -241,8 +278,14 @@ def _ways() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | N
         "WITH r AS (SELECT l_orderkey, l_suppkey % 2 AS v, row_number() OVER w - 1 AS i, lag(l_suppkey % 2) OVER w AS p FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)) SELECT l_orderkey, CAST(coalesce(max(i) FILTER (v <> p), 0) AS INTEGER) AS at FROM r GROUP BY 1",
     )
     q["bbox_cells"] = (lambda s, d: covered_cells(index_of(s).polygons, CELL).groupBy("poly_id").agg(F.count(F.lit(1)).alias("cells")), f"WITH {_world()} SELECT CAST(poly_id AS INTEGER) AS poly_id, (least((xmax + 1800000000) // {CELL}, 35) - least((xmin + 1800000000) // {CELL}, 35) + 1) * (least((ymax + 900000000) // {CELL}, 17) - least((ymin + 900000000) // {CELL}, 17) + 1) AS cells FROM polys")
-    q["geometry_pairs"] = (lambda s, d: geometry(index_of(s), "Land/Host").select("poly_id", F.size("rings").alias("rings"), F.size(F.flatten("rings")).alias("vertices"), F.col("rings")[0][0]["lng"].alias("lng")), "SELECT * FROM (VALUES (1::INTEGER, 2::INTEGER, 8::INTEGER, 10.0::DOUBLE), (2, 1, 4, 14.0)) t(poly_id, rings, vertices, lng)")
-    q["geometry_lists"] = (lambda s, d: geometry(index_of(s), "Land/Islands", pairs=False).select("poly_id", F.size("rings").alias("rings"), F.col("rings")[0]["lngs"][0].alias("lng"), F.col("rings")[0]["lats"][0].alias("lat")), None)
+    shape = lambda zone, more: f"WITH {_world()} SELECT CAST(v.poly_id AS INTEGER) AS poly_id, CAST(count(DISTINCT v.hole_id) AS INTEGER) AS rings, {more} FROM verts v JOIN polys USING (poly_id) JOIN zones USING (zone_id) WHERE tz_name = '{zone}' GROUP BY 1"
+    at_first = "CAST(min(v.{a}) FILTER (v.hole_id = -1 AND v.i = 0) AS DOUBLE) * 1e-7::DOUBLE AS {n}"
+    q["geometry_pairs"] = (lambda s, d: geometry(index_of(s), "Land/Host").select("poly_id", F.size("rings").alias("rings"), F.size(F.flatten("rings")).alias("vertices"), F.col("rings")[0][0]["lng"].alias("lng")), shape("Land/Host", f"CAST(count(*) AS INTEGER) AS vertices, {at_first.format(a='x', n='lng')}"))
+    q["geometry_lists"] = (lambda s, d: geometry(index_of(s), "Land/Islands", pairs=False).select("poly_id", F.size("rings").alias("rings"), F.col("rings")[0]["lngs"][0].alias("lng"), F.col("rings")[0]["lats"][0].alias("lat")), shape("Land/Islands", f"{at_first.format(a='x', n='lng')}, {at_first.format(a='y', n='lat')}"))
+    q["geometry_vertices"] = (
+        lambda s, d: geometry(index_of(s), "Land/Host").select("poly_id", F.posexplode("rings").alias("ring", "pts")).select("poly_id", "ring", F.posexplode("pts").alias("i", "p")).select("poly_id", F.col("ring") > 0, F.col("p.lng"), F.col("p.lat")).toDF("poly_id", "hole", "lng", "lat"),
+        f"WITH {_world()} SELECT CAST(v.poly_id AS INTEGER) AS poly_id, v.hole_id >= 0 AS hole, CAST(v.x AS DOUBLE) * 1e-7::DOUBLE AS lng, CAST(v.y AS DOUBLE) * 1e-7::DOUBLE AS lat FROM verts v JOIN polys USING (poly_id) JOIN zones USING (zone_id) WHERE tz_name = 'Land/Host'",
+    )
     # Whole cents, so that sums don't depend on their order.
     q["revenue_per_tz"] = (
         lambda s, d: lookup(points(s, d, "orders", "o_orderkey", "o_totalprice"), index_of(s)).groupBy("tz_name").agg(F.sum(F.floor(F.col("o_totalprice") * 100)).alias("cents")),
@@ -252,11 +295,114 @@ def _ways() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | N
         lambda s, d: quality.dedup_ratio(index_of(s).holes),
         f"SELECT count(*) AS holes, avg(CASE WHEN ref_poly_id IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END) AS ratio FROM ({q['hole_refs'][1]})",
     )
-    q["csv_annotate"] = (_csv, None)
+    q["csv_annotate"] = (
+        _csv,
+        f"{_full('supplier', 's_suppkey')} SELECT k, CASE WHEN k % 97 <> 0 AND k % 101 <> 0 THEN tz_name END AS tz_name, CASE WHEN k % 101 = 0 THEN 'missing coordinate' WHEN k % 97 = 0 THEN 'longitude out of range' END AS error FROM full_ LEFT JOIN zones USING (zone_id)",
+    )
+    _more(q, cust)
     q["stream_lookup"] = (_stream, f"{_full()} SELECT k, tz_name FROM full_ LEFT JOIN zones USING (zone_id)")
     return q
 
 
+def _changed(spark: SparkSession, **changes) -> ZoneIndex:
+    """The tiled index with some of its tables changed."""
+    index = index_of(spark)
+    return replace(index, sent=None, **{name: change(getattr(index, name)) for name, change in changes.items()})
+
+
+def _more(q: dict, cust: Callable) -> None:
+    """Queries of boxes, cells, shares, formats, and of the ways to ask."""
+    named = f"{_full()} SELECT k, tz_name FROM full_ LEFT JOIN zones USING (zone_id)"
+    q["timezone_at_relational"] = (lambda s, d: _flag(lookup(cust(s, d), index_of(s), strategy="relational")), named)
+    q["certain_at_relational"] = (lambda s, d: _flag(lookup(cust(s, d), index_of(s), "certain", "relational")), f"{_at()} SELECT p.k, tz.tz_name FROM pts p LEFT JOIN tz USING (k)")
+
+    def by_module(s: SparkSession, d: str) -> DataFrame:
+        api.use(index_of(s), s)
+        return _flag(api.timezone_at(cust(s, d)))
+
+    def by_sql(s: SparkSession, d: str) -> DataFrame:
+        api.register(s, index_of(s))
+        return cust(s, d).selectExpr("k", "timezone_at(lng, lat) AS tz_name")
+
+    q["module_timezone_at"], q["sql_timezone_at"] = (by_module, named), (by_sql, named)
+    q["counts"] = (lambda s, d: quality.counts(index_of(s)), f"WITH {_world()}, {_cells()} SELECT (SELECT count(*) FROM zones) AS zones, (SELECT count(*) FROM polys) AS polygons, (SELECT count(*) FROM holes) AS holes, (SELECT count(*) FROM cells) AS cells, '2026c' AS data_version, {CELL}::BIGINT AS cell")
+    q["count_mismatch"] = (
+        lambda s, d: quality.count_mismatch(_changed(s, zones=lambda z: z.unionByName(z.withColumn("zone_id", F.col("zone_id") + 100)))),
+        f"WITH {_world()}, n AS (SELECT 2 * (SELECT count(*) FROM zones) AS zones, count(*) AS polygons, count(DISTINCT zone_id) AS used FROM polys) SELECT * FROM n WHERE polygons < zones OR used <> zones",
+    )
+    q["box_overlaps"] = (lambda s, d: quality.overlapping_boxes(index_of(s).polygons), f"WITH {_world()} SELECT CAST(a.poly_id AS INTEGER) AS a, CAST(b.poly_id AS INTEGER) AS b FROM polys a JOIN polys b ON a.poly_id < b.poly_id AND a.xmin <= b.xmax AND b.xmin <= a.xmax AND a.ymin <= b.ymax AND b.ymin <= a.ymax")
+    q["polygons_in_holes"] = (
+        lambda s, d: quality.polygons_in_holes(index_of(s)),
+        f"""WITH {_world()}, in_ AS (SELECT v.poly_id, v.i, e.hole_id FROM verts v JOIN edges e ON e.hole_id >= 0 AND e.poly_id <> v.poly_id AND v.y > e.yl AND v.y <= e.yh AND (e.xh - e.xl) * (v.y - e.yl) >= (v.x - e.xl) * (e.yh - e.yl)
+        WHERE v.hole_id = -1 GROUP BY 1, 2, 3 HAVING count(*) % 2 = 1) SELECT CAST(hole_id AS INTEGER) AS hole_id, CAST(poly_id AS INTEGER) AS poly_id, true AS "any", count(*) = max(n) AS whole FROM in_ JOIN polys USING (poly_id) GROUP BY 1, 2""",
+    )
+
+    def globe(s: SparkSession, d: str) -> DataFrame:
+        x, y = F.col("x"), F.col("y")
+        box = geo.globe_box(F.array(x, -x, x + 1), F.array(y, F.least(y + 10_000_000, F.lit(900_000_000))), y > 850_000_000, y < -850_000_000)
+        return scaled(s, d).select("k", box.alias("b")).select("k", "b.*")
+
+    every = "abs(2 * x) + (CASE WHEN x > 0 THEN 1 ELSE 0 END) > 1800000000 OR abs(y) > 850000000"
+    q["globe_boxes"] = (
+        globe,
+        f"""WITH {_pts()} SELECT k, CASE WHEN {every} THEN -1800000000 ELSE least(x, -x) END AS xmin, CASE WHEN {every} THEN 1800000000 ELSE greatest(x + 1, -x) END AS xmax,
+        CASE WHEN y < -850000000 THEN -900000000 ELSE y END AS ymin, CASE WHEN y > 850000000 THEN 900000000 ELSE least(y + 10000000, 900000000) END AS ymax, abs(2 * x) + (CASE WHEN x > 0 THEN 1 ELSE 0 END) > 1800000000 AS wraps FROM pts""",
+    )
+    cells = lambda s, d: scaled(s, d).select(geo.cell_of(F.col("x"), F.col("y"), CELL).alias("cell_id")).distinct()
+    q["cell_children"] = (
+        lambda s, d: cells(s, d).select("cell_id", F.explode(geo.cell_children(F.col("cell_id"), CELL, 4)).alias("child")),
+        f"WITH {_pts()}, c AS (SELECT DISTINCT {_CELL_OF} AS cell_id FROM pts) SELECT cell_id, ((cell_id // 100000) * 4 + i) * 100000 + (cell_id % 100000) * 4 + j AS child FROM c, range(4) a(i), range(4) b(j)",
+    )
+    q["cell_boxes"] = (
+        lambda s, d: cells(s, d).select("cell_id", geo.cell_box(F.col("cell_id"), CELL).alias("b")).select("cell_id", "b.*"),
+        f"WITH {_pts()}, c AS (SELECT DISTINCT {_CELL_OF} AS cell_id FROM pts) SELECT cell_id, (cell_id // 100000) * {CELL} - 1800000000 AS xmin, (cell_id // 100000 + 1) * {CELL} - 1800000000 AS xmax, (cell_id % 100000) * {CELL} - 900000000 AS ymin, (cell_id % 100000 + 1) * {CELL} - 900000000 AS ymax FROM c",
+    )
+    pct = lambda n: f"round(100.0::DOUBLE * {n} / total, 2) AS {n}_pct"
+    q["candidates_shares"] = (
+        lambda s, d: stats.with_shares(stats.frequencies(index_of(s).cells, F.coalesce(F.size("candidates"), F.lit(0)))).select("value", "pct", "upto_pct", "rest_pct"),
+        f"{_full()}, f AS (SELECT n_cand AS value, count(*) AS n, CAST(sum(count(*)) OVER () AS BIGINT) AS total, CAST(sum(count(*)) OVER (ORDER BY n_cand) AS BIGINT) AS upto FROM cells GROUP BY 1), g AS (SELECT *, total - upto AS rest FROM f) SELECT CAST(value AS INTEGER) AS value, round(100.0::DOUBLE * n / total, 2) AS pct, {pct('upto')}, {pct('rest')} FROM g",
+    )
+    q["size_shares"] = (
+        lambda s, d: stats.size_shares(index_of(s).polygons.join(index_of(s).zones, "zone_id").groupBy(F.col("tz_name").alias("name")).agg(F.sum(F.col("n_vertices") * 8).alias("bytes"))),
+        f"WITH {_world()}, f AS (SELECT tz_name AS name, CAST(sum(n * 8) AS BIGINT) AS bytes FROM polys JOIN zones USING (zone_id) GROUP BY 1) SELECT name, bytes, round(100.0::DOUBLE * bytes / sum(bytes) OVER (), 2) AS pct FROM f",
+    )
+    one = "SELECT {cell}::BIGINT AS cell, count(*) AS cells, count(unique_zone_id) AS unique_cells, count(*) - count(unique_zone_id) AS ambiguous_cells, CAST(sum(n_cand) AS BIGINT) AS candidates, CAST(max(n_cand) AS INTEGER) AS max_candidates, CAST(sum(CASE WHEN unique_zone_id IS NULL THEN 8 + 2 * n_cand ELSE 9 END) AS BIGINT) AS est_bytes FROM cells"
+    sizes = [CELL, 2 * CELL]
+    q["stats_by_resolution"] = (lambda s, d: stats.stats_by_resolution(_rings(s), sizes), " UNION ALL ".join(f"SELECT * FROM (WITH {_world()}, {_cells(c)} {one.format(cell=c)})" for c in sizes))
+    digits = lambda v: f"CASE WHEN {v} >= 100 THEN printf('%.0f', {v}) WHEN {v} >= 10 THEN printf('%.1f', {v}) ELSE printf('%.2f', {v}) END"
+    r, n = "((c_custkey + 1) * (c_custkey + 1) * 1.2345678912::DOUBLE)", "((c_custkey + 1) * 7654321.123456::DOUBLE)"
+    key = lambda: F.col("c_custkey") + 1
+    q["formats"] = (
+        lambda s, d: s.read.parquet(f"{d}/customer.parquet").select("c_custkey", stats.format_rate(key() * key() * 1.2345678912).alias("rate"), stats.format_bytes(key() * 7654321.123456).alias("bytes"), stats.format_ratio(key() / 7.123456789).alias("ratio")),
+        f"""SELECT c_custkey, CASE WHEN {r} >= 1e6 THEN {digits(f'({r} / 1e6)')} || 'M/s' WHEN {r} >= 1e3 THEN {digits(f'({r} / 1e3)')} || 'k/s' ELSE {digits(r)} || '/s' END AS rate,
+        CASE WHEN {n} >= 1073741824 THEN {digits(f'({n} / 1073741824)')} || ' GiB' WHEN {n} >= 1048576 THEN {digits(f'({n} / 1048576)')} || ' MiB' ELSE {digits(f'({n} / 1024)')} || ' KiB' END AS bytes, {digits('((c_custkey + 1) / 7.123456789::DOUBLE)')} || 'x' AS ratio FROM customer""",
+    )
+    name = "concat('test_', lower(c_mktsegment), CASE WHEN c_custkey % 2 = 0 THEN concat('[n_', c_nationkey % 5, '-in_memory]') ELSE '' END)"
+    q["benchmark_names"] = (
+        lambda s, d: s.read.parquet(f"{d}/customer.parquet").select(stats.benchmark_parts(F.expr(name)).alias("b")).groupBy(F.col("b.function").alias("function"), F.array_join("b.params", ", ").alias("params")).agg(F.count(F.lit(1)).alias("n")),
+        "SELECT lower(c_mktsegment) AS function, CASE WHEN c_custkey % 2 = 0 THEN 'n ' || (c_nationkey % 5) || ', in memory' ELSE '' END AS params, count(*) AS n FROM customer GROUP BY 1, 2",
+    )
+    tag = "concat(2000 + c_custkey % 30, chr(97 + c_custkey % 26))"
+    q["release_order"] = (
+        lambda s, d: quality.unordered_releases(s.read.parquet(f"{d}/customer.parquet").select("c_custkey", F.expr(tag).alias("tag")), "c_custkey"),
+        "WITH t AS (SELECT c_custkey, (2000 + c_custkey % 30) || chr(CAST(97 + c_custkey % 26 AS INTEGER)) AS tag FROM customer) SELECT c_custkey, tag FROM (SELECT *, lag(tag) OVER (ORDER BY c_custkey) AS before FROM t) WHERE tag <= before",
+    )
+
+    def registry(s: SparkSession, d: str) -> DataFrame:
+        path = shared_path(s)
+        write_registry(index_of(s).holes, path)
+        return read_registry(s, path)
+
+    q["hole_registry_json"] = (registry, f"WITH {_world()} SELECT CAST(poly_id AS INTEGER) AS poly_id, count(*) AS n, CAST(min(hole_id) AS INTEGER) AS first FROM holes GROUP BY 1")
+
+    def from_file(s: SparkSession, d: str) -> DataFrame:
+        path = shared_path(s)
+        s.createDataFrame([(world.geojson(world.tiled()),)], "value string").coalesce(1).write.text(path)
+        return read_geojson(s, path).groupBy("tz_name").agg(F.count(F.lit(1)).alias("rings"), F.sum(F.size("xs")).cast("long").alias("vertices"))
+
+    q["geojson_file"] = (from_file, f"WITH {_world()} SELECT tz_name, count(DISTINCT (v.poly_id, v.hole_id)) AS rings, count(*) AS vertices FROM verts v JOIN polys USING (poly_id) JOIN zones USING (zone_id) GROUP BY 1")
+
+
 def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of points and polygons whose box holds the point, met by grid cell."""
     index = index_of(spark)
@@ -268,7 +414,8 @@ def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark)
     with_bad(points(spark, sf_dir, "supplier", "s_suppkey")).select(F.col("k").alias("name"), F.col("lat"), F.col("lng")).write.option("header", True).csv(path)
-    return csvio.annotate_csv(spark, path, index_of(spark), header=True)
+    found = csvio.annotate_csv(spark, path, index_of(spark), header=True)
+    return found.select(F.col("fields")[0].cast("long").alias("k"), "tz_name", "error")
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -74,7 +74,7 @@ def geojson(zones: list[tuple[str, list[list[list[tuple[int, int]]]]]]) -> str:
 
 def tables(zones) -> dict[str, list[tuple]]:
     """Rows of zones, polys, holes and edges, for oracle SQL and brute force."""
-    out: dict[str, list[tuple]] = {"zones": [], "polys": [], "holes": [], "edges": [], "outline": []}
+    out: dict[str, list[tuple]] = {"zones": [], "polys": [], "holes": [], "edges": [], "outline": [], "verts": []}
     poly = hole = 0
     for z, (name, polys) in enumerate(zones):
         out["zones"].append((z, name))
@@ -83,6 +83,7 @@ def tables(zones) -> dict[str, list[tuple]]:
                 xs, ys = [p[0] for p in ring], [p[1] for p in ring]
                 bounds = (len(ring), min(xs), max(xs), min(ys), max(ys))
                 out["polys" if k == 0 else "holes"].append((poly, z, *bounds) if k == 0 else (hole, poly, *bounds))
+                out["verts"] += [(poly, hole if k else -1, i, x, y) for i, (x, y) in enumerate(ring)]
                 for (x1, y1), (x2, y2) in zip([ring[-1], *ring[:-1]], ring, strict=True):
                     (yl, xl), (yh, xh) = sorted([(y1, x1), (y2, x2)])
                     out["outline"].append((poly, min(x1, x2), max(x1, x2), yl, yh))

@@ -1,18 +1,22 @@
 """The timezone engine against closed forms, fixed vectors and brute force."""
 
+import json
 import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from meridian import __main__ as command
+from meridian import api
 from meridian.functions import geo
+from meridian.operators import lookup as lookups
 from meridian.operators import quality, stats
 from meridian.operators.index import ZoneIndex
 from meridian.operators.lookup import MODES, Finder, geometry, lookup
-from meridian.operators.pip import crossed
+from meridian.operators.pip import contained, crossed, in_any_hole
 from meridian.plans import catalog, world
-from meridian.sources import csvio, names
+from meridian.sources import csvio, names, registry
 from meridian.sources.geojson import flatten
 from meridian.streaming.lookup import local_hours
 
@@ -211,6 +215,122 @@ def test_local_hours_of_a_table(spark, tiled):
     assert local_hours(df, tiled, "ts").first().local_hour == 6
 
 
+def test_overlapping_holes_both_count(spark):
+    shape = [("Land/Two", [[world.box(0, 0, 20, 20), world.box(2, 2, 10, 10), world.box(6, 6, 14, 14)]])]
+    index = ZoneIndex.compile(catalog.rings_of(spark, shape), catalog.CELL)
+    pairs = spark.createDataFrame([(x * 10_000_000, y * 10_000_000, 0) for x, y in ((1, 1), (5, 5), (8, 8), (12, 12), (19, 3))], "x long, y long, poly_id int")
+    assert sorted(r.x // 10_000_000 for r in in_any_hole(pairs, index.bands).collect()) == [5, 8, 12]
+    assert sorted(r.x // 10_000_000 for r in contained(pairs, index.bands).collect()) == [1, 19]
+    points = spark.createDataFrame([(float(x), float(y)) for x, y in ((1, 1), (5, 5), (8, 8), (12, 12), (19, 3))], "lng double, lat double")
+    assert [r.tz_name for r in lookup(points, index, "certain", "arrow").orderBy("lng").collect()] == ["Land/Two", None, None, None, "Land/Two"]
+
+
+def test_flat_rings_against_each_edge():
+    rng = random.Random(2)
+    for _ in range(30):
+        ring = [(rng.randrange(-60_000_000, 60_000_000), rng.randrange(-60_000_000, 60_000_000)) for _ in range(rng.randrange(3, 12))]
+        edges = edges_of(ring)
+        x, y = (np.array([rng.randrange(-70_000_000, 70_000_000) for _ in range(200)] + [p[k] for p in ring]) for k in (0, 1))
+        want = [sum(yl < b <= yh and (xh - xl) * (b - yl) >= (a - xl) * (yh - yl) for xl, yl, xh, yh in edges.tolist()) % 2 == 1 for a, b in zip(x.tolist(), y.tolist())]
+        assert crossed(x, y, edges).tolist() == want
+
+
+def test_too_large_an_index_is_not_broadcast(spark, monkeypatch):
+    index = ZoneIndex.compile(catalog.rings_of(spark, world.overlapping()), catalog.CELL)
+    monkeypatch.setattr(lookups, "BROADCAST_BYTES", 10)
+    with pytest.raises(ValueError):
+        lookup(pts(spark), index, strategy="arrow")
+    assert lookup(pts(spark, 50), index).count() == 54 and index.sent is None
+
+
+@pytest.mark.parametrize("xs, ys, north, south, want", [([5, 9], [1, 4], False, False, (5, 9, 1, 4, False)), ([-geo.X_MAX + 5, geo.X_MAX - 9], [1, 4], False, False, (-geo.X_MAX, geo.X_MAX, 1, 4, True)), ([5, 9], [1, 4], True, False, (-geo.X_MAX, geo.X_MAX, 1, geo.Y_MAX, False)), ([5, 9], [1, 4], False, True, (-geo.X_MAX, geo.X_MAX, -geo.Y_MAX, 4, False)), ([5, 9], [0, geo.Y_MAX], False, False, None)])
+def test_boxes_on_the_globe(spark, xs, ys, north, south, want):
+    df = spark.createDataFrame([(xs, ys, north, south)], "xs array<long>, ys array<long>, n boolean, s boolean")
+    got = df.select(geo.globe_box(F.col("xs"), F.col("ys"), F.col("n"), F.col("s"))).first()[0]
+    assert (got and tuple(got)) == want
+
+
+def test_cells_and_random_points(spark):
+    assert geo.cell_count(catalog.CELL) == 648
+    with pytest.raises(ValueError):
+        geo.cell_children(F.lit(0), 100, 3)
+    lng, lat = geo.random_point(5)
+    got = spark.range(4000).select(lng.alias("lng"), lat.alias("lat")).agg(F.min("lng"), F.max("lng"), F.min("lat"), F.max("lat"), F.avg((F.abs("lat") < 30).cast("int"))).first()
+    assert -180 <= got[0] < -178 and 178 < got[1] <= 180 and -90 <= got[2] and got[3] <= 90 and abs(got[4] - 0.5) < 0.03
+    flat = geo.random_point(5, by_area=False)[1]
+    assert abs(spark.range(4000).select(flat.alias("lat")).agg(F.avg((F.abs("lat") < 30).cast("int"))).first()[0] - 1 / 3) < 0.03
+
+
+def test_formats_and_names(spark):
+    show = lambda f, *values: [r[0] for r in spark.createDataFrame([(float(v),) for v in values], "v double").select(f(F.col("v"))).collect()]
+    assert show(stats.format_rate, 3573050, 54800, 12.34) == ["3.57M/s", "54.8k/s", "12.3/s"]
+    assert show(stats.format_bytes, 12, 2048, 5 << 20, 0) == ["12.0 B", "2.00 KiB", "5.00 MiB", "0.00 B"]
+    assert show(stats.format_ratio, 2) == ["2.00x"]
+    assert spark.range(1).select(stats.percent_faster(F.lit(4.0), F.lit(3.0))).first()[0] == 25.0
+    got = spark.createDataFrame([("test_at[ambiguous_cell-in_memory]",), ("test_plain",)], "n string").select(stats.benchmark_parts(F.col("n")).alias("b")).collect()
+    assert [tuple(r.b) for r in got] == [("at", ["ambiguous cell", "in memory"]), ("plain", [])]
+
+
+def test_registry_and_vectors(spark, tiled, tmp_path):
+    registry.write_registry(tiled.holes, str(tmp_path / "r"))
+    text = spark.read.text(str(tmp_path / "r")).first()[0]
+    assert list(json.loads(text)) == sorted(json.loads(text))
+    assert {tuple(r) for r in registry.read_registry(spark, str(tmp_path / "r")).collect()} == {tuple(r) for r in registry.registry_of(tiled.holes).collect()}
+    np.save(tmp_path / "zone_ids.npy", np.array([0, 0, 3, 1], dtype=np.uint16))
+    rows = registry.read_vectors(spark, str(tmp_path / "*.npy")).orderBy("place").collect()
+    assert [r.value for r in rows] == [0, 0, 3, 1] and rows[0].file.endswith("zone_ids.npy")
+
+
+def test_stored_sizes(spark, tmp_path):
+    ZoneIndex.compile(catalog.rings_of(spark, world.overlapping()), catalog.CELL).save(str(tmp_path / "i"))
+    shares = stats.size_shares(stats.stored_sizes(spark, str(tmp_path / "i"))).collect()
+    assert {r.name for r in shares} == {"zones", "polygons", "holes", "edges", "bands", "cells", "meta"} and abs(sum(r.pct for r in shares) - 100) < 0.1
+    assert [r.bytes for r in shares] == sorted((r.bytes for r in shares), reverse=True)
+
+
+def test_benchmark_files(spark, tmp_path):
+    (tmp_path / "run.json").write_text(json.dumps({"benchmarks": [{"fullname": "a::b", "stats": {"min": 1.0, "max": 2.0, "mean": 1.5, "median": 1.4, "stddev": 0.1, "rounds": 5}}]}))
+    (row,) = stats.read_benchmarks(spark, str(tmp_path)).collect()
+    assert (row.fullname, row["min"], row.rounds) == ("a::b", 1.0, 5)
+
+
+def test_origin_of_points():
+    wanted = {"data_version": "2026c", "fixture_version": 2, "sampler": "area"}
+    assert quality.provenance_problems(dict(wanted), wanted) == []
+    assert len(quality.provenance_problems(wanted | {"sampler": "flat", "debug": True}, wanted)) == 2
+
+
+def test_module_functions(spark, tiled, tmp_path):
+    api._finders.clear()
+    with pytest.raises(ValueError):
+        api.finder(spark)
+    tiled.save(str(tmp_path / "i"))
+    api.use(str(tmp_path / "i"), spark)
+    df = spark.createDataFrame([(11.0, 11.0)], "lng double, lat double")
+    assert {f(df).first().tz_name for f in (api.timezone_at, api.timezone_at_land, api.certain_timezone_at)} == {"Land/Host"}
+    assert api.get_geometry("Land/Host").count() == 2 and api.unique_timezone_at(df).count() == 1
+    api.register(spark, tiled)
+    got = spark.sql("SELECT timezone_at(11.0D, 11.0D), certain_timezone_at(200.0D, 0.0D), light_timezone_at(CAST(NULL AS DOUBLE), 1.0D)").first()
+    assert tuple(got) == ("Land/Host", None, None)
+
+
+def test_command_line(spark, tiled, tmp_path, capsys):
+    tiled.save(str(tmp_path / "i"))
+    ask = lambda *args: command.run(spark, command.parser().parse_args(["--index", str(tmp_path / "i"), *args]))
+    assert ask("--lng", "11", "--lat", "11") == 0 and capsys.readouterr().out.strip() == "Land/Host"
+    assert ask("--lng", "200", "--lat", "11") == 1 and "longitude" in capsys.readouterr().err
+    assert ask("--lng", "1") == 2 and ask("--csv", "x") == 2
+    (tmp_path / "a.csv").write_text("n,lat,lng\na,11,11\n")
+    (tmp_path / "b.csv").write_text("n,lat,lng\na,11,11\nb,,\n")
+    (tmp_path / "c.csv").write_text("1,11,11\n")
+    assert ask("--csv", str(tmp_path / "a.csv"), "--out", str(tmp_path / "oa")) == 0
+    assert ask("--csv", str(tmp_path / "b.csv"), "--out", str(tmp_path / "ob")) == 1
+    assert ask("--csv", str(tmp_path / "c.csv"), "--out", str(tmp_path / "oc")) == 2
+    with pytest.raises(SystemExit) as wrong:
+        command.parser().parse_args([])
+    assert wrong.value.code == 2
+
+
 def test_registered_queries_have_matching_names():
     import __spark_entry__ as entry
 
