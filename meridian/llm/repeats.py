@@ -44,7 +44,7 @@ from .tokens import BYTES, CHUNK, Sums, U, byte_streams, chunks, gram_hashes, mi
 #: Buckets for each input partition: one is sorted in memory.
 BUCKETS = 3
 #: Windows of one lead that are compared in one task; windows of a larger one are dealt anew.
-GROUP = 8_192
+GROUP = 50_000
 #: Windows sorted at a time in a bucket of small groups.
 SORTED = 500_000
 #: Documents sampled for each bucket's splitter, and the part of their records that is used.
