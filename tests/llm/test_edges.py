@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from meridian.llm import decontamination, language, minhash, mixing, pii, repeats, sharding, substring_dedup, suffix_dedup, tokens, topk, toxicity
 
 from .test_operators import brute_bytes, brute_components, brute_words, random_pairs
@@ -426,3 +427,27 @@ def test_shards_cut_along_the_curve_can_be_skipped(spark):
         assert read <= 64 * 0.5, (column, read)
     both = sum(all(b[f"lo_{c}"] <= v <= b[f"hi_{c}"] for c, v in queries.items()) for b in box)
     assert both <= 4
+
+
+# the pipeline
+
+
+def test_stages_on_rows_of_every_kind(spark, docs, texts, empty, tmp_path):
+    items = [(1, "an item of the benchmark that some of the texts hold word for word, all of it"), (2, None), (None, "")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    leak = docs.where("doc_id = 8").select(*[F.lit(items[0][1]).alias(c) if c == "text" else F.lit(99).cast("long").alias(c) if c == "doc_id" else F.col(f"`{c}`") for c in docs.columns])
+    stages = dict(corpus_pipeline.STAGES)
+    known = stages["language_id"](spark, docs, str(tmp_path))
+    got = {r.doc_id for r in known.collect()}
+    assert {0, 1, 2} <= got <= {i for i, t, _, _ in texts if any(c.isalpha() for c in t or "")}
+    one = stages["near_dedup"](spark, known.unionByName(leak), str(tmp_path))
+    assert {None, 0, 99} <= {r.doc_id for r in one.collect()} and not {1, 2} & {r.doc_id for r in one.collect()}
+    clean = stages["decontaminate"](spark, one, str(tmp_path))
+    assert {r.doc_id for r in clean.collect()} == {r.doc_id for r in one.collect()} - {99}
+    mixed = stages["mix"](spark, clean, str(tmp_path))
+    assert {r.doc_id for r in mixed.collect()} <= {r.doc_id for r in clean.collect()} and mixed.columns == docs.columns
+    assert stages["shard"](spark, mixed, str(tmp_path)).count() == mixed.count()
+    now = empty
+    for _, stage in corpus_pipeline.STAGES:
+        now = stage(spark, now, str(tmp_path))
+        assert now.count() == 0
