@@ -24,6 +24,17 @@ from . import world
 
 #: Ten degrees: 36 by 18 cells, few enough for oracle SQL.
 CELL = 100_000_000
+#: The clocks that the worlds' invented land zones keep; oceans keep that of their own name.
+CLOCKS = {
+    "Land/Triangle": "America/Sao_Paulo",
+    "Land/Host": "Africa/Lagos",
+    "Land/Enclave": "Europe/Rome",
+    "Land/Corner": "Asia/Kathmandu",
+    "Land/Islands": "America/Chicago",
+    "Land/Ponds": "America/New_York",
+    "Land/Star": "Australia/Eucla",
+    "Land/Strait": "Asia/Kolkata",
+}
 _kept: dict[tuple[str, str], ZoneIndex] = {}
 
 
@@ -218,11 +229,11 @@ def _ways() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | N
         lambda s, d: s.read.parquet(f"{d}/lineitem.parquet").groupBy(F.col("l_orderkey").alias("k")).agg(F.count(F.lit(1)).alias("n")).join(lookup(points(s, d, "orders", "o_orderkey"), index_of(s)).select("k", "tz_name"), "k").groupBy("tz_name").agg(F.sum("n").alias("items")),
         f"{_full('orders', 'o_orderkey')} SELECT tz_name, count(*) AS items FROM lineitem JOIN full_ ON l_orderkey = k LEFT JOIN zones USING (zone_id) GROUP BY 1",
     )
-    ocean = lambda s, d: lookup(points(s, d, "events", "event_id", F.col("ts").cast("timestamp").alias("ts")), index_of(s)).where(F.startswith("tz_name", F.lit("Etc/")))
-    hours = "CASE WHEN tz_name = 'Etc/GMT' THEN 0 ELSE -CAST(substr(tz_name, 8) AS INTEGER) END"
-    ev = f"{_full('events', 'event_id', ', ts')}, o AS (SELECT k, ts, {hours} AS h FROM full_ JOIN zones USING (zone_id) WHERE starts_with(tz_name, 'Etc/'))"
-    q["events_utc_offset"] = (lambda s, d: ocean(s, d).select("k", geo.utc_offset_minutes(F.col("ts"), F.col("tz_name")).alias("minutes")), f"{ev} SELECT k, h * 60 AS minutes FROM o")
-    q["events_local_hour"] = (lambda s, d: ocean(s, d).groupBy(F.hour(F.from_utc_timestamp("ts", F.col("tz_name"))).alias("local_hour")).agg(F.count(F.lit(1)).alias("events")), f"{ev} SELECT CAST(hour(ts + h * INTERVAL 1 HOUR) AS INTEGER) AS local_hour, count(*) AS events FROM o GROUP BY 1")
+    dated = lambda s, d: lookup(points(s, d, "events", "event_id", F.col("ts").cast("timestamp").alias("ts")), index_of(s)).withColumn("clock", F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in CLOCKS.items() for x in pair]), F.col("tz_name")), F.col("tz_name")))
+    own = " ".join(f"WHEN '{name}' THEN '{clock}'" for name, clock in CLOCKS.items())
+    ev = f"{_full('events', 'event_id', ', ts')}, o AS (SELECT k, ts, timezone(CASE tz_name {own} ELSE tz_name END, timezone('UTC', ts)) AS here FROM full_ JOIN zones USING (zone_id))"
+    q["events_utc_offset"] = (lambda s, d: dated(s, d).select("k", geo.utc_offset_minutes(F.col("ts"), F.col("clock")).alias("minutes")), f"{ev} SELECT k, CAST(date_diff('minute', ts, here) AS INTEGER) AS minutes FROM o")
+    q["events_local_hour"] = (lambda s, d: dated(s, d).groupBy(F.hour(F.from_utc_timestamp("ts", F.col("clock"))).alias("local_hour")).agg(F.count(F.lit(1)).alias("events")), f"{ev} SELECT CAST(hour(here) AS INTEGER) AS local_hour, count(*) AS events FROM o GROUP BY 1")
     q["transition_matrix"] = (
         lambda s, d: stats.transitions(lookup(cust(s, d), index_of(s)), lookup(cust(s, d), index_of(s), "certain"), "k"),
         f"{_full()}, b AS (SELECT p.k, a.tz_name AS expected, z.tz_name AS got FROM full_ p LEFT JOIN zones a USING (zone_id) LEFT JOIN in_p i ON i.k = p.k LEFT JOIN polys USING (poly_id) LEFT JOIN zones z ON z.zone_id = polys.zone_id) SELECT expected, got, count(*) AS n FROM b WHERE expected IS DISTINCT FROM got GROUP BY 1, 2 ORDER BY n DESC, 1, 2 LIMIT 12",
@@ -255,15 +266,21 @@ def _ways() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | N
         SELECT cell_id, 'out of order' AS problem FROM cells WHERE unique_zone_id IS NULL AND cell_id >= 2500000 UNION ALL SELECT * FROM doubled""",
     )
     q["zone_id_monotone"] = (lambda s, d: quality.unordered_zone_ids(index_of(s).polygons), f"WITH {_world()} SELECT CAST(poly_id AS INTEGER) AS poly_id, CAST(zone_id AS INTEGER) AS zone_id, CAST(before AS INTEGER) AS before FROM (SELECT *, lag(zone_id) OVER (ORDER BY poly_id) AS before FROM polys) WHERE before > zone_id")
-    q["hole_parent_orphans"] = (lambda s, d: quality.orphan_holes(index_of(s).holes, index_of(s).polygons.where("poly_id % 3 <> 0")), f"WITH {_world()} SELECT CAST(hole_id AS INTEGER) AS hole_id, CAST(poly_id AS INTEGER) AS poly_id FROM holes WHERE poly_id % 3 = 0")
+    lost = "hole_id % 4 = 1"  # these holes are given a parent that doesn't exist
+    q["hole_parent_orphans"] = (
+        lambda s, d: quality.orphan_holes(index_of(s).holes.withColumn("poly_id", F.when(F.expr(lost), F.col("poly_id") + 1000).otherwise(F.col("poly_id"))), index_of(s).polygons),
+        f"WITH {_world()}, h AS (SELECT hole_id, CASE WHEN {lost} THEN poly_id + 1000 ELSE poly_id END AS poly_id FROM holes) SELECT CAST(hole_id AS INTEGER) AS hole_id, CAST(poly_id AS INTEGER) AS poly_id FROM h ANTI JOIN polys USING (poly_id)",
+    )
     q["bad_rings"] = (lambda s, d: quality.bad_rings(_rings(s).withColumn("xs", F.when(F.col("poly_id") == 3, F.slice("xs", 1, 2)).otherwise(F.col("xs")))).select("poly_id", "problem").distinct(), "SELECT CAST(3 AS INTEGER) AS poly_id, 'axes differ' AS problem")
     runs = lambda s, d: s.read.parquet(f"{d}/lineitem.parquet").select(F.concat("l_returnflag", "l_linestatus").alias("name"), F.col("l_quantity").alias("value"), "l_linenumber")
     rsql = "WITH r AS (SELECT l_returnflag || l_linestatus AS name, l_quantity AS value, l_linenumber FROM lineitem)"
     q["noise_stats"] = (lambda s, d: stats.noise(runs(s, d)).select("name", "n", "least", "most", "median", "spread_pct"), f"{rsql} SELECT name, count(*) AS n, min(value) AS least, max(value) AS most, quantile_cont(value, 0.5) AS median, max(value) / min(value) * 100 AS spread_pct FROM r GROUP BY 1")
     q["alert_threshold"] = (lambda s, d: stats.alert_threshold(stats.noise(runs(s, d))), f"{rsql}, n AS (SELECT max(value) / min(value) * 100 AS s FROM r GROUP BY name) SELECT CAST(greatest(ceil((100 + (max(s) - 100) * 1.2::DOUBLE) / 10) * 10, 110) AS BIGINT) AS threshold_pct FROM n")
+    # Every line item is in one of the two runs; one name of each run is spelled so that the other has no such name.
+    spelled = lambda df, name, other: df.withColumn("name", F.when(F.col("name") == name, F.lit(other)).otherwise(F.col("name")))
     q["run_compare"] = (
-        lambda s, d: stats.compare_runs(runs(s, d).where("l_linenumber = 1 and name <> 'AF'"), runs(s, d).where("l_linenumber = 2 and name <> 'RF'")),
-        f"{rsql}, a AS (SELECT name, min(value) AS base FROM r WHERE l_linenumber = 1 AND name <> 'AF' GROUP BY 1), b AS (SELECT name, min(value) AS head FROM r WHERE l_linenumber = 2 AND name <> 'RF' GROUP BY 1) SELECT coalesce(a.name, b.name) AS name, base, head, head / base AS ratio FROM a FULL JOIN b ON a.name = b.name",
+        lambda s, d: stats.compare_runs(spelled(runs(s, d).where("l_linenumber <= 3"), "AF", "AF before"), spelled(runs(s, d).where("l_linenumber > 3"), "RF", "RF after")),
+        f"{rsql}, a AS (SELECT CASE name WHEN 'AF' THEN 'AF before' ELSE name END AS name, min(value) AS base FROM r WHERE l_linenumber <= 3 GROUP BY 1), b AS (SELECT CASE name WHEN 'RF' THEN 'RF after' ELSE name END AS name, min(value) AS head FROM r WHERE l_linenumber > 3 GROUP BY 1) SELECT coalesce(a.name, b.name) AS name, base, head, head / base AS ratio FROM a FULL JOIN b ON a.name = b.name",
     )
     q["mem_stats"] = (lambda s, d: stats.memory_stats(runs(s, d)).select("name", "n", "least", "most"), f"{rsql} SELECT name, count(*) AS n, min(value) AS least, max(value) AS most FROM r GROUP BY 1")
     tag = lambda k: F.concat(F.lit("tz-"), (F.lit(2000) + k % 30).cast("string"), F.chr(97 + k % 26), F.when(k % 3 == 0, F.chr(97 + k % 7)).otherwise(""), F.lit(".json"))
