@@ -105,9 +105,9 @@ def lookup(df: DataFrame, index: ZoneIndex, mode: str = "full", strategy: str =
 
 
 def flat_bytes(index: ZoneIndex) -> int:
-    """Bytes of an index as flat arrays: 40 a banded edge, 20 a candidate, 40 a cell."""
+    """Bytes of an index as flat arrays at most: 128 an edge (in up to three bands), 20 a candidate, 40 a cell."""
     n = F.coalesce(F.size("candidates"), F.lit(0))
-    return index.bands.count() * 40 + (index.cells.agg(F.sum(40 + n * 20)).first()[0] or 0)
+    return index.edges.count() * 128 + (index.cells.agg(F.sum(40 + n * 20)).first()[0] or 0)
 
 
 def fits(index: ZoneIndex) -> bool:
@@ -139,13 +139,13 @@ class BroadcastIndex:
         order = np.argsort(of, kind="stable")
         self.zone_polys, zones = ids[order], int(of.max(initial=-1)) + 1
         self.zone_first = np.searchsorted(of[order], np.arange(zones + 1))
-        bands = index.bands.select("poly_id", "hole_id", "band", "x_low", "y_low", "x_high", "y_high").toArrow()
-        poly, hole = column(bands, "poly_id"), np.asarray(bands["hole_id"]).astype(np.int64)
+        edges = index.edges.select("poly_id", "hole_id", "x_low", "y_low", "x_high", "y_high").toArrow()
+        poly, hole = column(edges, "poly_id"), np.asarray(edges["hole_id"]).astype(np.int64)
         # A polygon's rings stand together, the boundary first.
         pairs, ring = np.unique(np.stack([poly, hole], 1), axis=0, return_inverse=True)
         self.ring_first = np.searchsorted(pairs[:, 0], np.arange(n + 1))
         self.boundary = pairs[:, 1] == -1
-        self.rings = Rings(ring.reshape(-1), column(bands, "band"), [column(bands, c) for c in ("x_low", "y_low", "x_high", "y_high")], len(pairs))
+        self.rings = Rings(ring.reshape(-1), [np.asarray(edges[c]) for c in ("x_low", "y_low", "x_high", "y_high")], len(pairs))
 
     def holds(self, poly: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Whether each polygon holds its point: its boundary does and no hole."""

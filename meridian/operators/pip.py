@@ -43,32 +43,39 @@ def spread(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 class Rings:
-    """Rings as flat arrays of edges, sorted by ring and band; a ring is tested by the edges of the point's band only."""
-
-    def __init__(self, ring: np.ndarray, band: np.ndarray, edges: list[np.ndarray], n: int, height: int = BAND):
-        """``edges`` are x_low, y_low, x_high, y_high of each (ring, band) entry."""
-        self.height = height
-        order = np.lexsort((band, ring))
-        ring, band = ring[order], band[order]
-        self.x_low, self.y_low, self.x_high, self.y_high = (e[order].astype(np.int64) for e in edges)
-        #: First and last band of each ring, and where its table of band starts begins.
-        self.bottom, self.top = np.zeros(n, np.int64), np.full(n, -1, np.int64)
-        begin = np.searchsorted(ring, np.arange(n))
-        end = np.searchsorted(ring, np.arange(n), "right")
-        some = end > begin
-        self.bottom[some], self.top[some] = band[begin[some]], band[end[some] - 1]
-        height_of = self.top - self.bottom + 2
-        self.table = np.cumsum(height_of) - height_of
-        owner, level = spread(self.bottom, height_of)
-        span = int(band.max(initial=0)) + 2
-        self.starts = np.searchsorted(ring * span + band, owner * span + np.minimum(level, span - 1))
+    """Rings as flat arrays of edges, each ring in latitude bands of its own; a point is tested by the edges of its band only.
+
+    A ring of n edges that a level line crosses c times on average is cut into n / c
+    bands: edges then stand in two or three of them, and a band holds about as many as a test must look at anyway.
+    """
+
+    def __init__(self, ring: np.ndarray, edges: list[np.ndarray], n: int):
+        """``edges`` are x_low, y_low, x_high, y_high of each edge, ``ring`` its ring; level edges are left out."""
+        x_low, y_low, x_high, y_high = (e.astype(np.int64) for e in edges)
+        size = np.bincount(ring, minlength=n)
+        self.bottom, self.top = np.full(n, 1 << 62), np.full(n, -(1 << 62))
+        np.minimum.at(self.bottom, ring, y_low)
+        np.maximum.at(self.top, ring, y_high)
+        tall = np.where(size > 0, self.top - self.bottom, 0)
+        climbed = np.bincount(ring, weights=y_high - y_low, minlength=n)
+        wanted = np.maximum(1, size * tall / np.maximum(climbed, 1)).astype(np.int64)
+        self.height = np.maximum(1, tall // wanted + 1)
+        levels = tall // self.height + 1
+        #: Where each ring's table of band starts begins.
+        self.table = np.cumsum(levels) - levels
+        low, high = ((y - self.bottom[ring]) // self.height[ring] for y in (y_low, y_high))
+        entry, level = spread(low, high - low + 1)
+        place = self.table[ring[entry]] + level
+        entry = entry[np.argsort(place, kind="stable")]
+        self.starts = np.concatenate([[0], np.cumsum(np.bincount(place, minlength=int(levels.sum())))])
+        self.x_low, self.y_low, self.x_high, self.y_high = x_low[entry], y_low[entry], x_high[entry], y_high[entry]
 
     def odd(self, x: np.ndarray, y: np.ndarray, ring: np.ndarray) -> np.ndarray:
         """Whether each ring holds its point."""
         out = np.zeros(len(x), dtype=bool)
-        band = (y + 900_000_000) // self.height
-        near = np.flatnonzero((band >= self.bottom[ring]) & (band <= self.top[ring]))
-        at = self.table[ring[near]] + band[near] - self.bottom[ring[near]]
+        near = np.flatnonzero((y > self.bottom[ring]) & (y <= self.top[ring]))
+        own = ring[near]
+        at = self.table[own] + (y[near] - self.bottom[own]) // self.height[own]
         first = self.starts[at]
         count = self.starts[at + 1] - first
         upto = np.cumsum(count)
@@ -92,7 +99,4 @@ def crossed(x: np.ndarray, y: np.ndarray, edges: np.ndarray) -> np.ndarray:
     """Parity of the crossings of each point with the edges (x_low, y_low, x_high, y_high) of one ring."""
     if not len(edges):
         return np.zeros(len(x), dtype=bool)
-    low, high = (edges[:, 1] + 900_000_000) // BAND, (edges[:, 3] + 900_000_000) // BAND
-    owner, band = spread(low, high - low + 1)
-    rings = Rings(np.zeros(len(owner), np.int64), band, list(edges[owner].T), 1)
-    return rings.odd(x, y, np.zeros(len(x), np.int64))
+    return Rings(np.zeros(len(edges), np.int64), list(edges.T), 1).odd(x, y, np.zeros(len(x), np.int64))

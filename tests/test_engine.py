@@ -14,7 +14,7 @@ from meridian.operators import lookup as lookups
 from meridian.operators import quality, stats
 from meridian.operators.index import ZoneIndex
 from meridian.operators.lookup import MODES, Finder, geometry, lookup
-from meridian.operators.pip import contained, crossed, in_any_hole
+from meridian.operators.pip import Rings, contained, crossed, in_any_hole
 from meridian.plans import catalog, world
 from meridian.sources import csvio, names, registry
 from meridian.sources.geojson import flatten
@@ -227,14 +227,26 @@ def test_overlapping_holes_both_count(spark):
 
 def test_flat_rings_against_each_edge():
     rng = random.Random(2)
-    for _ in range(30):
-        ring = [(rng.randrange(-60_000_000, 60_000_000), rng.randrange(-60_000_000, 60_000_000)) for _ in range(rng.randrange(3, 12))]
+    for n in [rng.randrange(3, 12) for _ in range(30)] + [400, 1000]:
+        ring = [(rng.randrange(-60_000_000, 60_000_000), rng.randrange(-60_000_000, 60_000_000)) for _ in range(n)]
         edges = edges_of(ring)
         x, y = (np.array([rng.randrange(-70_000_000, 70_000_000) for _ in range(200)] + [p[k] for p in ring]) for k in (0, 1))
         want = [sum(yl < b <= yh and (xh - xl) * (b - yl) >= (a - xl) * (yh - yl) for xl, yl, xh, yh in edges.tolist()) % 2 == 1 for a, b in zip(x.tolist(), y.tolist())]
         assert crossed(x, y, edges).tolist() == want
 
 
+def test_rings_keep_their_own_bands():
+    """Several rings of unlike height, one without edges, side by side."""
+    rng = random.Random(3)
+    rings = [[(rng.randrange(-h, h), rng.randrange(-h, h)) for _ in range(n)] for n, h in ((3, 2), (200, 800_000_000), (0, 1), (50, 1000))]
+    edges = [edges_of(r) if r else np.zeros((0, 4), np.int64) for r in rings]
+    both = Rings(np.repeat(np.arange(4), [len(e) for e in edges]), list(np.concatenate(edges).T), 4)
+    assert len(both.x_low) <= 3 * sum(map(len, edges))
+    x, y = (np.array([rng.randrange(-1000, 1000) for _ in range(300)]) for _ in range(2))
+    for k, e in enumerate(edges):
+        assert both.odd(x, y, np.full(300, k)).tolist() == crossed(x, y, e).tolist()
+
+
 def test_too_large_an_index_is_not_broadcast(spark, monkeypatch):
     index = ZoneIndex.compile(catalog.rings_of(spark, world.overlapping()), catalog.CELL)
     monkeypatch.setattr(lookups, "BROADCAST_BYTES", 10)
