@@ -14,6 +14,11 @@
     component with each other and with those inside, in blocks of bounded size.  Rows
     with such a pair come together with their texts, pairs are verified on the full
     sets until their components are joined, and components are contracted again.
+7.  A bucket with more rows outside its largest component than a block holds (texts
+    around one template, say) is not compared as it stands.  Its rows are dealt anew by
+    the rarest quarter of their shingles: sets of a similarity of 0.75 or more
+    share one of those, whatever else they share (prefix filtering), so nothing is
+    lost, and a template's own shingles, which bring all of them together, are left out.
 
 Links are confirmed on full sets only: 100 * intersection >= 75 * union.  A shingle
 stands in them as 62 bits of two polynomials modulo a prime (see ``tokens``).
@@ -36,7 +41,7 @@ from pyspark.sql import functions as F
 
 from .common import IdFilter, dropped, plainly_named, table, written
 from .repeats import packed_texts
-from .tokens import Sums, chunks, mix, slices, texts_of, unpack, word_streams, words_of
+from .tokens import Sums, chunks, mix, slices, texts_of, unpack, unpacked, word_streams, words_of
 
 SHINGLE = 5
 BANDS, ROWS = 40, 4
@@ -306,6 +311,14 @@ def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
 
 
+def open_buckets(labelled: DataFrame) -> DataFrame:
+    """key, main, blocks, pieces of the buckets with several components; ``main`` is the largest one of a bucket of several blocks."""
+    parts = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
+    sizes = parts.groupBy("key").agg(F.sum("c").alias("n"), F.max(F.struct("c", "component")).alias("top")).where("n > top.c")
+    large, up = F.col("n") > BLOCK, lambda c: F.ceil(c / BLOCK).cast("int")
+    return sizes.select("key", F.when(large, F.col("top.component")).alias("main"), F.when(large, up(F.col("n") - F.col("top.c"))).otherwise(1).alias("blocks"), F.when(large, up(F.col("top.c"))).otherwise(0).alias("pieces"))
+
+
 def dealt(labelled: DataFrame, more: DataFrame | None = None) -> DataFrame:
     """The rows of buckets with several components, once for each block (key, i, j) in which they must be compared.
 
@@ -314,10 +327,7 @@ def dealt(labelled: DataFrame, more: DataFrame | None = None) -> DataFrame:
     inside, numbered -1, -2, ..., in blocks (i, -piece).  Side 0 meets side 1; rows of
     side 2 meet each other.  ``more`` (doc, ...) adds columns.
     """
-    parts = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
-    sizes = parts.groupBy("key").agg(F.sum("c").alias("n"), F.max(F.struct("c", "component")).alias("top")).where("n > top.c")
-    large, up = F.col("n") > BLOCK, lambda c: F.ceil(c / BLOCK).cast("int")
-    open_ = sizes.select("key", F.when(large, F.col("top.component")).alias("main"), F.when(large, up(F.col("n") - F.col("top.c"))).otherwise(1).alias("blocks"), F.when(large, up(F.col("top.c"))).otherwise(0).alias("pieces"))
+    open_ = open_buckets(labelled)
     rows = labelled.join(open_, "key")
     rows, names = (rows, []) if more is None else (rows.join(more, "doc"), [c for c in more.columns if c != "doc"])
     h = F.xxhash64("doc")
@@ -332,9 +342,55 @@ def dealt(labelled: DataFrame, more: DataFrame | None = None) -> DataFrame:
     return rows.withColumn("at", F.explode(places)).select("key", "band", "at.i", "at.j", "at.side", "doc", "component", *names)
 
 
-def missed_links(keys: DataFrame, classes: DataFrame, comps: DataFrame, docs: DataFrame, held: list[str]) -> DataFrame:
-    """Verified links (a, b) between different components that share a bucket."""
-    labelled = written(keys.join(comps, "doc", "left").select("key", "band", "doc", F.coalesce("component", "doc").alias("component")), "labelled", held)
+#: Counters of shingles by hash: they only order the shingles of a set, so their number doesn't grow with the rows.
+COUNTERS = 1 << 20
+
+
+def counter_of(shingles: np.ndarray) -> np.ndarray:
+    return (mix(shingles ^ np.uint64(0x5851F42D4C957F2D)) & np.uint64(COUNTERS - 1)).astype(np.int64)
+
+
+def count_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per task: how many sets have a shingle of each counter."""
+    seen = np.zeros(COUNTERS, dtype=np.int64)
+    for b in slices(batches, 64, 1 << 20):
+        sets, _ = shingle_sets(unpacked(b["packed"]))
+        np.add.at(seen, counter_of(sets), 1)
+    some = np.flatnonzero(seen)
+    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[some])], names=["counter", "n"])
+
+
+def rarest(one: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """The prefix of a set in the order (count, shingle): two sets that are similar enough have one of these in common.
+
+    Of n shingles at least ceil(0.75 n) are shared with any such set, so not all of the first n - ceil(0.75 n) + 1
+    of the common order can be missing from it; the first shared one is in both prefixes.
+    """
+    n = len(one)
+    return one[np.lexsort((one, seen[counter_of(one)]))[: n - -(-SIMILAR[0] * n // SIMILAR[1]) + 1]]
+
+
+def prefix_keys(texts: DataFrame) -> DataFrame:
+    """(key, band, doc) of the rarest shingles of texts (doc, packed); keys of one row are left out."""
+    counts = texts.mapInArrow(count_shingles, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
+    seen = np.zeros(COUNTERS, dtype=np.int64)
+    seen[np.asarray(counts["counter"])] = np.asarray(counts["n"])
+    sent = texts.sparkSession.sparkContext.broadcast(seen)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 64, 1 << 20):
+            sets, bounds = shingle_sets(unpacked(b["packed"]))
+            for doc, at, end in zip(b["doc"].to_pylist(), bounds[:-1], bounds[1:], strict=True):
+                keys = mix(rarest(sets[at:end], sent.value)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.zeros(len(keys), np.int32)), pa.array(np.full(len(keys), doc, np.int64))], names=["key", "band", "doc"])
+
+    keys = texts.mapInArrow(run, "key long, band int, doc long")
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    return keys.join(shared, "key")
+
+
+def compared(labelled: DataFrame, classes: DataFrame, docs: DataFrame, held: list[str]) -> DataFrame:
+    """Verified links (a, b) between different components of a bucket, by blocks."""
     schema = "key long, band int, i int, j int, side int, doc long, component long, signature binary"
     order = ["key", "i", "j", "doc"]
     rows = dealt(labelled, classes.select("doc", "signature"))
@@ -344,6 +400,22 @@ def missed_links(keys: DataFrame, classes: DataFrame, comps: DataFrame, docs: Da
     return written(whole.mapInArrow(settled, "a long, b long"), "missed", held).distinct()
 
 
+def missed_links(keys: DataFrame, classes: DataFrame, comps: DataFrame, docs: DataFrame, held: list[str]) -> DataFrame:
+    """Verified links (a, b) between different components that share a bucket."""
+    labels = lambda rows, by: rows.join(by, "doc", "left").select("key", "band", "doc", F.coalesce("component", "doc").alias("component"))
+    labelled = written(labels(keys, comps), "labelled", held)
+    wide = written(open_buckets(labelled).where("blocks > 1").select("key"), "wide", held)
+    if wide.isEmpty():
+        return compared(labelled, classes, docs, held)
+    found = compared(labelled.join(wide, "key", "left_anti"), classes, docs, held)
+    ids = written(labelled.join(wide, "key", "left_semi").select("doc").distinct(), "crowded", held)
+    again = written(prefix_keys(texts_for(docs, ids, held)), "prefixes", held)
+    stars = confirmed(star_pairs(again), classes, docs, held)
+    known = comps.join(ids, "doc", "left_semi").select(F.col("doc").alias("a"), F.col("component").alias("b"))
+    now = written(components(known.union(stars)), "now", held)
+    return found.union(stars).union(compared(labels(again, now), classes, docs, held)).distinct()
+
+
 #: Nodes of rows whose doc_id has several texts are numbered from here downwards.
 _OWN = -(1 << 62)
 

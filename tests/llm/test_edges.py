@@ -110,6 +110,47 @@ def test_buckets_in_blocks(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == brute_components(pairs)
 
 
+def test_crowded_buckets_are_dealt_by_rare_shingles(spark, monkeypatch):
+    """Texts around one template: all share buckets, few are linked, and no link is lost."""
+    rng = random.Random(4)
+    template = [f"t{i}" for i in range(150)]
+    texts = []
+    for g in range(14):
+        own = [f"g{g}w{i}" for i in range(100)]
+        texts.append(" ".join(template + own))
+        for _ in range(rng.randrange(3)):
+            near = [f"x{rng.random()}" if rng.random() < 0.02 else w for w in own]
+            texts.append(" ".join(template + near))
+    texts += [" ".join(template + [f"short{k}"]) for k in range(2)] + ["", "one two", "one two"]
+    pairs = list(enumerate(texts))
+    df = spark.createDataFrame(pairs, "doc_id long, text string")
+    crowded, keys = [], minhash.prefix_keys
+
+    def seen(given):
+        crowded.append(given.count())
+        return keys(given)
+
+    monkeypatch.setattr(minhash, "prefix_keys", seen)
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    out = minhash.near_duplicates(df).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == brute_components(pairs)
+    assert crowded and crowded[0] >= 14
+
+
+def test_prefixes_of_similar_sets_meet():
+    rng = np.random.RandomState(6)
+    seen = rng.randint(0, 50, minhash.COUNTERS)
+    for n in [1, 2, 3, 4, 5, 7, 8, 100, 301]:
+        for _ in range(40):
+            a = np.unique(rng.randint(0, 1 << 62, n, dtype=np.int64).view(np.uint64))
+            b = a[rng.rand(len(a)) < 0.9]
+            b = np.unique(np.concatenate([b, rng.randint(0, 1 << 62, n // 15, dtype=np.int64).view(np.uint64)]))
+            both = len(np.intersect1d(a, b))
+            if len(b) and 100 * both >= 75 * (len(a) + len(b) - both):
+                assert len(np.intersect1d(minhash.rarest(a, seen), minhash.rarest(b, seen)))
+                assert len(minhash.rarest(a, seen)) == len(a) - -(-75 * len(a) // 100) + 1
+
+
 def test_dealt_blocks_hold_every_pair_once(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", 4)
     rng = random.Random(2)
