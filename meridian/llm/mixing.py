@@ -129,7 +129,7 @@ leveled AS (
   SELECT *, (budget - coalesce(sum(cap) OVER pre, 0)) / (all_w - coalesce(sum(w) OVER pre, 0)) AS level
   FROM ranked WINDOW pre AS (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 targets AS (
-  SELECT source, source_size, least(cap, w * (SELECT level FROM leveled WHERE cap >= level * w ORDER BY ratio, level LIMIT 1)) AS target
+  SELECT source, source_size, least(cap, w * (SELECT level FROM leveled WHERE cap >= level * w ORDER BY ratio, source NULLS LAST LIMIT 1)) AS target
   FROM leveled),
 summed AS (
   SELECT r.*, t.source_size, t.target,
