@@ -118,18 +118,22 @@ def hilbert_shards(docs: DataFrame, n_shards: int = 40, bits: int = BITS, carry:
     slim = written(keyed if carry is not None else keyed.drop("row"), "meta")
     keyed = slim if carry is not None else keyed
     key = [F.col("th"), F.col("size"), F.coalesce("crc", F.lit(-1)).alias("crc_")]
+    # Only rows of groups whose sources or languages differ have to learn those of their group.
+    several = lambda c: (F.min(c) < F.max(c)) | ((F.count(c) > 0) & (F.count(c) < F.count(F.lit(1))))
     shared = (
         slim.groupBy(*key)
-        .agg(F.min("src").alias("g_src"), F.min("lng").alias("g_lng"), F.count(F.lit(1)).alias("g_n"))
-        .where("g_n > 1")
+        .agg(F.min("src").alias("g_src"), F.min("lng").alias("g_lng"), F.coalesce(several("src"), F.lit(False)).alias("m_src"), F.coalesce(several("lng"), F.lit(False)).alias("m_lng"))
+        .where("m_src or m_lng")
         .select(F.col("th").alias("g_th"), F.col("size").alias("g_size"), F.col("crc_").alias("g_crc"), "g_src", "g_lng", F.lit(True).alias("g"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("g_salt"))
     )
-    salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")
-    placed = keyed.join(
-        shared,
-        (F.col("th") == F.col("g_th")) & (F.col("size") == F.col("g_size")) & (F.coalesce("crc", F.lit(-1)) == F.col("g_crc")) & (salt == F.col("g_salt")),
-        "left",
-    ).select("row", "id", "size", "crc", "th", F.when(F.col("g"), F.col("g_src")).otherwise(F.col("src")).alias("src"), F.when(F.col("g"), F.col("g_lng")).otherwise(F.col("lng")).alias("lng"))
+    shared = written(shared, "shared")
+    if shared.isEmpty():
+        placed = keyed
+    else:
+        salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")
+        same = (F.col("th") == F.col("g_th")) & (F.col("size") == F.col("g_size")) & (F.coalesce("crc", F.lit(-1)) == F.col("g_crc")) & (salt == F.col("g_salt"))
+        own = lambda c: F.when(F.col("g"), F.col(f"g_{c}")).otherwise(F.col(c)).alias(c)
+        placed = keyed.join(shared, same, "left").select("row", "id", "size", "crc", "th", own("src"), own("lng"))
 
     marks = slim.agg(F.percentile_approx("size", [i / cells for i in range(1, cells)], 10000).alias("p")).first()["p"] or []
     size_cell = reduce(lambda acc, m: acc + F.when(F.col("size") > m, 1).otherwise(0), sorted(set(marks)), F.lit(0))

@@ -48,6 +48,15 @@ def test_equal_texts_stand_together(spark):
     assert sum(a != b for a, b in zip(order, order[1:])) == 9
 
 
+@pytest.mark.parametrize("sources", [(None, "b"), ("a",), (None,), ("a", "b", None)])
+def test_groups_share_their_smallest_source(spark, sources):
+    rows = rows_of([(i, f"text {i % 5}", "en", sources[i // 5 % len(sources)]) for i in range(60)] + [(60 + i, f"other {i}", f"l{i % 3}", f"s{i}") for i in range(40)])
+    out = sharding.hilbert_shards(spark.createDataFrame(rows, SCHEMA), 4).orderBy("shard", "slot").collect()
+    order = [r.text for r in out if r.text.startswith("text")]
+    assert len(out) == 100 and sum(a != b for a, b in zip(order, order[1:])) == 4
+    assert len({r.hilbert for r in out if r.text.startswith("text")}) == 1
+
+
 def test_no_rows_no_shards(empty):
     assert sharding.hilbert_shards(empty).count() == 0
 
