@@ -17,8 +17,8 @@
 7.  A bucket with more rows outside its largest component than a block holds (texts
     around one template, say) is not compared as it stands.  Its rows are dealt anew by
     the rarest quarter of their shingles: sets of a similarity of 0.75 or more
-    share one of those, whatever else they share (prefix filtering), so nothing is
-    lost, and a template's own shingles, which bring all of them together, are left out.
+    share one of those, whatever else they share (prefix filtering), so no pair is lost
+    here (the screen by signatures follows as ever), and a template's own shingles, which bring all of them together, are left out.
 
 Links are confirmed on full sets only: 100 * intersection >= 75 * union.  A shingle
 stands in them as 62 bits of two polynomials modulo a prime (see ``tokens``).
