@@ -8,11 +8,11 @@ language are counted over all its n-grams, corrected for that filter's measured
 false-positive rate, and the largest share decides.
 
 A filter holds the n-grams (of 2, 3 and 4 characters) that are frequent in its
-language: counted over its learning documents, cut at ``min_share`` of the language's
-n-grams of that length, so at most 1 / ``min_share`` of a length.  ``MAX_LEARN`` bounds
-the documents that a language is learnt from (a hash of the text decides); those are
-read whole, and all documents are judged over their whole text.  A slot has a word of
-mask for every 64 languages, so there may be any number of them.
+language: counted over all its learning documents, cut at ``min_share`` of the language's
+n-grams of that length, so at most 1 / ``min_share`` of a length.  All documents are
+learnt from and judged over their whole text; the levels of ``known_language`` are exact
+medians over all learning documents.  A slot has a word of mask for every 64 languages,
+so there may be any number of them.
 
 Defined results: texts that are null or have no letter (Unicode categories L) get ``und`` and score 0;
 ties go to the language that learnt more documents, then to the smaller code; with nothing to learn from, every text gets ``und``;
@@ -28,11 +28,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
-from .common import plainly_named, table, written
+from .common import dropped, plainly_named, table, written
 from .tokens import slices
 
 #: n-gram lengths in characters of a lower-cased text whose words are joined by one space.
@@ -43,8 +43,8 @@ HASHES = 3
 MIN_SHARE = 2e-4
 #: Languages in one word of mask.
 WORD_BITS = 64
-#: Documents to learn a language from, about; all where there are fewer.
-MAX_LEARN = 5_000
+#: n-grams that a task holds, as they come and as sums, before they are summed or go out; rows of a batch of sums.
+WAITING, SUMS, OUT = 1 << 20, 1 << 20, 1 << 16
 _WORD = re.compile(r"[^\W\d_]+")
 _PRIMES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
@@ -92,21 +92,65 @@ def slots_of(grams: np.ndarray, j: int) -> np.ndarray:
     return (h >> np.uint64(45)).astype(np.int64) % SLOTS
 
 
+Sums = dict[tuple[str, int], tuple[np.ndarray, np.ndarray]]
+
+
+def added(sums: Sums, key: tuple[str, int], grams: np.ndarray, times: np.ndarray) -> None:
+    """Add the times of distinct n-grams to those of a language and length."""
+    if key in sums:
+        grams, times = (np.concatenate(x) for x in zip(sums[key], (grams, times), strict=True))
+        order = np.argsort(grams, kind="stable")
+        grams = grams[order]
+        first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
+        grams, times = grams[first], np.add.reduceat(times[order], first)
+    sums[key] = grams, times
+
+
+def rows_of(sums: Sums) -> Iterator[pa.RecordBatch]:
+    """(lang, n, gram, times) of sums, in batches."""
+    if not sums:
+        return
+    places = np.repeat(np.arange(len(sums)), [len(grams) for grams, _ in sums.values()])
+    langs = pa.array([lang for lang, _ in sums], pa.string())
+    grams, times = (np.concatenate(x) for x in zip(*sums.values(), strict=True))
+    lengths = np.array([n for _, n in sums], dtype=np.int32)
+    for k in range(0, len(places), OUT):
+        own = places[k : k + OUT]
+        yield pa.RecordBatch.from_arrays([langs.take(pa.array(own)), pa.array(lengths[own]), pa.array(grams[k : k + OUT].view(np.int64)), pa.array(times[k : k + OUT])], names=["lang", "n", "gram", "times"])
+
+
 def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per task: (lang, n, gram, times) of its documents."""
-    for b in slices(batches, 128, 1 << 20):
-        sums: dict[str, list[tuple[int, np.ndarray]]] = {}
-        docs: Counter = Counter()
-        for lang, text in zip(b["lang"].to_pylist(), b["text"].to_pylist(), strict=True):
-            sums.setdefault(lang, []).extend(g for part in pieces(text or "") for g in part)
-            docs[lang] += 1
-        for lang, parts in sums.items():
-            for n in SIZES:
-                own = [g for m, g in parts if m == n]
-                if own:
-                    grams, times = np.unique(np.concatenate(own), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams)), pa.array(np.full(len(grams), n, np.int32)), pa.array(grams.view(np.int64)), pa.array(times)], names=["lang", "n", "gram", "times"])
-            yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([0], pa.int32()), pa.array([0], pa.int64()), pa.array([docs[lang]], pa.int64())], names=["lang", "n", "gram", "times"])
+    """Per task: (lang, n, gram, times) of its documents, and their number as n-gram 0 of length 0.
+
+    An n-gram may come several times: sums go out whenever they are many.
+    """
+    sums: Sums = {}
+    raw: dict[tuple[str, int], list[np.ndarray]] = {}
+    waiting = 0
+
+    def summed() -> None:
+        nonlocal waiting
+        for key, parts in raw.items():
+            added(sums, key, *np.unique(np.concatenate(parts), return_counts=True))
+        raw.clear()
+        waiting = 0
+
+    for b in slices(batches):
+        langs = b["lang"].to_pylist()
+        for lang, text in zip(langs, b["text"].to_pylist(), strict=True):
+            for part in pieces(text or ""):
+                for n, grams in part:
+                    raw.setdefault((lang, n), []).append(grams)
+                    waiting += len(grams) + 16  # an array takes some room however short
+                if waiting >= WAITING:
+                    summed()
+                    if sum(len(grams) for grams, _ in sums.values()) >= SUMS:
+                        yield from rows_of(sums)
+                        sums.clear()
+        for lang, n in Counter(langs).items():
+            added(sums, (lang, 0), np.zeros(1, np.uint64), np.array([n], np.int64))
+    summed()
+    yield from rows_of(sums)
 
 
 class Filters:
@@ -162,37 +206,21 @@ class Filters:
         top = float(share[best])
         return self.langs[best], (top / (top + rest) if top > 0 else 0.0)
 
-    def known(self, text: str | None, levels: dict[str, float]) -> bool:
-        """Whether a text's share of hits in its best language is not far below that language's level.
-
-        Two standard errors of a share over so few n-grams are allowed for.
-        """
-        total, share = self.shares(text)
-        if not total:
-            return False
-        best = int(share.argmax())
-        return float(share[best]) > 0 and float(share[best]) + 1 / total**0.5 >= KNOWN * levels.get(self.langs[best], 0.0)
-
 
-def sampled(sizes: dict[str, int], most: int) -> Column:
-    """Whether a row (lang, text) is one of about ``most`` of its language: a hash of the text decides."""
-    shares = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, int(min(1.0, most / n) * (1 << 30)))]) if sizes else None
-    return F.lit(False) if shares is None else F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.coalesce(F.try_element_at(shares, F.col("lang")), F.lit(0))
-
-
-def learn(docs: DataFrame, min_share: float = MIN_SHARE, max_learn: int = MAX_LEARN) -> Filters:
+def learn(docs: DataFrame, min_share: float = MIN_SHARE) -> Filters:
     """Filters from ``text`` and ``lang`` of all rows with a non-null language."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), "text")
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    counts = known.where(sampled(sizes, max_learn)).mapInArrow(count_grams, "lang string, n int, gram long, times long").groupBy("lang", "n", "gram").agg(F.sum("times").alias("times"))
-    counts = written(counts, "grams")
+    counts = known.mapInArrow(count_grams, "lang string, n int, gram long, times long").groupBy("lang", "n", "gram").agg(F.sum("times").alias("times"))
+    held: list[str] = []
+    counts = written(counts, "grams", held)
     totals = counts.groupBy("lang", "n").agg(F.sum("times").alias("total"))
-    sums = {(r["lang"], r["n"]): r["total"] for r in totals.collect()}
-    langs = [lang for lang in sorted(sizes, key=lambda x: (-sizes[x], x)) if (lang, 0) in sums]
+    sizes = {r["lang"]: r["total"] for r in totals.where("n = 0").collect()}
+    langs = sorted(sizes, key=lambda x: (-sizes[x], x))
     grams = {lang: np.zeros(0, np.uint64) for lang in langs}
     # At most 1 / min_share n-grams of a length reach that share: the result is bounded.
     total = F.broadcast(totals.where("n > 0"))
     kept = counts.join(total, ["lang", "n"]).where(F.col("times") >= F.col("total") * min_share).select("lang", "gram").toArrow()
+    dropped(docs.sparkSession, held)
     names = np.asarray(kept["lang"])
     for lang in langs:
         grams[lang] = np.asarray(kept["gram"])[names == lang].view(np.uint64)
@@ -228,36 +256,57 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: A text of a known language has at least this part of the median share of hits of the language's learning documents.
 KNOWN = 0.5
-#: Documents a language whose shares are measured for that median, about.
-MAX_LEVEL = 500
+#: Steps in which shares are counted to find the one that holds the median.
+STEPS = 1 << 12
 
 
-def levels_of(docs: DataFrame, filters: Filters, most: int = MAX_LEVEL) -> dict[str, float]:
-    """The median share of hits that learning documents have in their own language."""
-    sent = docs.sparkSession.sparkContext.broadcast(filters)
-    place = {lang: k for k, lang in enumerate(filters.langs)}
-
-    def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            langs = b["lang"].to_pylist()
-            found = [float(x[place[lang]]) if total else None for (total, x), lang in zip(map(sent.value.shares, b["text"].to_pylist()), langs, strict=True)]
-            yield pa.RecordBatch.from_arrays([b["lang"], pa.array(found, pa.float64())], names=["lang", "share"])
+def medians(shares: DataFrame) -> DataFrame:
+    """(lang, level): the lower median of ``share``, 0 to 1, over all rows (lang, share) of a language.
 
-    known = docs.where(F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), "text").where(F.col("lang").isin(filters.langs))
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    measured = known.where(sampled(sizes, most)).mapInArrow(share, "lang string, share double").where("share is not null and not isnan(share)")
-    return {r["lang"]: r["level"] for r in measured.groupBy("lang").agg(F.percentile_approx("share", 0.5).alias("level")).collect()}
+    Counts in ``STEPS`` steps tell the step that holds it; only the distinct values of that step are then ordered.
+    """
+    step = F.floor(F.col("share") * STEPS).alias("step")
+    upto = F.sum("n").over(Window.partitionBy("lang").orderBy("step"))
+    every = F.sum("n").over(Window.partitionBy("lang"))
+    steps = shares.groupBy("lang", step).agg(F.count(F.lit(1)).alias("n")).select("lang", "step", "n", upto.alias("upto"), every.alias("every"))
+    middle = steps.withColumn("rank", F.expr("(every + 1) div 2")).where("upto >= rank and upto - n < rank")
+    middle = F.broadcast(middle.select("lang", "step", F.expr("rank - (upto - n)").alias("rank")))
+    values = shares.select("lang", "share", step).join(middle, ["lang", "step"]).groupBy("lang", "rank", "share").agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("lang").orderBy("share"))
+    return values.withColumn("upto", upto).where("upto >= rank and upto - n < rank").select("lang", F.col("share").alias("level"))
 
 
-def known_language(docs: DataFrame) -> DataFrame:
-    """Pipeline stage: documents go that have no letter, or too few n-grams of any language learnt."""
-    filters = learn(docs)
-    levels = levels_of(docs, filters)
+def judged(docs: DataFrame, filters: Filters) -> DataFrame:
+    """The rows of ``docs`` that have n-grams, with columns c0, c1, ... and lang, own (the share of hits in it), best, share (in the best) and total."""
     sent, names = docs.sparkSession.sparkContext.broadcast(filters), docs.columns
+    place = {lang: k for k, lang in enumerate(filters.langs)}
     plain, text = plainly_named(docs), names.index("text")
+    plain = plain.withColumn("lang", F.col(f"c{names.index('lang')}").cast("string"))
+    new = [StructField("own", DoubleType()), StructField("best", StringType()), StructField("share", DoubleType()), StructField("total", LongType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            yield b.filter(pa.array([sent.value.known(t, levels) for t in b.column(text).to_pylist()], pa.bool_()))
+            found = [sent.value.shares(t) for t in b.column(text).to_pylist()]
+            b = b.filter(pa.array([total > 0 for total, _ in found], pa.bool_()))
+            found = [(total, share, int(share.argmax())) for total, share in found if total]
+            own = [float(share[place[lang]]) if lang in place else None for (_, share, _), lang in zip(found, b["lang"].to_pylist(), strict=True)]
+            best = [sent.value.langs[k] for _, _, k in found]
+            most = [float(share[k]) for _, share, k in found]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own, pa.float64()), pa.array(best, pa.string()), pa.array(most, pa.float64()), pa.array([total for total, _, _ in found], pa.int64())], names=[*b.schema.names, *[f.name for f in new]])
+
+    return plain.mapInArrow(run, StructType(plain.schema.fields + new))
 
-    return plain.mapInArrow(run, plain.schema).toDF(*names)
+
+def known_language(docs: DataFrame) -> DataFrame:
+    """Pipeline stage: documents go that have no letter, or too few n-grams of any language learnt.
+
+    A text stays if its share of hits in its best language is not far below that language's
+    level, the median share of its learning documents; two standard errors of a share
+    over so few n-grams are allowed for.  Texts are looked up once, for levels and judgement.
+    """
+    found = written(judged(docs, learn(docs)), "judged")
+    levels = written(medians(found.where("own is not null").select("lang", F.col("own").alias("share"))), "levels")
+    levels = F.broadcast(levels.select(F.col("lang").alias("l_lang"), "level"))
+    near = F.col("share") + 1 / F.sqrt("total") >= KNOWN * F.coalesce("level", F.lit(0.0))
+    kept = found.join(levels, F.col("best") == F.col("l_lang"), "left").where((F.col("share") > 0) & near)
+    return kept.select(*[f"c{k}" for k in range(len(docs.columns))]).toDF(*docs.columns)

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -387,6 +388,61 @@ def test_many_languages(spark):
     assert len(filters.langs) == 80 and sum(filters.decide(t)[0] == lang for _, t, lang in rows) >= 150
 
 
+def gram_counts(rows):
+    """Plain counts by (lang, n) of rows (lang, text)."""
+    want = {}
+    for lang, text in rows:
+        for part in language.pieces(text):
+            for n, grams in part:
+                want.setdefault((lang, n), Counter()).update(grams.tolist())
+    return want
+
+
+def test_languages_are_learnt_from_every_document(spark):
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(1, 5)))
+    rows = [("aa", f"{word()} {word()} {word()}") for _ in range(3000)] + [("aa", "vesh rul")] * 3000 + [("bb", "xyz " + word()) for _ in range(50)]
+    filters = language.learn(spark.createDataFrame(rows, "lang string, text string").repartition(3))
+    want = gram_counts(rows)
+    kept = {lang: [g for n in language.SIZES for g, k in want[lang, n].items() if k >= sum(want[lang, n].values()) * language.MIN_SHARE] for lang in ("aa", "bb")}
+    exact = language.Filters(["aa", "bb"], {lang: np.array(grams, dtype=np.uint64) for lang, grams in kept.items()})
+    assert filters.langs == exact.langs
+    assert all((a == b).all() for got, own in zip(filters.words, exact.words, strict=True) for a, b in zip(got, own, strict=True))
+
+
+def test_levels_come_from_every_document(spark):
+    rng = random.Random(32)
+    noise = lambda: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(40))
+    rows = [(i, "zormik talben miktal bentalzor mikben zor talzor", "aa") for i in range(800)] + [(1000 + i, noise(), "aa") for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r.doc_id for r in language.known_language(df).collect()} == set(range(800))  # the median document is a copy
+
+
+def test_partial_sums_of_grams(monkeypatch):
+    monkeypatch.setattr(language, "WAITING", 300)
+    monkeypatch.setattr(language, "SUMS", 500)
+    monkeypatch.setattr(language, "OUT", 64)
+    rng = random.Random(33)
+    rows = [(rng.choice(["aa", "bb"]), "".join(rng.choice("abcde  ") for _ in range(rng.randrange(200)))) for _ in range(100)] + [("aa", None), ("cc", "1")]
+    batches = [pa.record_batch([pa.array(c, pa.string()) for c in zip(*rows[at : at + 40], strict=True)], names=["lang", "text"]) for at in range(0, len(rows), 40)]
+    got = {}
+    for b in language.count_grams(iter(batches)):
+        assert b.num_rows <= 64
+        for lang, n, gram, times in zip(*[c.to_pylist() for c in b.columns], strict=True):
+            got.setdefault((lang, n), Counter())[gram % (1 << 64)] += times
+    docs = {(lang, 0): Counter({0: k}) for lang, k in Counter(lang for lang, _ in rows).items()}
+    assert got == gram_counts((lang, text or "") for lang, text in rows) | docs
+
+
+def test_medians_are_exact(spark):
+    rng = random.Random(34)
+    shares = {"one": [0.25], "ends": [0.0, 1.0], "ones": [1.0] * 7 + [0.0], "many": [rng.gauss(0.6, 0.05) for _ in range(12_001)], "near": [0.5 + rng.randrange(40) * 1e-6 for _ in range(500)], "same": [rng.choice([0.1, 0.7]) for _ in range(300)]}
+    rows = [(lang, x) for lang, xs in shares.items() for x in xs]
+    rng.shuffle(rows)
+    got = language.medians(spark.createDataFrame(rows, "lang string, share double")).collect()
+    assert {r.lang: r.level for r in got} == {lang: sorted(xs)[(len(xs) - 1) // 2] for lang, xs in shares.items()} and len(got) == len(shares)
+
+
 def test_op10_and_op5_as_registered(spark):
     sf = "/root/testdata/sf0.001"
     docs = {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
